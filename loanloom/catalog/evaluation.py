@@ -25,9 +25,9 @@ SELECT threshold, count(*) FILTER (WHERE TARGET = 1 AND proba >= threshold) AS T
 FROM scored, grid GROUP BY threshold"""
 AUC = """
 SELECT sum(CASE WHEN TARGET = 1 THEN CAST(r AS DOUBLE) ELSE 0 END) AS rank_sum,
-  CAST(sum(TARGET) AS DOUBLE) AS P, CAST(count(*) - sum(TARGET) AS DOUBLE) AS N
+  CAST(sum(TARGET) AS DOUBLE) AS pos_n, CAST(count(*) - sum(TARGET) AS DOUBLE) AS neg_n
 FROM (SELECT TARGET, rank() OVER (ORDER BY proba) + (count(*) OVER (PARTITION BY proba) - 1) / 2 AS r FROM scored)"""
-AUC_VALUE = "(rank_sum - P * (P + 1) / 2) / (P * N)"
+AUC_VALUE = "(rank_sum - pos_n * (pos_n + 1) / 2) / (pos_n * neg_n)"
 
 
 def _div(a: str, b: str) -> str:

@@ -167,3 +167,36 @@ TABLE_FILES = {
     "pos_cash": "POS_CASH_balance.csv",
     "credit_card": "credit_card_balance.csv",
 }
+
+# --- Fixed values: comparison wording ----------------------------------------------
+LOW_QUARTER_TEXT = "Client dans les 25% les plus bas."
+HIGH_QUARTER_TEXT = "Client dans les 25% les plus hauts."
+MIDDLE_TEXT = "Client dans la moyenne."
+GOOD_MARK = "🟢 Bon"
+AVERAGE_MARK = "🟡 Moyen"
+ALERT_MARK = "🔴 Attention"
+COMPARISON_GROUPS = {
+    "Tous les clients": None,
+    "Clients sans défaut (TARGET=0)": 0,
+    "Clients en défaut (TARGET=1)": 1,
+}
+MAX_CHART_CATEGORIES = 15
+
+# --- Fixed values: score wording (two published variants) -----------------------------
+CONFIDENCE_HIGH = "très élevée"
+CONFIDENCE_GOOD = "élevée"
+CONFIDENCE_MID = "modérée"
+SHORT_TEXTS = {
+    "granted_high": "Profil très favorable. Risque de défaut minimal.",
+    "granted_mid": "Profil acceptable avec quelques points de vigilance.",
+    "refused_high": "Profil à risque significatif. Défaut de paiement probable.",
+    "refused_mid": "Profil légèrement au-dessus du seuil de risque.",
+}
+LONG_TEXTS = {
+    "granted_high": "Le profil du client présente des caractéristiques très favorables. Le risque de défaut est minimal.",
+    "granted_good": "Le profil du client est globalement positif. Le risque de défaut est faible.",
+    "granted_mid": "Le profil du client est acceptable mais présente quelques points de vigilance.",
+    "refused_high": "Le profil du client présente des risques significatifs. Le défaut de paiement est probable.",
+    "refused_good": "Le profil du client présente plusieurs facteurs de risque importants.",
+    "refused_mid": "Le profil du client est légèrement au-dessus du seuil de risque acceptable.",
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,13 +78,17 @@ def to_long(
     df: DataFrame,
     columns: list[str],
     keep: list[str] | None = None,
-    cast: str = "double",
+    cell: str | Callable[[Column], Column] = "double",
     drop_null: bool = True,
 ) -> DataFrame:
-    """One row per (input row, column): ``keep..., feature, value``."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), quoted(c).cast(cast).alias("value")) for c in columns]
-    )
-    long = df.select(*[quoted(k) for k in keep or []], F.explode(cells).alias("cell"))
-    long = long.select(*[quoted(k) for k in keep or []], "cell.feature", "cell.value")
+    """One row per (input row, column): ``keep..., feature, value``.
+
+    ``cell`` is the common type of the values, or a function of the column.
+    An aggregation by feature straight after this runs inside the scanning
+    tasks, so the multiplied rows are never shuffled.
+    """
+    make = cell if callable(cell) else (lambda c: c.cast(cell))
+    kept = [quoted(k) for k in keep or []]
+    cells = df.select(*kept, *[make(quoted(c)).alias(c) for c in columns])
+    long = cells.unpivot(kept, [quoted(c) for c in columns], "feature", "value")
     return long.where(F.col("value").isNotNull()) if drop_null else long

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
 from loanloom.functions import guards as G
-from loanloom.operators.ordered import running_totals
+from loanloom.operators.ordered import count_below, running_totals
 
 
 def default_grid() -> list[float]:
@@ -106,22 +105,9 @@ def cost_matrix(
 
 
 def _grid_position(proba: Column, grid: list[float]) -> Column:
-    """How many thresholds of an ascending grid are <= the score.
-
-    A guess from the grid's mean step is corrected by at most a few
-    comparisons; a grid that is not evenly spaced is searched in two levels.
-    """
+    """How many thresholds of an ascending grid are <= the score."""
     points = F.array(*[F.lit(float(g)) for g in grid])
-    n = len(grid)
-    side = max(1, int(n**0.5))
-
-    def reached(index: Column) -> Column:
-        return F.coalesce((F.get(points, index) <= proba).cast("int"), F.lit(0))
-
-    coarse = [reached(F.lit(i)) for i in range(side - 1, n, side)]
-    block = G.total(coarse) if coarse else F.lit(0)
-    fine = [reached(block * side + F.lit(j)) for j in range(side - 1)]
-    return block * side + (G.total(fine) if fine else F.lit(0))
+    return count_below(proba, points, len(grid), inclusive=True)
 
 
 def threshold_curve(
@@ -136,8 +122,8 @@ def threshold_curve(
     """Confusion counts, cost, precision, recall and F1 at every threshold.
 
     One pass over the rows: each row is counted at its grid position, so at
-    most ``len(thresholds) + 1`` rows per group leave the aggregation, and the
-    running totals are taken over those.
+    most ``len(thresholds) + 1`` rows per group leave the aggregation. These are
+    gathered into one small array per group and summed from every threshold up.
     """
     by = by or []
     grid = default_grid() if thresholds is None else sorted(thresholds)
@@ -146,25 +132,31 @@ def threshold_curve(
     hits = at.groupBy(*by, "position").agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    slots = F.transform(
-        F.array(*[F.lit(float(g)) for g in grid]),
-        lambda g, i: F.struct((i + 1).alias("position"), g.alias("threshold")),
-    )
-    whole = hits.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    frame = whole.where(F.col("P").isNotNull()).select(
-        *by, "P", "N", F.explode(slots).alias("slot")
+    gathered = hits.groupBy(*by).agg(
+        F.sum("pos").alias("P"),
+        F.sum("neg").alias("N"),
+        F.collect_list(F.struct("position", "pos", "neg")).alias("hits"),
     )
-    frame = frame.select(*by, "P", "N", "slot.position", "slot.threshold")
-    at_or_above = (
-        W.partitionBy(*by).orderBy(F.col("position").desc()).rowsBetween(W.unboundedPreceding, 0)
+    points = F.array(*[F.lit(float(g)) for g in grid])
+
+    def from_here_up(name: str, position: Column) -> Column:
+        def add(found: Column, h: Column) -> Column:
+            return found + F.when(h["position"] >= position, h[name]).otherwise(F.lit(0))
+
+        return F.aggregate("hits", F.lit(0).cast("bigint"), add)
+
+    rows = F.transform(
+        points,
+        lambda g, i: F.struct(
+            g.alias("threshold"),
+            from_here_up("pos", i + 1).alias("TP"),
+            from_here_up("neg", i + 1).alias("FP"),
+        ),
     )
-    counted = frame.join(hits, [*by, "position"], "left").select(
-        *by,
-        "threshold",
-        "P",
-        "N",
-        F.coalesce(F.sum("pos").over(at_or_above), F.lit(0)).alias("TP"),
-        F.coalesce(F.sum("neg").over(at_or_above), F.lit(0)).alias("FP"),
+    counted = (
+        gathered.where(F.col("P").isNotNull())
+        .select(*by, "P", "N", F.explode(rows).alias("r"))
+        .select(*by, "P", "N", "r.*")
     )
     counted = counted.withColumns(
         {"FN": F.col("P") - F.col("TP"), "TN": F.col("N") - F.col("FP")}

@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanloom.functions import guards as G
 from loanloom.functions import schema as S
 
-SIDE = 16  # 16 x 16 buckets
-BUCKETS = SIDE * SIDE
+BUCKETS = 256
 SKETCH_ACCURACY = 4096
 
 
@@ -26,23 +24,25 @@ def sketch_bounds(value: Column) -> Column:
     return F.percentile_approx(value, points, SKETCH_ACCURACY)
 
 
-def bucket_of(value: Column, bounds: Column) -> Column:
-    """How many whole bounds lie below the value, by a two-level search."""
+def count_below(value: Column, bounds: Column, size: int, inclusive: bool = False) -> Column:
+    """How many of an ascending array's numbers lie below the value (binary search).
 
-    def below(index: Column) -> Column:
-        return F.coalesce((F.get(bounds, index) < value).cast("int"), F.lit(0))
+    ``inclusive`` also counts numbers equal to the value. Missing bounds count
+    as not below.
+    """
+    steps = [1 << i for i in range(max(size, 1).bit_length() - 1, -1, -1)]
+
+    def advance(found: Column, step: Column) -> Column:
+        bound = F.get(bounds, found + step - 1)
+        passed = (bound <= value) if inclusive else (bound < value)
+        return F.when(passed, found + step).otherwise(found)
 
-    coarse = G.total([below(F.lit(i * SIDE - 1)) for i in range(1, SIDE)])
-    fine = G.total([below(F.col("_coarse") * SIDE + F.lit(j)) for j in range(SIDE - 1)])
-    return coarse, F.col("_coarse") * SIDE + fine
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
 def add_bucket(df: DataFrame, value: str, bounds: str) -> DataFrame:
     """Adds ``bucket`` from a column of bounds and drops the bounds."""
-    coarse, bucket = bucket_of(F.col(value), F.col(bounds))
-    return (
-        df.withColumn("_coarse", coarse).withColumn("bucket", bucket).drop("_coarse", bounds)
-    )
+    return df.withColumn("bucket", count_below(F.col(value), F.col(bounds), BUCKETS - 1)).drop(bounds)
 
 
 def attach_bounds(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ BUFFERED_LIMIT = 64 * 1024 * 1024
 def plan_bytes(df: DataFrame) -> int:
     """Spark's size estimate of a plan's output."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def _name(p: float) -> str:
@@ -128,37 +128,24 @@ def quantiles(
     raise ValueError(f"unknown quantile method: {method!r}")
 
 
-def _wide_to_rows(
-    wide: DataFrame, columns: list[str], probabilities: list[float], by: list[str]
-) -> DataFrame:
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(f"`_q_{c}`").alias("qs")) for c in columns]
-    )
-    rows = wide.select(*by, F.explode(cells).alias("cell")).where(F.col("cell.qs").isNotNull())
-    return rows.select(
-        *by,
-        F.col("cell.feature").alias("feature"),
-        *[F.col("cell.qs")[i].alias(_name(p)) for i, p in enumerate(probabilities)],
+def _points_to_columns(rows: DataFrame, probabilities: list[float], by: list[str]) -> DataFrame:
+    return rows.where(F.col("qs").isNotNull()).select(
+        *by, "feature", *[F.col("qs")[i].alias(_name(p)) for i, p in enumerate(probabilities)]
     )
 
 
 def _buffered(df, columns, probabilities, by):
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    wide = df.groupBy(*by).agg(
-        *[F.percentile(S.quoted(c).cast("double"), points).alias(f"_q_{c}") for c in columns]
-    )
-    return _wide_to_rows(wide, columns, probabilities, by)
+    long = S.to_long(df, columns, by)
+    rows = long.groupBy(*by, "feature").agg(F.percentile("value", points).alias("qs"))
+    return _points_to_columns(rows, probabilities, by)
 
 
 def _approximate(df, columns, probabilities, by):
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    wide = df.groupBy(*by).agg(
-        *[
-            F.percentile_approx(S.quoted(c).cast("double"), points, SKETCH_ACCURACY).alias(f"_q_{c}")
-            for c in columns
-        ]
-    )
-    return _wide_to_rows(wide, columns, probabilities, by)
+    long = S.to_long(df, columns, by)
+    found = F.percentile_approx("value", points, SKETCH_ACCURACY).alias("qs")
+    return _points_to_columns(long.groupBy(*by, "feature").agg(found), probabilities, by)
 
 
 def _bucketed(df, columns, probabilities, by):
@@ -168,15 +155,8 @@ def _bucketed(df, columns, probabilities, by):
     the few buckets that contain a wanted rank and orders their values.
     """
     group = [*by, "feature"]
-    wide = df.groupBy(*by).agg(
-        *[sketch_bounds(S.quoted(c).cast("double")).alias(f"_q_{c}") for c in columns]
-    )
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(f"`_q_{c}`").alias("bounds")) for c in columns]
-    )
-    bounds = wide.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.feature", "cell.bounds")
-    bounds = bounds.where(F.col("bounds").isNotNull())
     long = S.to_long(df, columns, by)
+    bounds = long.groupBy(*group).agg(sketch_bounds(F.col("value")).alias("bounds"))
     placed = add_bucket(attach_bounds(long, bounds, group), "value", "bounds")
     totals = placed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     earlier = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
