@@ -91,3 +91,8 @@ def rounded(df, digits: int = 6):
             for f in df.schema.fields
         ]
     )
+
+
+def double_array(values: Iterable[float]) -> Column:
+    """Array literal of doubles, built in one call."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")

@@ -106,7 +106,7 @@ def cost_matrix(
 
 def _grid_position(proba: Column, grid: list[float]) -> Column:
     """How many thresholds of an ascending grid are <= the score."""
-    points = F.array(*[F.lit(float(g)) for g in grid])
+    points = G.double_array(grid)
     return count_below(proba, points, len(grid), inclusive=True)
 
 
@@ -137,7 +137,7 @@ def threshold_curve(
         F.sum("neg").alias("N"),
         F.collect_list(F.struct("position", "pos", "neg")).alias("hits"),
     )
-    points = F.array(*[F.lit(float(g)) for g in grid])
+    points = G.double_array(grid)
 
     def from_here_up(name: str, position: Column) -> Column:
         def add(found: Column, h: Column) -> Column:

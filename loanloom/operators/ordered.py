@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanloom.functions import schema as S
+from loanloom.functions.guards import double_array
 
 BUCKETS = 256
 SKETCH_ACCURACY = 4096
@@ -20,7 +21,7 @@ SKETCH_ACCURACY = 4096
 
 def sketch_bounds(value: Column) -> Column:
     """Aggregate: BUCKETS - 1 ascending equi-depth bounds of a column."""
-    points = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    points = double_array(i / BUCKETS for i in range(1, BUCKETS))
     return F.percentile_approx(value, points, SKETCH_ACCURACY)
 
 
@@ -135,14 +136,14 @@ def _points_to_columns(rows: DataFrame, probabilities: list[float], by: list[str
 
 
 def _buffered(df, columns, probabilities, by):
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
+    points = double_array(probabilities)
     long = S.to_long(df, columns, by)
     rows = long.groupBy(*by, "feature").agg(F.percentile("value", points).alias("qs"))
     return _points_to_columns(rows, probabilities, by)
 
 
 def _approximate(df, columns, probabilities, by):
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
+    points = double_array(probabilities)
     long = S.to_long(df, columns, by)
     found = F.percentile_approx("value", points, SKETCH_ACCURACY).alias("qs")
     return _points_to_columns(long.groupBy(*by, "feature").agg(found), probabilities, by)
