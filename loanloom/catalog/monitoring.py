@@ -53,12 +53,14 @@ def d1(t):
     "d2_distribution_comparison",
     with_tables(
         f"""
-SELECT side, feature, count(*) AS count, {r6('avg(value)', 'mean')}, {r6('stddev_samp(value)', 'std')}, {r6('min(value)', 'min')},
+SELECT side, feature, count(value) AS count, {r6('avg(value)', 'mean')}, {r6('stddev_samp(value)', 'std')}, {r6('min(value)', 'min')},
   {r6('quantile_cont(value, 0.25)', 'q25')}, {r6('quantile_cont(value, 0.5)', 'q50')}, {r6('quantile_cont(value, 0.75)', 'q75')},
   {r6('max(value)', 'max')} FROM long GROUP BY side, feature""",
         "app",
         sided=SIDED,
-        long=Q.union_long("sided", NUM, "side"),
+        long=" UNION ALL ".join(
+            f"SELECT side, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM sided" for c in NUM
+        ),
     ),
 )
 def d2(t):
@@ -128,12 +130,12 @@ def d4(t):
 
 _KS = """
 SELECT feature, max(abs(fr - fc)) AS d, max(n) AS n, max(m) AS m FROM (
-  SELECT feature, CAST(sum(is_r) OVER up AS DOUBLE) / sum(is_r) OVER whole AS fr, CAST(sum(1 - is_r) OVER up AS DOUBLE) / sum(1 - is_r) OVER whole AS fc,
+  SELECT feature, CAST(sum(is_r) OVER up AS DOUBLE) / nullif(sum(is_r) OVER whole, 0) AS fr, CAST(sum(1 - is_r) OVER up AS DOUBLE) / nullif(sum(1 - is_r) OVER whole, 0) AS fc,
     CAST(sum(is_r) OVER whole AS DOUBLE) AS n, CAST(sum(1 - is_r) OVER whole AS DOUBLE) AS m
   FROM (SELECT feature, value, CASE side WHEN 'reference' THEN 1 ELSE 0 END AS is_r FROM long)
   WINDOW up AS (PARTITION BY feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), whole AS (PARTITION BY feature)
 ) GROUP BY feature"""
-_KS_P = """CASE WHEN sqrt(n * m / (n + m)) * d < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum((CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * (n * m / (n + m)) * d * d)) FROM range(1, 101) t(k)))) END"""
+_KS_P = """CASE WHEN d IS NULL THEN NULL WHEN sqrt(n * m / (n + m)) * d < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum((CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * (n * m / (n + m)) * d * d)) FROM range(1, 101) t(k)))) END"""
 
 
 @register(

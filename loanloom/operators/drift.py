@@ -64,7 +64,7 @@ def correlation_drift(both: DataFrame, columns: list[str], label: str) -> DataFr
 def ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sample Kolmogorov-Smirnov p-value."""
     n, m = G.dbl(n), G.dbl(m)
-    scaled = F.sqrt(n * m / (n + m)) * statistic
+    scaled = F.sqrt(F.try_divide(n * m, n + m)) * statistic
     terms = F.transform(
         F.sequence(F.lit(1), F.lit(100)),
         lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0)
@@ -72,14 +72,16 @@ def ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
     )
     series = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
     # the series does not converge near 0, where the p-value is 1
-    return F.when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))
+    return F.when(scaled < 0.2, 1.0).when(scaled.isNotNull(), bounded)
 
 
 def ks_test(both: DataFrame, columns: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-value of every numeric column.
 
     Rows are counted per distinct value first; both distribution functions
-    are then accumulated in buckets, so no task orders a whole column.
+    are then accumulated in buckets, so no task orders a whole column. A column
+    without values on one side has no statistic.
     """
     long = S.to_long(both, columns, ["side"])
     counts = long.groupBy("feature", "value").agg(
@@ -92,7 +94,6 @@ def ks_test(both: DataFrame, columns: list[str]) -> DataFrame:
     tested = ranked.groupBy("feature").agg(
         F.max(gap).alias("statistic"), F.max("r_all").alias("n"), F.max("c_all").alias("m")
     )
-    tested = tested.where((F.col("n") > 0) & (F.col("m") > 0))
     return tested.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n"), F.col("m")))
 
 
@@ -100,6 +101,8 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
     """Upper tail of the chi-squared distribution, by its recurrence over the degrees."""
 
     def tail(x: float, k: int) -> float:
+        if x != x:
+            return x
         if k <= 0 or x <= 0:
             return 1.0
         half = x / 2
@@ -126,11 +129,11 @@ def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
         F.count_if(_side(REFERENCE)).alias("r"), F.count_if(_side(CURRENT)).alias("c")
     )
     whole = cells.groupBy("feature").agg(
-        F.sum("r").alias("R"), F.sum("c").alias("C"), F.count(F.lit(1)).alias("categories")
+        F.sum("r").alias("r_all"), F.sum("c").alias("c_all"), F.count(F.lit(1)).alias("categories")
     )
     # one row per feature
     joined = cells.join(F.broadcast(whole), "feature")
-    n = G.dbl(F.col("R") + F.col("C"))
+    n = G.dbl(F.col("r_all") + F.col("c_all"))
 
     def term(observed: str, margin: str) -> Column:
         expected = G.dbl(F.col("r") + F.col("c")) * G.dbl(F.col(margin)) / n
@@ -138,10 +141,9 @@ def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
         return F.try_divide(gap * gap, expected)
 
     tested = (
-        joined.where((F.col("R") > 0) & (F.col("C") > 0))
-        .groupBy("feature")
+        joined.groupBy("feature")
         .agg(
-            F.sum(term("r", "R") + term("c", "C")).alias("statistic"),
+            F.sum(term("r", "r_all") + term("c", "c_all")).alias("statistic"),
             (F.max("categories") - 1).alias("dof"),
         )
     )

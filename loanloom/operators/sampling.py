@@ -91,7 +91,7 @@ def with_segments(
     else:
         joined = df.withColumn("cuts", cuts.select("cuts").scalar())
     below = F.size(F.filter(F.col("cuts"), lambda c: c < _order(key, seed)))
-    segment = F.when(F.col("cuts").isNotNull(), below)
+    segment = F.when(F.size("cuts") > 0, below)
     return joined.withColumn("segment", segment).drop("cuts")
 
 

@@ -16,7 +16,7 @@ from loanloom.functions import schema as S
 from loanloom.operators.ordered import quantiles
 from loanloom.operators.profile import column_stats, null_ratios
 from loanloom.operators.skew import lookup_join
-from loanloom.session import ensure_checkpoint_dir, scratch_path
+from loanloom.session import ensure_checkpoint_dir, materialize, scratch_path
 
 INLINE_CLASSES = 1000  # classes of one column that fit into the plan itself
 
@@ -291,7 +291,12 @@ class ClientPreprocessorModel(Model):
 def prepare_train_test(
     wide: DataFrame, preprocessor: ClientPreprocessor | None = None
 ) -> tuple[DataFrame, ClientPreprocessorModel]:
-    """Fit on the train rows of the wide table and transform all of it."""
+    """Fit on the train rows of the wide table and transform all of it.
+
+    The fit takes several passes, so the joins behind the wide table are run
+    once and their result is kept.
+    """
     preprocessor = preprocessor or ClientPreprocessor()
-    model = preprocessor.fit(wide.where(F.col("split") == "train"))
-    return model.transform(wide), model
+    stored = materialize(wide, "wide")
+    model = preprocessor.fit(stored.where(F.col("split") == "train"))
+    return model.transform(stored), model

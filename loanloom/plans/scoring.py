@@ -24,16 +24,20 @@ class LinearScorer:
     weights: dict[str, float]
     fills: dict[str, float] = field(default_factory=dict)
 
-    def value(self, name: str) -> Column:
+    def value(self, name: str, have: list[str] | None = None) -> Column:
+        """A feature's value; the fill where it is NULL or the column is absent."""
+        fill = F.lit(float(self.fills[name])) if name in self.fills else None
+        if have is not None and name not in have and fill is not None:
+            return fill
         col = S.quoted(name).cast("double")
-        return F.coalesce(col, F.lit(float(self.fills[name]))) if name in self.fills else col
+        return col if fill is None else F.coalesce(col, fill)
 
-    def margin(self) -> Column:
-        terms = [self.value(n) * F.lit(float(w)) for n, w in self.weights.items()]
+    def margin(self, have: list[str] | None = None) -> Column:
+        terms = [self.value(n, have) * F.lit(float(w)) for n, w in self.weights.items()]
         return G.total([F.lit(float(self.intercept)), *terms])
 
     def with_probability(self, df: DataFrame) -> DataFrame:
-        proba = F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
+        proba = F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(df.columns)))
         return df.withColumn("probability", proba)
 
     @classmethod

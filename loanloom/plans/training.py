@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from loanloom import constants as K
 from loanloom.operators import evaluate as E
 from loanloom.operators import sampling
 from loanloom.plans.scoring import VectorScorer
-from loanloom.session import ensure_checkpoint_dir
+from loanloom.session import ensure_checkpoint_dir, materialize
 
 
 def balanced_weights(df: DataFrame, label: str = K.TARGET) -> DataFrame:
@@ -63,7 +64,16 @@ def train_boosted(
     )
     if validation:
         booster = booster.setValidationIndicatorCol("is_validation")
-    return VectorScorer(booster.fit(rows), features)
+    return VectorScorer(_fit(booster, rows), features)
+
+
+def _fit(estimator, rows: DataFrame):
+    """Fit over rows that are kept in memory (or spilled) for the passes of the fit."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def train_logistic(
@@ -72,10 +82,10 @@ def train_logistic(
     """Regularised logistic regression with balanced class weights."""
     assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
     rows = assembled.select("_features", F.col(label).cast("double").alias("label"))
-    fitted = LogisticRegression(
+    learner = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="weight", regParam=reg, maxIter=50
-    ).fit(balanced_weights(rows, "label"))
-    return VectorScorer(fitted, features)
+    )
+    return VectorScorer(_fit(learner, balanced_weights(rows, "label")), features)
 
 
 TRAINERS = {"boosted": train_boosted, "logistic": train_logistic}
@@ -101,6 +111,7 @@ def train_and_evaluate(
     """Stratified hold-out, fit, best threshold on the held-out rows, metrics on both parts."""
     labelled = prepared.where(F.col(K.TARGET).isNotNull())
     parts = sampling.stratified_holdout(labelled, K.CLIENT_KEY, K.TARGET, holdout)
+    parts = materialize(parts.select(K.CLIENT_KEY, K.TARGET, "part", *features), "parts")
     if kind == "boosted":
         marked = parts.withColumn("_valid", F.col("part") == "valid")
         scorer = train_boosted(marked, features, validation="_valid", **overrides)
@@ -109,15 +120,12 @@ def train_and_evaluate(
     scored = scorer.with_probability(parts).select(
         K.CLIENT_KEY, K.TARGET, "part", F.col("probability").alias("proba")
     )
-    scored = scored.persist()
-    try:
-        valid = scored.where("part = 'valid'")
-        best = E.optimal_threshold(E.threshold_curve(valid)).first()
-        threshold = float(best["threshold"])
-        valid_metrics = E.all_metrics(valid, threshold).first().asDict()
-        train_metrics = E.all_metrics(scored.where("part = 'train'"), threshold).first().asDict()
-    finally:
-        scored.unpersist()
+    scored = materialize(scored, "scores")
+    valid = scored.where("part = 'valid'")
+    best = E.optimal_threshold(E.threshold_curve(valid)).first()
+    threshold = float(best["threshold"])
+    valid_metrics = E.all_metrics(valid, threshold).first().asDict()
+    train_metrics = E.all_metrics(scored.where("part = 'train'"), threshold).first().asDict()
     config = {
         "optimal_threshold": threshold,
         "cost_fn": K.COST_FN,
@@ -135,6 +143,7 @@ def cross_validate(
     """Per fold: AUC, accuracy, cost and best threshold of a model fitted on the other folds."""
     labelled = prepared.where(F.col(K.TARGET).isNotNull())
     folded = sampling.stratified_folds(labelled, K.CLIENT_KEY, K.TARGET, k)
+    folded = materialize(folded.select(K.CLIENT_KEY, K.TARGET, "fold", *features), "folds")
     held_out = None
     for fold in range(k):  # one model per fold
         scorer = TRAINERS[kind](folded.where(F.col("fold") != fold), features, **overrides)
