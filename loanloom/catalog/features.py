@@ -258,11 +258,10 @@ def bureau_sql(round_: bool) -> str:
 
 def _widened(df):
     """Whole-number columns as 64 bit, so both engines report one type."""
-    return df.select(
+    whole = ("integer", "short", "byte")
+    return df.selectExpr(
         *[
-            F.col(f.name).cast("bigint").alias(f.name)
-            if f.dataType.typeName() in ("integer", "short", "byte")
-            else F.col(f.name)
+            f"CAST(`{f.name}` AS BIGINT) AS `{f.name}`" if f.dataType.typeName() in whole else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

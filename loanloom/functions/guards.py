@@ -83,11 +83,11 @@ HALF_SHIFT = 1e-8
 
 def rounded(df, digits: int = 6):
     """Round every double column; used where results are compared across engines."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(F.col(f"`{f.name}`") + F.lit(HALF_SHIFT), digits).alias(f.name)
+            f"round(`{f.name}` + {HALF_SHIFT!r}D, {digits}) AS `{f.name}`"
             if f.dataType.typeName() in ("double", "float")
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

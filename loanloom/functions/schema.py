@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,17 +77,19 @@ def to_long(
     df: DataFrame,
     columns: list[str],
     keep: list[str] | None = None,
-    cell: str | Callable[[Column], Column] = "double",
+    cell: str = "CAST({0} AS DOUBLE)",
     drop_null: bool = True,
 ) -> DataFrame:
     """One row per (input row, column): ``keep..., feature, value``.
 
-    ``cell`` is the common type of the values, or a function of the column.
-    An aggregation by feature straight after this runs inside the scanning
-    tasks, so the multiplied rows are never shuffled.
+    ``cell`` is the SQL text of a value, with ``{0}`` for the column; all cells
+    need one type. An aggregation by feature straight after this runs inside
+    the scanning tasks, so the multiplied rows are never shuffled.
     """
-    make = cell if callable(cell) else (lambda c: c.cast(cell))
-    kept = [quoted(k) for k in keep or []]
-    cells = df.select(*kept, *[make(quoted(c)).alias(c) for c in columns])
-    long = cells.unpivot(kept, [quoted(c) for c in columns], "feature", "value")
-    return long.where(F.col("value").isNotNull()) if drop_null else long
+    kept = [f"`{k}`" for k in keep or []]
+    cells = df.selectExpr(*kept, *[f"{cell.format(f'`{c}`')} AS `{c}`" for c in columns])
+    long = cells.unpivot(kept, [f"`{c}`" for c in columns], "feature", "value")
+    return long.where("value IS NOT NULL") if drop_null else long
+
+
+AS_TEXT = "CAST({0} AS STRING)"

@@ -6,7 +6,7 @@ client that owns a large part of a table sends one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
@@ -16,22 +16,23 @@ from loanloom.functions import schema as S
 Spec = list[tuple[str, list[str]]]
 
 
-def _stat(stat: str, column: str) -> Column:
-    col = S.quoted(column)
-    if stat == "sum":
-        # a group without any value sums to 0
-        return F.coalesce(F.sum(col), F.lit(0))
-    builders = {"mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
-    return builders[stat](col)
+# a group without any value sums to 0
+STATS = {
+    "mean": "avg(`{0}`)",
+    "max": "max(`{0}`)",
+    "min": "min(`{0}`)",
+    "sum": "coalesce(sum(`{0}`), 0)",
+    "count": "count(`{0}`)",
+}
 
 
 def aggregate_to_client(df: DataFrame, key: str, spec: Spec, prefix: str) -> DataFrame:
     """One row per key with columns ``<PREFIX>_<COLUMN>_<STAT>``."""
-    exprs = [
-        _stat(stat, column).alias(f"{prefix}_{column}_{stat}".upper())
-        for column, stats in spec
-        for stat in stats
-    ]
+    exprs = []
+    for column, stats in spec:
+        for stat in stats:
+            name = f"{prefix}_{column}_{stat}".upper()
+            exprs.append(F.expr(f"{STATS[stat].format(column)} AS `{name}`"))
     return df.groupBy(key).agg(*exprs)
 
 

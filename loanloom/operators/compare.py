@@ -47,8 +47,9 @@ def value_positions(population: DataFrame, asked: DataFrame, features: list[str]
     both = S.to_long(population, features).withColumns({"n": F.lit(1), "asks": F.lit(0)})
     both = both.unionByName(S.to_long(asked, features).withColumns({"n": F.lit(0), "asks": F.lit(1)}))
     counts = both.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("asks").alias("asks"))
-    ranked = running_totals(counts, ["feature"], "value", ["n"])
-    return ranked.where((F.col("asks") > 0) & (F.col("n_all") > 0)).select(
+    ranked = running_totals(counts, ["feature"], "value", ["n", "asks"])
+    asked_for = (F.col("asks") > 0) & (F.col("asks_all") > 0)
+    return ranked.where(asked_for & (F.col("n_all") > 0)).select(
         "feature",
         "value",
         "asks",
@@ -162,7 +163,7 @@ def compare_categories(
     per_feature = per_feature.withColumn(
         "mode_pct", G.safe_div(F.col("mode_rows"), F.col("known")) * 100
     ).select("feature", "known", "mode", "mode_pct")
-    facts = S.to_long(clients, features, [key], "string").join(
+    facts = S.to_long(clients, features, [key], S.AS_TEXT).join(
         F.broadcast(per_feature), "feature"
     )
     if max_categories is not None:

@@ -42,6 +42,14 @@ def histogram_comparison(both: DataFrame, column: str, bins: int = 50) -> DataFr
     return histogram(both, column, bins, ["side"])
 
 
+def _counts_by_side(long: DataFrame) -> DataFrame:
+    """Rows of either side per (feature, value)."""
+    marked = long.select(
+        "feature", "value", G.flag(_side(REFERENCE)).alias("r"), G.flag(_side(CURRENT)).alias("c")
+    )
+    return marked.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+
+
 def _across(rows: DataFrame, value: str) -> DataFrame:
     """Per feature: the value on either side and the change."""
     wide = rows.groupBy("feature").agg(
@@ -83,10 +91,7 @@ def ks_test(both: DataFrame, columns: list[str]) -> DataFrame:
     are then accumulated in buckets, so no task orders a whole column. A column
     without values on one side has no statistic.
     """
-    long = S.to_long(both, columns, ["side"])
-    counts = long.groupBy("feature", "value").agg(
-        F.count_if(_side(REFERENCE)).alias("r"), F.count_if(_side(CURRENT)).alias("c")
-    )
+    counts = _counts_by_side(S.to_long(both, columns, ["side"]))
     ranked = running_totals(counts, ["feature"], "value", ["r", "c"])
     gap = F.abs(
         G.safe_div(F.col("r_upto"), F.col("r_all")) - G.safe_div(F.col("c_upto"), F.col("c_all"))
@@ -124,10 +129,7 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
 
 def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
     """Chi-squared homogeneity test of every categorical column across the sides."""
-    long = S.to_long(both, columns, ["side"], "string")
-    cells = long.groupBy("feature", "value").agg(
-        F.count_if(_side(REFERENCE)).alias("r"), F.count_if(_side(CURRENT)).alias("c")
-    )
+    cells = _counts_by_side(S.to_long(both, columns, ["side"], S.AS_TEXT))
     whole = cells.groupBy("feature").agg(
         F.sum("r").alias("r_all"), F.sum("c").alias("c_all"), F.count(F.lit(1)).alias("categories")
     )

@@ -189,9 +189,14 @@ def score_counts(
 ) -> DataFrame:
     """Positives and negatives per distinct score."""
     y = F.col(label)
-    scores = df.select(*(by or []), label, F.col(proba).cast("double").alias("score"))
+    scores = df.select(
+        *(by or []),
+        F.col(proba).cast("double").alias("score"),
+        G.flag(y == 1).alias("pos"),
+        G.flag(y == 0).alias("neg"),
+    )
     return scores.groupBy(*(by or []), "score").agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
 
 
@@ -202,7 +207,7 @@ def roc_auc(
     by = by or []
     ranked = running_totals(score_counts(df, label, proba, by), by, "score", ["pos", "neg"])
     wins = F.sum(G.dbl(F.col("pos")) * (G.dbl(F.col("neg_below")) + G.dbl(F.col("neg")) / 2))
-    pairs = F.sum(G.dbl(F.col("pos"))) * F.sum(G.dbl(F.col("neg")))
+    pairs = F.max(G.dbl(F.col("pos_all"))) * F.max(G.dbl(F.col("neg_all")))
     return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc"))
 
 

@@ -185,7 +185,7 @@ def fallback_explanation(
     The direction only follows the value's sign; a missing value counts as 0.
     """
     top = importance_ranking(importance.where(F.col("feature").isin(features)), n)
-    long = S.to_long(df, features, [key], lambda c: F.coalesce(c.cast("double"), F.lit(0.0)))
+    long = S.to_long(df, features, [key], "coalesce(CAST({0} AS DOUBLE), 0D)")
     rows = long.join(F.broadcast(top.select("feature", "importance", "rank")), "feature")
     return rows.select(
         key,

@@ -46,12 +46,13 @@ def add_bucket(df: DataFrame, value: str, bounds: str) -> DataFrame:
     return df.withColumn("bucket", count_below(F.col(value), F.col(bounds), BUCKETS - 1)).drop(bounds)
 
 
-def attach_bounds(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
-    """Attach each group's bounds: one row of 255 numbers per group."""
+def attach(df: DataFrame, info: DataFrame, by: list[str]) -> DataFrame:
+    """Attach each group's one row of bounds (255 numbers) and totals."""
     if not by:
-        return df.withColumn("bounds", bounds.select("bounds").scalar())
-    # groups are features or folds, so the table is bounded by the schema's width
-    return df.join(F.broadcast(bounds.select(*by, "bounds")), by)
+        one = info.select(F.struct("*").alias("s")).scalar()
+        return df.withColumn("_s", one).select(*df.columns, "_s.*")
+    # groups are features, sides or folds: as many as the schema or the chart has
+    return df.join(F.broadcast(info), by)
 
 
 def running_totals(
@@ -59,33 +60,42 @@ def running_totals(
 ) -> DataFrame:
     """Cumulative and overall measures in value order.
 
-    ``counts`` has one row per (by, value). Adds, for each measure ``m``,
-    ``m_upto`` (values up to and including the row's), ``m_below`` (strictly
-    below) and ``m_all`` (the whole group).
+    ``counts`` is an aggregation with one row per (by, value) and no other
+    columns than the measures. Adds, for each measure ``m``, ``m_upto`` (values
+    up to and including the row's), ``m_below`` (strictly below) and ``m_all``
+    (the whole group). Callers should use every ``m_all``, see below.
     """
     stats = counts.groupBy(*by).agg(
         sketch_bounds(F.col(value)).alias("bounds"), *[F.sum(m).alias(f"{m}_all") for m in measures]
     )
-    placed = add_bucket(attach_bounds(counts, stats, by), value, "bounds")
-    totals = placed.groupBy(*by, "bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    placed = add_bucket(attach(counts, stats, by), value, "bounds")
+    # ``m_all`` refers to every part it can be read from (they agree): so no
+    # branch is pruned differently, and all share one shuffle of the counts
+    totals = placed.groupBy(*by, "bucket").agg(
+        *[F.sum(m).alias(m) for m in measures],
+        *[F.max(f"{m}_all").alias(f"{m}_whole") for m in measures],
+    )
     earlier = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
     offsets = totals.select(
         *by,
         "bucket",
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_base") for m in measures],
-        *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
+        *[f"{m}_whole" for m in measures],
     )
-    inside = W.partitionBy(*by, "bucket").orderBy(value)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = placed.join(offsets, [*by, "bucket"])
-    running = {
-        f"{m}_upto": F.sum(m).over(upto) + F.col(f"{m}_base") for m in measures
-    }
-    joined = joined.withColumns(running)
-    return joined.withColumns(
-        {f"{m}_below": F.col(f"{m}_upto") - F.col(m) for m in measures}
-    ).drop("bucket", *[f"{m}_base" for m in measures])
+    upto = W.partitionBy(*by, "bucket").orderBy(value)
+    upto = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # a left join: an inner one would infer "bucket is known" and filter the
+    # raw rows of this branch by it, so that its counts could not be shared
+    joined = placed.join(offsets, [*by, "bucket"], "left")
+    found = []
+    for m in measures:
+        run = F.sum(m).over(upto) + F.col(f"{m}_base")
+        found += [
+            run.alias(f"{m}_upto"),
+            (run - F.col(m)).alias(f"{m}_below"),
+            F.greatest(f"{m}_all", f"{m}_whole", f"{m}_base").alias(f"{m}_all"),
+        ]
+    return joined.select(*by, value, *measures, *found)
 
 
 # ------------------------------------------------------------------- quantiles
@@ -158,7 +168,7 @@ def _bucketed(df, columns, probabilities, by):
     group = [*by, "feature"]
     long = S.to_long(df, columns, by)
     bounds = long.groupBy(*group).agg(sketch_bounds(F.col("value")).alias("bounds"))
-    placed = add_bucket(attach_bounds(long, bounds, group), "value", "bounds")
+    placed = add_bucket(attach(long, bounds, group), "value", "bounds")
     totals = placed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     earlier = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ranked = totals.select(

@@ -19,7 +19,7 @@ def column_stats(
     columns: list[str],
     stats: dict[str, Callable[[Column], Column]],
     by: list[str] | None = None,
-    cell: str | Callable[[Column], Column] = "double",
+    cell: str = "CAST({0} AS DOUBLE)",
 ) -> DataFrame:
     """One row per (by, feature) with the given statistics of every column.
 
@@ -43,7 +43,7 @@ def null_report(df: DataFrame, columns: list[str] | None = None, by: list[str] |
         columns,
         {"rows": lambda c: F.count(F.lit(1)), "missing": F.sum},
         by,
-        cell=lambda c: c.isNull().cast("bigint"),
+        cell="CAST({0} IS NULL AS BIGINT)",
     )
     return rows.withColumn("missing_pct", G.safe_div(F.col("missing"), F.col("rows")) * 100)
 
@@ -107,7 +107,7 @@ def describe_numeric(
 
 def category_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Rows per (feature, value) of text columns; NULLs are left out."""
-    long = S.to_long(df, columns, by, "string")
+    long = S.to_long(df, columns, by, S.AS_TEXT)
     return long.groupBy(*(by or []), "feature", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -177,7 +177,7 @@ def distinct_categories(
 ) -> DataFrame:
     """Distinct values per text column."""
     if approximate:
-        return column_stats(df, columns, {"categories": F.approx_count_distinct}, cell="string")
+        return column_stats(df, columns, {"categories": F.approx_count_distinct}, cell=S.AS_TEXT)
     return category_counts(df, columns).groupBy("feature").agg(
         F.count(F.lit(1)).alias("categories")
     )
@@ -185,7 +185,7 @@ def distinct_categories(
 
 def default_rate_by(df: DataFrame, columns: list[str], label: str = K.TARGET) -> DataFrame:
     """Default rate and labelled rows of every category of the columns."""
-    long = S.to_long(df, columns, [label], "string")
+    long = S.to_long(df, columns, [label], S.AS_TEXT)
     return long.groupBy("feature", "value").agg(
         F.avg(label).alias("default_rate"), F.count(label).alias("rows")
     )

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-3  # at most 1000 keys can each own a thousandth of the facts
+HOT_KEYS = 1000  # a key outside the 1000 heaviest owns less than a thousandth
+SALTS = 64
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Left join of facts to a lookup with one row per key.
 
-    ``weight`` is how many fact rows each key has (or an estimate). Keys above
-    :data:`HOT_SHARE` of the total, at most 1000 of them, are broadcast, so their
-    facts are never gathered in one task; the others take a shuffled join.
+    ``weight`` is how many fact rows each key has (or an estimate). The heaviest
+    keys are spread over :data:`SALTS` partitions: their facts get a salt from the
+    row's content and their lookup rows one copy per salt. Everything else
+    joins once, so no key's facts end up in one task and no fact is lost.
     """
-    whole = lookup.agg(F.sum(weight).alias("w")).scalar()
-    is_hot = F.coalesce(F.col(weight) >= whole * F.lit(HOT_SHARE), F.lit(False))
-    hot = F.broadcast(lookup.where(is_hot).drop(weight))
-    cold = lookup.where(~is_hot).drop(weight)
-    direct = facts.join(hot, keys, "inner")
-    rest = facts.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
-    return direct.unionByName(rest)
+    heaviest = lookup.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    # at most HOT_KEYS rows
+    hot = F.broadcast(heaviest.select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    salted = facts.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = lookup.drop(weight).join(hot, keys, "left").withColumn("_salt", F.explode(copies))
+    return salted.join(spread.drop("_hot"), [*keys, "_salt"], "left").drop("_salt")

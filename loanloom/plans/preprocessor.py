@@ -23,9 +23,8 @@ INLINE_CLASSES = 1000  # classes of one column that fit into the plan itself
 
 def class_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows per (feature, class); a missing value is a class of its own."""
-    long = S.to_long(
-        df, columns, cell=lambda c: F.coalesce(c.cast("string"), F.lit(K.MISSING_CLASS))
-    )
+    cell = f"coalesce(CAST({{0}} AS STRING), '{K.MISSING_CLASS}')"
+    long = S.to_long(df, columns, cell=cell)
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -22,6 +22,8 @@ def local_session(cpus: str = "*", app: str = "loanloom", memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         # the wide client table has ~250 columns; keep it inside generated code
         .config("spark.sql.codegen.maxFields", "400")
+        # no call-site lookup for each of the thousands of column expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

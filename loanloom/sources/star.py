@@ -105,9 +105,12 @@ class StarTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = str(folder).rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def view(self, name: str) -> DataFrame:
         inputs, text = VIEWS[name]
