@@ -42,12 +42,23 @@ def histogram_comparison(both: DataFrame, column: str, bins: int = 50) -> DataFr
     return histogram(both, column, bins, ["side"])
 
 
-def _counts_by_side(long: DataFrame) -> DataFrame:
-    """Rows of either side per (feature, value)."""
-    marked = long.select(
-        "feature", "value", G.flag(_side(REFERENCE)).alias("r"), G.flag(_side(CURRENT)).alias("c")
-    )
-    return marked.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+def _counts_by_side(
+    both: DataFrame, columns: list[str], cell: str = "CAST({0} AS DOUBLE)"
+) -> DataFrame:
+    """Rows of either side per (feature, value), combined before the shuffle.
+
+    The sides are unpivoted separately (each filter leaves one input of the
+    pair): an unpivot that carries the side along would not let Spark share
+    the counts between the uses.
+    """
+
+    def leg(side: str) -> DataFrame:
+        return S.to_long(both.where(_side(side)), columns, cell=cell).withColumns(
+            {"r": F.lit(int(side == REFERENCE)), "c": F.lit(int(side == CURRENT))}
+        )
+
+    legs = leg(REFERENCE).unionByName(leg(CURRENT))
+    return legs.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
 def _across(rows: DataFrame, value: str) -> DataFrame:
@@ -91,7 +102,7 @@ def ks_test(both: DataFrame, columns: list[str]) -> DataFrame:
     are then accumulated in buckets, so no task orders a whole column. A column
     without values on one side has no statistic.
     """
-    counts = _counts_by_side(S.to_long(both, columns, ["side"]))
+    counts = _counts_by_side(both, columns)
     ranked = running_totals(counts, ["feature"], "value", ["r", "c"])
     gap = F.abs(
         G.safe_div(F.col("r_upto"), F.col("r_all")) - G.safe_div(F.col("c_upto"), F.col("c_all"))
@@ -129,7 +140,7 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
 
 def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
     """Chi-squared homogeneity test of every categorical column across the sides."""
-    cells = _counts_by_side(S.to_long(both, columns, ["side"], S.AS_TEXT))
+    cells = _counts_by_side(both, columns, S.AS_TEXT)
     whole = cells.groupBy("feature").agg(
         F.sum("r").alias("r_all"), F.sum("c").alias("c_all"), F.count(F.lit(1)).alias("categories")
     )

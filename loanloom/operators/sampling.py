@@ -31,7 +31,8 @@ def hash_cutoffs(
 
     ``ranks`` is an array of 1-based ranks computed from ``n``, the rows of
     the stratum. Gives one row per stratum with ``cuts``, an array of
-    (digest, key) in rank order; a rank of 0 or beyond ``n`` has no entry.
+    (digest, key) in rank order; a rank of 0 or beyond ``n`` has no entry. The
+    rows of a repeated key always fall on the same side of a cut-off.
     """
     bucket = F.substring(key_hash(key, seed), 1, BUCKET_HEX_DIGITS)
     keyed = df.select(*strata, key, bucket.alias("bucket"))
@@ -61,12 +62,16 @@ def hash_cutoffs(
     same = [F.col("bucket") == F.col("_s_bucket")]
     same += [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in strata]
     inside = keyed.join(F.broadcast(buckets), same, "inner")
-    position = F.col("before") + F.row_number().over(
-        W.partitionBy(*strata, "bucket").orderBy(_order(key, seed))
+    # a key that occurs often is one row from here on
+    per_key = inside.groupBy(*strata, "bucket", key).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("before").alias("before"), F.first("ranks").alias("ranks")
     )
+    upto_key = W.partitionBy(*strata, "bucket").orderBy(_order(key, seed))
+    upto_key = upto_key.rowsBetween(W.unboundedPreceding, W.currentRow)
     at_cut = (
-        inside.withColumn("rank", position)
-        .where(F.expr("array_contains(ranks, rank)"))
+        per_key.withColumn("last", F.col("before") + F.sum("rows").over(upto_key))
+        .select("*", F.explode("ranks").alias("rank"))
+        .where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("rows")))
         .select(*strata, "rank", _order(key, seed).alias("cut"))
     )
     return at_cut.groupBy(*strata).agg(

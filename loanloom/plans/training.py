@@ -6,7 +6,12 @@ import json
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +159,25 @@ def cross_validate(
     return E.fold_metrics(held_out)
 
 
+def save_scorer(spark, scorer: VectorScorer, path: str) -> None:
+    """Fitted classifier and the order of its features."""
+    scorer.model.write().overwrite().save(f"{path}/model")
+    text = json.dumps({"kind": type(scorer.model).__name__, "features": scorer.features})
+    spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{path}/features")
+
+
+MODEL_CLASSES = {
+    "GBTClassificationModel": GBTClassificationModel,
+    "LogisticRegressionModel": LogisticRegressionModel,
+}
+
+
+def load_scorer(spark, path: str) -> VectorScorer:
+    text = "\n".join(r["value"] for r in spark.read.text(f"{path}/features").collect())
+    kept = json.loads(text)
+    return VectorScorer(MODEL_CLASSES[kept["kind"]].load(f"{path}/model"), kept["features"])
+
+
 def model_card(spark, config: dict, features: list[str], trained_on: str | None = None) -> DataFrame:
     """One row describing a model: name, threshold, costs, features, metrics, date."""
     metrics = {k: float(v) for k, v in config.get("metrics", {}).items()}
@@ -173,7 +197,3 @@ def model_card(spark, config: dict, features: list[str], trained_on: str | None
         "model_name string, model_version string, threshold double, cost_fn double, cost_fp double,"
         " n_features int, features array<string>, metrics map<string,double>, training_date string",
     )
-
-
-def config_json(config: dict) -> str:
-    return json.dumps(config, indent=2, ensure_ascii=False)

@@ -17,6 +17,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = K.CLIENT_KEY, buckets: int = 200) -> None:
+    """A catalog table bucketed by a key: later aggregations and joins on it need no shuffle."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+
+
 def predictions(
     scored: DataFrame, threshold: float, proba: str = "proba", key: str = K.CLIENT_KEY, bands: bool = True
 ) -> DataFrame:
