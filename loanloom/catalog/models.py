@@ -587,7 +587,7 @@ def m15(t):
     "m14_fallback_explanation",
     with_tables(
         f"""
-SELECT SK_ID_CURR, CAST(rank AS INTEGER) AS rank, feature, {r6('v', 'value', 4)}, {r6('importance', 'contribution', 4)},
+SELECT SK_ID_CURR, CAST(rank AS INTEGER) AS rank, feature, {r6('v', 'value')}, {r6('importance', 'contribution')},
   CASE WHEN v > 0 THEN '{K.RAISES_RISK}' ELSE '{K.LOWERS_RISK}' END AS direction
 FROM (SELECT * FROM ranked WHERE rank <= 10) JOIN (
   {' UNION ALL '.join(f"SELECT SK_ID_CURR, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), 0) AS v FROM feat" for c in [*Q.APP_NUMERIC, *Q.DERIVED])}
@@ -595,11 +595,10 @@ FROM (SELECT * FROM ranked WHERE rank <= 10) JOIN (
         "app",
         **_RANK_CTES,
     ),
-    digits=4,
 )
 def m14(t):
     df = application_features(t.app)
-    return X.fallback_explanation(df, _importance(t), [*Q.APP_NUMERIC, *Q.DERIVED])
+    return X.fallback_explanation(df, _importance(t), [*Q.APP_NUMERIC, *Q.DERIVED], digits=None)
 
 
 _PAYLOAD = """
@@ -630,10 +629,7 @@ SELECT SK_ID_CURR AS id, CASE SK_ID_CURR % 3 WHEN 2 THEN 'Contribution' ELSE 'Va
 def x3(t):
     t.scored.createOrReplaceTempView("scored")
     payloads = t.spark.sql(_PAYLOAD)
-    rows = X.normalize_explanations(payloads, "body", "id")
-    return rows.select("id", "impact_label", "base_value", F.explode("contributions").alias("c")).select(
-        "id", "impact_label", "base_value", "c.*"
-    )
+    return X.explanation_rows(X.normalize_explanations(payloads, "body", "id"), "id")
 
 
 # ---------------------------------------------------------------- trained models

@@ -514,8 +514,8 @@ _APP_CORR = " UNION ALL ".join(
     "w4_strongest_correlations",
     with_tables(
         f"""
-SELECT feature, {r6('correlation', 'correlation')}, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY correlation, feature LIMIT 5)
-UNION ALL SELECT feature, {r6('correlation', 'correlation')}, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY correlation DESC, feature LIMIT 5)""",
+SELECT feature, {r6('correlation', 'correlation')}, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9), feature LIMIT 5)
+UNION ALL SELECT feature, {r6('correlation', 'correlation')}, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9) DESC, feature LIMIT 5)""",
         "app",
         train=TRAIN,
         corrs=_APP_CORR,
@@ -545,8 +545,8 @@ def w4_missing(t):
     "w9_head_and_tail",
     with_tables(
         """
-SELECT feature, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY correlation, feature LIMIT 15)
-UNION ALL SELECT feature, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY correlation DESC, feature LIMIT 15)""",
+SELECT feature, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9), feature LIMIT 15)
+UNION ALL SELECT feature, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9) DESC, feature LIMIT 15)""",
         *SPINE_VIEWS,
         **spine_ctes(),
         trained=TRAINED,
@@ -755,7 +755,7 @@ def a22(t):
 @register(
     "j5_values_against_population",
     with_tables(
-        f"SELECT DISTINCT feature, {r6('value', 'value')}, {r6('percentile', 'percentile')} FROM positions",
+        f"SELECT feature, {r6('value', 'value')}, {r6('percentile', 'percentile')} FROM (SELECT DISTINCT feature, value, percentile FROM positions)",
         "app",
         **_COMPARE_CTES,
     ),

@@ -87,9 +87,11 @@ def tag_frequency(df: DataFrame, column: str, delimiter: str | None) -> DataFram
     """Rows per tag; without a delimiter the whole value is one tag."""
     v = S.quoted(column).cast("string")
     tags = tags_of(v, delimiter) if delimiter else F.array(F.trim(v))
+    # the outer form keeps Spark from splitting every value twice (once to filter)
     return (
         df.where(v.isNotNull())
-        .select(F.explode(tags).alias("tag"))
+        .select(F.explode_outer(tags).alias("tag"))
+        .where(F.col("tag").isNotNull())
         .groupBy("tag")
         .agg(F.count(F.lit(1)).alias("rows"))
     )

@@ -134,8 +134,11 @@ def scaled_profile(
             ]
         )
     )
-    rows = known.select(key, cells.alias("cells")).where(F.size("cells") >= at_least)
-    return rows.select(key, F.explode("cells").alias("cell")).select(key, "cell.*")
+    usable = G.total(
+        [(S.quoted(c).isNotNull() & F.col(f"_p.`{c}`.lo").isNotNull()).cast("int") for c in features]
+    )
+    rows = known.where(usable >= at_least).select(key, F.explode_outer(cells).alias("cell"))
+    return rows.where(F.col("cell").isNotNull()).select(key, "cell.*")
 
 
 def compare_categories(

@@ -178,12 +178,21 @@ def contribution_summary(cells: DataFrame) -> DataFrame:
 
 
 def fallback_explanation(
-    df: DataFrame, importance: DataFrame, features: list[str], key: str = K.CLIENT_KEY, n: int = 10
+    df: DataFrame,
+    importance: DataFrame,
+    features: list[str],
+    key: str = K.CLIENT_KEY,
+    n: int = 10,
+    digits: int | None = 4,
 ) -> DataFrame:
     """Globally important features with the client's own values.
 
     The direction only follows the value's sign; a missing value counts as 0.
     """
+
+    def shown(value: Column) -> Column:
+        return value if digits is None else F.bround(value, digits)
+
     top = importance_ranking(importance.where(F.col("feature").isin(features)), n)
     long = S.to_long(df, features, [key], "coalesce(CAST({0} AS DOUBLE), 0D)")
     rows = long.join(F.broadcast(top.select("feature", "importance", "rank")), "feature")
@@ -191,8 +200,8 @@ def fallback_explanation(
         key,
         "rank",
         "feature",
-        F.round("value", 4).alias("value"),
-        F.round(G.dbl(F.col("importance")), 4).alias("contribution"),
+        shown(F.col("value")).alias("value"),
+        shown(G.dbl(F.col("importance"))).alias("contribution"),
         F.when(F.col("value") > 0, K.RAISES_RISK).otherwise(K.LOWERS_RISK).alias("direction"),
     )
 
@@ -309,3 +318,15 @@ def normalize_explanations(df: DataFrame, body: str, key: str) -> DataFrame:
             "array<struct<feature:string,value:string,impact:double,direction:string>>"
         )).alias("contributions"),
     )
+
+
+def explanation_rows(normalized: DataFrame, key: str) -> DataFrame:
+    """One row per contribution of a normalised explanation.
+
+    The outer form of explode: the plain one adds a "not empty" filter that is
+    pushed down to the source and would parse every payload many times.
+    """
+    rows = normalized.select(
+        key, "impact_label", "base_value", F.explode_outer("contributions").alias("c")
+    )
+    return rows.where(F.col("c").isNotNull()).select(key, "impact_label", "base_value", "c.*")

@@ -241,10 +241,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def strongest_correlations(correlations: DataFrame, n: int = 15) -> DataFrame:
-    """The n lowest and the n highest correlations, one below the other."""
+    """The n lowest and the n highest correlations, one below the other.
+
+    Correlations that agree to nine digits count as tied and go by name.
+    """
     known = correlations.where(F.col("correlation").isNotNull())
-    head = known.orderBy("correlation", "feature").limit(n).withColumn("end", F.lit("head"))
-    tail = known.orderBy(F.desc("correlation"), "feature").limit(n).withColumn("end", F.lit("tail"))
+    size = F.round("correlation", 9)
+    head = known.orderBy(size, "feature").limit(n).withColumn("end", F.lit("head"))
+    tail = known.orderBy(size.desc(), "feature").limit(n).withColumn("end", F.lit("tail"))
     return head.unionByName(tail)
 
 

@@ -72,6 +72,9 @@ def top_contributions(
 
     best = F.slice(F.array_sort(cells, order), 1, n)
     kept = keep or []
-    return df.select(key, *kept, F.posexplode(best).alias("pos", "cell")).select(
+    # the outer form: a plain explode would add a "not empty" filter that is
+    # pushed down and sorts every array a second time
+    rows = df.select(key, *kept, F.posexplode_outer(best).alias("pos", "cell"))
+    return rows.where(F.col("pos").isNotNull()).select(
         key, *kept, (F.col("pos") + 1).alias("rank"), "cell.*"
     )
