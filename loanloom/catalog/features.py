@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from loanloom import constants as K
 from loanloom.catalog import sqltext as Q
 from loanloom.catalog.base import r6, register, with_tables
-from loanloom.functions import guards as G
-from loanloom.functions import schema as S
 from loanloom.operators import aggregates as A
 from loanloom.operators import applicant as P
 from loanloom.plans.spine import build_spine

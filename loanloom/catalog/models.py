@@ -178,12 +178,6 @@ def m1(t):
     )
 
 
-_CODES = {
-    c: f"""(SELECT count(DISTINCT coalesce(x.{c}, 'MISSING')) FROM train x WHERE coalesce(x.{c}, 'MISSING') < coalesce(a.{c}, 'MISSING'))"""
-    for c in Q.APP_STRING
-}
-
-
 @register(
     "m1_encoded_columns",
     with_tables(

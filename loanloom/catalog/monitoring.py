@@ -12,17 +12,14 @@ from loanloom.catalog.base import r6, register, with_tables
 from loanloom.catalog.features import FEATURE_SELECT
 from loanloom.catalog.models import SCORED_APP, SCORER, _scored_sql
 from loanloom.catalog.profiles import corr_sql
-from loanloom.functions import schema as S
 from loanloom.operators import drift as D
 from loanloom.operators import evaluate as E
 from loanloom.operators.profile import column_stats
 from loanloom.operators.ranking import importance_ranking
 from loanloom.plans.scoring import score
-from loanloom.plans.training import model_card
 from loanloom.session import scratch_path
 from loanloom.sources import readers as I
 from loanloom.sources import sinks as O
-from loanloom.sources.star import VIEWS
 from loanloom.streaming import jobs as J
 
 ID = K.CLIENT_KEY

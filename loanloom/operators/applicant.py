@@ -9,14 +9,14 @@ from loanloom import constants as K
 from loanloom.functions import guards as G
 
 
-def _ratio_spec() -> list[tuple[str, str, str]]:
-    return [
-        ("CREDIT_INCOME_RATIO", "AMT_CREDIT", "AMT_INCOME_TOTAL"),
-        ("ANNUITY_INCOME_RATIO", "AMT_ANNUITY", "AMT_INCOME_TOTAL"),
-        ("CREDIT_GOODS_RATIO", "AMT_CREDIT", "AMT_GOODS_PRICE"),
-        ("INCOME_PER_PERSON", "AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
-        ("ANNUITY_LENGTH", "AMT_CREDIT", "AMT_ANNUITY"),
-    ]
+# Fixed values: (output, numerator, denominator)
+RATIOS = [
+    ("CREDIT_INCOME_RATIO", "AMT_CREDIT", "AMT_INCOME_TOTAL"),
+    ("ANNUITY_INCOME_RATIO", "AMT_ANNUITY", "AMT_INCOME_TOTAL"),
+    ("CREDIT_GOODS_RATIO", "AMT_CREDIT", "AMT_GOODS_PRICE"),
+    ("INCOME_PER_PERSON", "AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
+    ("ANNUITY_LENGTH", "AMT_CREDIT", "AMT_ANNUITY"),
+]
 
 
 def financial_ratios(columns: list[str]) -> dict[str, Column]:
@@ -24,7 +24,7 @@ def financial_ratios(columns: list[str]) -> dict[str, Column]:
     have = set(columns)
     return {
         name: G.ratio(F.col(a), F.col(b))
-        for name, a, b in _ratio_spec()
+        for name, a, b in RATIOS
         if a in have and b in have
     }
 

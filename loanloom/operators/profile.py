@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loanloom import constants as K
 from loanloom.functions import guards as G
@@ -326,7 +325,3 @@ def column_kinds(ranges: DataFrame) -> DataFrame:
             | (whole & (low >= 0) & (high <= 5))
         ).alias("is_bounded"),
     )
-
-
-def is_numeric(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.NumericType)
