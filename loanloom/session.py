@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+# where sessions of one machine keep intermediate data; clusters set their own
+LOCAL_SCRATCH = "file:///tmp/checkpoints/loanloom"
 
 
-def local_session(cpus: str = "*", app: str = "loanloom", memory: str = "8g") -> SparkSession:
+def local_session(
+    cpus: str = "*", app: str = "loanloom", memory: str = "8g", scratch: str = LOCAL_SCRATCH
+) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -20,6 +22,7 @@ def local_session(cpus: str = "*", app: str = "loanloom", memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", scratch)
         # the wide client table has ~250 columns; keep it inside generated code
         .config("spark.sql.codegen.maxFields", "400")
         # no call-site lookup for each of the thousands of column expressions
@@ -29,20 +32,14 @@ def local_session(cpus: str = "*", app: str = "loanloom", memory: str = "8g") ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
+    Where that is unset, a folder below the warehouse, which all executors share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="loanloom-")
-    return _LOCAL_SCRATCH[app]
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
