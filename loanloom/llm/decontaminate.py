@@ -213,6 +213,30 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
         yield rows
 
 
+def _search(items: list, passages: tuple[str, ...], rate: float, kind: str):
+    """UDF: all places of a block's passages in a text."""
+    names = ("item_id", "start", "end", "edits")
+
+    @F.pandas_udf(f"array<struct<item_id: {kind}, start: bigint, end: bigint, edits: int>>")
+    def search(texts: pd.Series) -> pd.Series:
+        own = index_of(passages, rate)
+        found = [[dict(zip(names, (items[k], *place))) for k, *place in find(t, own)] for t in texts]
+        return pd.Series(found, dtype=object)
+
+    return search
+
+
+def _clean(passages: tuple[str, ...], rate: float):
+    """UDF: whether a text holds none of a block's passages."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        own = index_of(passages, rate)
+        return pd.Series([not find(t, own) for t in texts], dtype=bool)
+
+    return clean
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -228,14 +252,7 @@ def leaks(
     id_kind = docs.schema[doc_id].dataType.simpleString()
     found = spark.createDataFrame([], f"doc_id {id_kind}, item_id {kind}, start long, end long, edits int")
     for block in blocks(benchmark, item_id, item_text):
-        items, passages = [b[0] for b in block], tuple(b[1] for b in block)
-
-        @F.pandas_udf(f"array<struct<item_id: {kind}, start: bigint, end: bigint, edits: int>>")
-        def search(texts: pd.Series, items=items, passages=passages) -> pd.Series:
-            own = index_of(passages, rate)
-            rows = [[(items[k], a, b, e) for k, a, b, e in find(t, own)] for t in texts]
-            return pd.Series([[dict(zip(("item_id", "start", "end", "edits"), r)) for r in x] for x in rows])
-
+        search = _search([b[0] for b in block], tuple(b[1] for b in block), rate, kind)
         hits = docs.select(
             F.col(doc_id).alias("doc_id"), F.explode(search(F.col(text).cast("string"))).alias("hit")
         )
@@ -254,14 +271,7 @@ def drop_leaked(
     """The rows of ``docs`` that hold no passage of the benchmark. Nothing is shuffled."""
     kept = docs
     for number, block in enumerate(blocks(benchmark, item_id, item_text)):
-        passages = tuple(b[1] for b in block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, passages=passages) -> pd.Series:
-            own = index_of(passages, rate)
-            return pd.Series([not find(t, own) for t in texts], dtype=bool)
-
-        kept = (materialize(kept, "clean-so-far") if number else kept).where(
-            clean(F.col(text).cast("string"))
-        )
+        clean = _clean(tuple(b[1] for b in block), rate)
+        so_far = materialize(kept, "clean-so-far") if number else kept
+        kept = so_far.where(clean(F.col(text).cast("string")))
     return kept
