@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanloom.session import scratch_path
+
 # the white space of all contracts: space and the five ASCII controls
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -38,3 +42,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write to the shared folder in buckets, so that grouping by ``column`` moves nothing.
+
+    The table's name is only needed to read the buckets; the files stay, the name goes.
+    """
+    spark = df.sparkSession
+    named = f"{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    df.write.bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(named)
+    stored = spark.table(named)
+    stored.schema  # resolved while the name exists
+    spark.sql(f"DROP TABLE {named}")
+    return stored

@@ -10,6 +10,8 @@ distinct words and word pairs travel, packed, to the shard that owns them:
    from it. A context with much of all tokens is spread over several shards by next word;
 3. each chunk puts its answers together and adds up its documents.
 
+Chunks are written in buckets, so they stay where they are when answers come back.
+
 The trie of a shard has two levels: the contexts' hashes, and for each context its
 successors, made one monotone sequence by the context's rank. Both levels and the
 pointers between them are Elias-Fano coded; each successor has its smoothed probability
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import shuffle_partitions
+from loanloom.llm.common import bucketed, shuffle_partitions
 from loanloom.session import materialize
 
 CHUNK = 2_000_000
@@ -470,7 +472,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), (~held_out).alias("train"), F.col(text).cast("string").alias("text")
     )
-    chunks = materialize(rows.mapInPandas(_cut(shards, chunk), CHUNKS), "lm-chunks")
+    chunks = bucketed(rows.mapInPandas(_cut(shards, chunk), CHUNKS), "lm_chunks", "chunk")
     bodies = chunks.where("shard = -1").select("chunk", "tokens").groupBy("chunk")
     lists = chunks.where("shard >= 0").select("chunk", "shard", "words")
     words = materialize(lists.groupBy("shard").applyInPandas(_count_words, ANSWERS), "lm-words")
