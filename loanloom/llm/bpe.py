@@ -38,7 +38,7 @@ CLOSED, LETTERS, NUMBERS, OTHERS, SPACES, JOINED, LACKS_ONE, LACKS_TWO = range(8
 # space before white space or the end, a blank or other white space before something else
 LET, NUM, OTH, SHORT, LONG, WIDE, BLANK, GAP = range(8)
 STATES = 8
-BLOCK = 1 << 21  # code points per scan
+BLOCK = 1 << 20  # code points per scan
 LANES = 2048
 
 
@@ -132,7 +132,7 @@ def boundaries(points: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------------- merges
 
-CACHED = 1_000_000  # pieces a worker remembers before it starts anew
+CACHED = 250_000  # pieces a worker remembers before it starts anew
 LONG_PIECE = 512
 NONE = np.int64(1) << 40
 
@@ -351,7 +351,7 @@ def encoder(path: str) -> Encoder:
 
 # ------------------------------------------------------------------- operators
 
-STEP = 1 << 22  # characters encoded together
+STEP = 1 << 20  # characters encoded together
 
 
 def _groups(texts: list[str]):

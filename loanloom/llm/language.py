@@ -28,6 +28,7 @@ from loanloom.llm.common import fresh, held_out
 FEATURES = 4096
 ROWS_PER_LANGUAGE = 1000
 PIECE = 1 << 20  # code points looked at together
+TOGETHER = 256  # texts whose features are held together
 UNKNOWN = "und"
 
 # fixed values: languages by family; a language that is not listed is its own family
@@ -183,13 +184,14 @@ def fit(
 def _predictor(model: LanguageModel):
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        found = [features(t) for t in texts]
-        known = [i for i, v in enumerate(found) if v is not None]
-        names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-        if known:
-            some, values = model.predict(np.stack([found[i] for i in known]))
-            for i, name, value in zip(known, some, values):
-                names[i], scores[i] = name, float(value)
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for at in range(0, len(texts), TOGETHER):
+            found = [features(t) for t in texts[at : at + TOGETHER]]
+            known = [i for i, v in enumerate(found) if v is not None]
+            if known:
+                some, values = model.predict(np.stack([found[i] for i in known]))
+                for i, name, value in zip(known, some, values):
+                    names[at + i], scores[at + i] = name, float(value)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict
