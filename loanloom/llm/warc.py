@@ -60,7 +60,7 @@ def _fields(block: bytes) -> dict[str, str]:
 
 
 def parse_record(raw: bytes | None) -> dict:
-    """One WARC record with its HTTP head taken apart."""
+    """One WARC record with its HTTP head taken apart; the date is left as text."""
     empty = dict.fromkeys([c.split()[0] for c in RECORD.split(", ")])
     if not raw or not raw.startswith(b"WARC/"):
         return empty
@@ -72,11 +72,9 @@ def parse_record(raw: bytes | None) -> dict:
         "kind": warc.get("warc-type"),
         "record_id": warc.get("warc-record-id"),
         "target_uri": warc.get("warc-target-uri"),
-        "captured_at": pd.to_datetime(warc.get("warc-date"), errors="coerce", utc=True),
+        "captured_at": warc.get("warc-date"),
         "profile": warc.get("warc-profile"),
     }
-    if found["captured_at"] is pd.NaT:
-        found["captured_at"] = None
     if block.startswith(b"HTTP/"):
         http, _, payload = block.partition(b"\r\n\r\n")
         status, _, lines = http.partition(b"\r\n")
@@ -92,15 +90,13 @@ def parse(raw: DataFrame, record: str = "record") -> DataFrame:
 
     @F.pandas_udf(RECORD.replace("captured_at timestamp", "captured_at string"))
     def run(records: pd.Series) -> pd.DataFrame:
-        rows = [parse_record(r) for r in records]
-        for r in rows:
-            r["captured_at"] = r["captured_at"].isoformat() if r["captured_at"] is not None else None
-        found = pd.DataFrame(rows, columns=names)
+        found = pd.DataFrame([parse_record(r) for r in records], columns=names)
         found["http_status"] = found["http_status"].astype("Int64")
         return found
 
     parsed = raw.select(run(F.col(record)).alias("r"), *[F.col(f"`{c}`") for c in raw.columns if c not in names])
-    fields = [F.to_timestamp("r.captured_at").alias(n) if n == "captured_at" else F.col(f"r.{n}") for n in names]
+    date = F.col("r.captured_at").try_cast("timestamp").alias("captured_at")
+    fields = [date if n == "captured_at" else F.col(f"r.{n}") for n in names]
     return parsed.select(*fields, *[F.col(f"`{c}`") for c in parsed.columns if c not in ("r", record)])
 
 
