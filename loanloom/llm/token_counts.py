@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LENGTHS = 1024
+from loanloom.session import materialize
+
+LENGTHS = 256
 
 
 @lru_cache(maxsize=2)
@@ -55,7 +57,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     ones; truncated_tokens: what is left if each text is cut to the limit; share_fit:
     the part of texts that fit, so the limit is the quantile of each share up to it.
     """
-    rows = counts.select(
+    # used twice: write the few rows instead of encoding all texts again
+    rows = materialize(counts, "length-counts").select(
         "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens")
     ).withColumn("block", F.floor(F.col("length") / LENGTHS))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
