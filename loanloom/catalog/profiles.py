@@ -359,7 +359,7 @@ def a11(t):
 @register("a11_describe_bucketed", with_tables(_DESCRIBE, "app", train=TRAIN, long=LONG_TRAIN))
 def a11_bucketed(t):
     """The same result by the search meant for inputs of any size."""
-    return P.describe_numeric(t.train, NUM, method="bucketed")
+    return P.describe_numeric(t.train, NUM, method="exact")
 
 
 _DERIVED_LONG = Q.union_long("train", list(Q.DERIVED))
@@ -583,7 +583,7 @@ def a17(t):
     ),
 )
 def a17_bucketed(t):
-    return quantiles(t.raw("lineitem"), ["l_extendedprice", "l_discount"], POINTS, method="bucketed")
+    return quantiles(t.raw("lineitem"), ["l_extendedprice", "l_discount"], POINTS, method="exact")
 
 
 _RANGES = """
@@ -823,12 +823,12 @@ _CAT_CTES = dict(
 
 @register("a25_category_comparison", with_tables(_CATS.format(where="WHERE u <= 15"), "app", **_CAT_CTES))
 def a25(t):
-    return C.compare_categories(t.app, t.train, Q.APP_STRING)
+    return C.compare_categories(t.app, t.train, Q.APP_STRING, K.CLIENT_KEY, K.MAX_CHART_CATEGORIES)
 
 
 @register("a25_category_comparison_all", with_tables(_CATS.format(where=""), "app", **_CAT_CTES))
 def a25_all(t):
-    return C.compare_categories(t.app, t.train, Q.APP_STRING, max_categories=None)
+    return C.compare_categories(t.app, t.train, Q.APP_STRING)
 
 
 # ----------------------------------------------------------------- text columns

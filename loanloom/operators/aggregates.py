@@ -58,12 +58,13 @@ def aggregate_bureau(
     bureau: DataFrame,
     balance: DataFrame | None,
     columns: list[str] | None = None,
-    limit: int = 10,
+    limit: int | None = None,
 ) -> DataFrame:
-    """External credits per client: mean/max/min/sum of the first numeric columns, and a count.
+    """External credits per client: mean/max/min/sum of the numeric columns, and a count.
 
     The balance summary counts as further numeric columns at the end; the
-    balance table is only read when one of them is selected.
+    balance table is only read when one of them is selected. ``limit`` keeps the first
+    columns only; the published model was fitted with 10.
     """
     if columns is None:
         own = S.numeric_columns(bureau, (K.CLIENT_KEY, K.BUREAU_KEY))
@@ -85,11 +86,14 @@ def status_flags(previous: DataFrame) -> DataFrame:
 
 
 def aggregate_previous(
-    previous: DataFrame, columns: list[str] | None = None, limit: int = 8
+    previous: DataFrame, columns: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Earlier applications per client, with approved and refused counts."""
+    """Earlier applications per client, with approved and refused counts.
+
+    ``limit`` keeps the first numeric columns only; the published model was fitted with 8.
+    """
     if columns is None:
-        columns = S.first_numeric(previous, limit, (K.CLIENT_KEY, K.PREVIOUS_KEY))
+        columns = S.numeric_columns(previous, (K.CLIENT_KEY, K.PREVIOUS_KEY))[:limit]
     spec: Spec = [(c, ["mean", "max", "min"]) for c in columns]
     spec += [(K.PREVIOUS_KEY, ["count"]), ("PREV_APPROVED", ["sum"]), ("PREV_REFUSED", ["sum"])]
     return aggregate_to_client(status_flags(previous), K.CLIENT_KEY, spec, "PREV")

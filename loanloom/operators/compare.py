@@ -146,12 +146,12 @@ def compare_categories(
     population: DataFrame,
     features: list[str],
     key: str = K.CLIENT_KEY,
-    max_categories: int | None = K.MAX_CHART_CATEGORIES,
+    max_categories: int | None = None,
 ) -> DataFrame:
     """Per client and text feature: share of the client's value, the mode and its share.
 
-    With ``max_categories`` features with more distinct values are skipped,
-    as in the chart; None compares every feature.
+    With ``max_categories`` (the chart takes ``MAX_CHART_CATEGORIES``) features
+    with more distinct values are skipped.
     """
     counts = category_counts(population, features)
     most = F.min_by("value", F.struct(-F.col("rows"), F.col("value")))

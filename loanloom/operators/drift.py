@@ -32,7 +32,7 @@ def _side(value: str) -> Column:
     return F.col("side") == value
 
 
-def distribution_comparison(both: DataFrame, columns: list[str], method: str = "auto") -> DataFrame:
+def distribution_comparison(both: DataFrame, columns: list[str], method: str = "exact") -> DataFrame:
     """Description of every column, per side."""
     return describe_numeric(both, columns, ["side"], method)
 

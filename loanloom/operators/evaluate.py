@@ -276,19 +276,39 @@ def metrics_report(
     thresholds: list[float] | None = None,
 ) -> DataFrame:
     """Metrics at 0.5 and at the optimum, and what the optimum saves."""
-    curve = threshold_curve(df, label, proba, thresholds, cost_fn, cost_fp)
-    best = optimal_threshold(curve).select("threshold").scalar()
-    default = metrics_at(df, F.lit(0.5), label, proba, cost_fn, cost_fp)
-    optimal = metrics_at(df, best, label, proba, cost_fn, cost_fp)
-    rows = default.withColumn("setting", F.lit("default")).unionByName(
-        optimal.withColumn("setting", F.lit("optimal"))
+    grid = default_grid() if thresholds is None else sorted(thresholds)
+    # one sweep that includes 0.5 gives both rows
+    curve = threshold_curve(df, label, proba, sorted({*grid, 0.5}), cost_fn, cost_fp)
+    asked = F.col("threshold").isin([float(x) for x in grid])
+    found = curve.agg(
+        F.min_by(F.struct(*curve.columns), F.when(asked, F.struct("cost", "threshold"))).alias("optimal"),
+        F.max(F.when(F.col("threshold") == 0.5, F.struct(*curve.columns))).alias("default"),
+    )
+    auc = roc_auc(df, label, proba).scalar()
+    both = F.array(
+        F.struct(F.lit("default").alias("setting"), F.col("default").alias("at")),
+        F.struct(F.lit("optimal").alias("setting"), F.col("optimal").alias("at")),
     )
-    base = default.select("business_cost").scalar()
-    return rows.withColumns(
-        {
-            "cost_reduction": base - F.col("business_cost"),
-            "relative_reduction_pct": G.safe_div(base - F.col("business_cost"), base) * 100,
-        }
+    rows = found.select(F.inline(both), F.col("default.cost").alias("base"))
+    rows = rows.select("setting", "at.*", "base")
+    n = F.col("TP") + F.col("TN") + F.col("FP") + F.col("FN")
+    cost = _require_rows(F.coalesce(n, F.lit(0)), F.col("cost"))
+    return rows.select(
+        "threshold",
+        auc.alias("auc"),
+        _share(F.col("TP") + F.col("TN"), n).alias("accuracy"),
+        "precision",
+        "recall",
+        "f1_score",
+        cost.alias("business_cost"),
+        "normalized_cost",
+        "TP",
+        "TN",
+        "FP",
+        "FN",
+        "setting",
+        (F.col("base") - F.col("cost")).alias("cost_reduction"),
+        (G.safe_div(F.col("base") - F.col("cost"), F.col("base")) * 100).alias("relative_reduction_pct"),
     )
 
 

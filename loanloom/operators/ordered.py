@@ -1,7 +1,7 @@
 """Running totals and exact quantiles over values too many for one task.
 
 Values are first counted, then placed in equi-depth buckets whose bounds come
-from a mergeable quantile sketch. Only the bucket totals (at most 256 per
+from a mergeable quantile sketch. Only the bucket totals (a few per task and
 group) are accumulated in one place; inside a bucket an ordinary window does
 the rest, so no task ever sorts a whole column.
 """
@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from loanloom.functions import schema as S
 from loanloom.functions.guards import double_array
 
-BUCKETS = 256
+LEAST_BUCKETS = 256
 SKETCH_ACCURACY = 4096
 
 
-def sketch_bounds(value: Column) -> Column:
-    """Aggregate: BUCKETS - 1 ascending equi-depth bounds of a column."""
-    points = double_array(i / BUCKETS for i in range(1, BUCKETS))
-    return F.percentile_approx(value, points, SKETCH_ACCURACY)
+def bucket_count(df: DataFrame) -> int:
+    """Buckets per group: as many as a shuffle has partitions, and not too few."""
+    return max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sketch_bounds(value: Column, buckets: int) -> Column:
+    """Aggregate: ascending equi-depth bounds between the buckets of a column."""
+    points = double_array(i / buckets for i in range(1, buckets))
+    return F.percentile_approx(value, points, max(SKETCH_ACCURACY, 16 * buckets))
 
 
 def count_below(value: Column, bounds: Column, size: int, inclusive: bool = False) -> Column:
@@ -41,13 +46,13 @@ def count_below(value: Column, bounds: Column, size: int, inclusive: bool = Fals
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
-def add_bucket(df: DataFrame, value: str, bounds: str) -> DataFrame:
+def add_bucket(df: DataFrame, value: str, bounds: str, buckets: int) -> DataFrame:
     """Adds ``bucket`` from a column of bounds and drops the bounds."""
-    return df.withColumn("bucket", count_below(F.col(value), F.col(bounds), BUCKETS - 1)).drop(bounds)
+    return df.withColumn("bucket", count_below(F.col(value), F.col(bounds), buckets - 1)).drop(bounds)
 
 
 def attach(df: DataFrame, info: DataFrame, by: list[str]) -> DataFrame:
-    """Attach each group's one row of bounds (255 numbers) and totals."""
+    """Attach each group's one row of bounds and totals."""
     if not by:
         one = info.select(F.struct("*").alias("s")).scalar()
         return df.withColumn("_s", one).select(*df.columns, "_s.*")
@@ -65,10 +70,11 @@ def running_totals(
     up to and including the row's), ``m_below`` (strictly below) and ``m_all``
     (the whole group). Callers should use every ``m_all``, see below.
     """
+    buckets = bucket_count(counts)
     stats = counts.groupBy(*by).agg(
-        sketch_bounds(F.col(value)).alias("bounds"), *[F.sum(m).alias(f"{m}_all") for m in measures]
+        sketch_bounds(F.col(value), buckets).alias("bounds"), *[F.sum(m).alias(f"{m}_all") for m in measures]
     )
-    placed = add_bucket(attach(counts, stats, by), value, "bounds")
+    placed = add_bucket(attach(counts, stats, by), value, "bounds", buckets)
     # ``m_all`` refers to every part it can be read from (they agree): so no
     # branch is pruned differently, and all share one shuffle of the counts
     totals = placed.groupBy(*by, "bucket").agg(
@@ -100,15 +106,6 @@ def running_totals(
 
 # ------------------------------------------------------------------- quantiles
 
-# up to this estimated input size one task may hold all distinct values
-BUFFERED_LIMIT = 64 * 1024 * 1024
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of a plan's output."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
 
 def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
@@ -119,110 +116,46 @@ def quantiles(
     columns: list[str],
     probabilities: list[float],
     by: list[str] | None = None,
-    method: str = "auto",
+    method: str = "exact",
 ) -> DataFrame:
-    """Exact interpolated quantiles: one row per (by, feature), one column per probability.
+    """Interpolated quantiles: one row per (by, feature), one column per probability.
 
-    NULLs are skipped; a column without values gives no row. ``auto`` takes
-    the built-in buffered aggregate for small inputs and the bucketed search
-    beyond :data:`BUFFERED_LIMIT`.
+    NULLs are skipped; a column without values gives no row. Rows are counted
+    per distinct value once; the running totals of the counts tell which values
+    have the wanted ranks. ``approximate`` takes a sketch instead.
     """
     by = by or []
-    if method == "auto":
-        method = "buffered" if plan_bytes(df) <= BUFFERED_LIMIT else "bucketed"
-    if method == "buffered":
-        return _buffered(df, columns, probabilities, by)
-    if method == "bucketed":
-        return _bucketed(df, columns, probabilities, by)
     if method == "approximate":
         return _approximate(df, columns, probabilities, by)
-    raise ValueError(f"unknown quantile method: {method!r}")
-
-
-def _points_to_columns(rows: DataFrame, probabilities: list[float], by: list[str]) -> DataFrame:
-    return rows.where(F.col("qs").isNotNull()).select(
-        *by, "feature", *[F.col("qs")[i].alias(_name(p)) for i, p in enumerate(probabilities)]
-    )
+    if method != "exact":
+        raise ValueError(f"unknown quantile method: {method!r}")
+    group = [*by, "feature"]
+    counts = S.to_long(df, columns, by).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, group, "value", ["n"])
 
+    def value_at(rank: Column) -> Column:
+        holds = (F.col("n_below") <= rank) & (rank < F.col("n_upto"))
+        return F.max(F.when(holds, F.col("value")))
 
-def _buffered(df, columns, probabilities, by):
-    points = double_array(probabilities)
-    long = S.to_long(df, columns, by)
-    rows = long.groupBy(*by, "feature").agg(F.percentile("value", points).alias("qs"))
-    return _points_to_columns(rows, probabilities, by)
+    found, columns_out = [], []
+    for i, p in enumerate(probabilities):
+        spot = (F.col("n_all") - 1) * F.lit(float(p))
+        found += [
+            value_at(F.floor(spot)).alias(f"lo{i}"),
+            value_at(F.ceil(spot)).alias(f"hi{i}"),
+            F.max(spot - F.floor(spot)).alias(f"part{i}"),
+        ]
+        between = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
+        columns_out.append(between.alias(_name(p)))
+    return ranked.groupBy(*group).agg(*found).select(*group, *columns_out)
 
 
 def _approximate(df, columns, probabilities, by):
     points = double_array(probabilities)
     long = S.to_long(df, columns, by)
-    found = F.percentile_approx("value", points, SKETCH_ACCURACY).alias("qs")
-    return _points_to_columns(long.groupBy(*by, "feature").agg(found), probabilities, by)
-
-
-def _bucketed(df, columns, probabilities, by):
-    """Three scans, and only the buckets that hold a wanted rank are shuffled.
-
-    Scan 1 sketches the bounds, scan 2 counts rows per bucket, scan 3 keeps
-    the few buckets that contain a wanted rank and orders their values.
-    """
-    group = [*by, "feature"]
-    long = S.to_long(df, columns, by)
-    bounds = long.groupBy(*group).agg(sketch_bounds(F.col("value")).alias("bounds"))
-    placed = add_bucket(attach(long, bounds, group), "value", "bounds")
-    totals = placed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    ranked = totals.select(
-        *group,
-        "bucket",
-        "rows",
-        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"),
-        F.sum("rows").over(W.partitionBy(*group)).alias("n"),
-    )
-    spots = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("point"),
-                ((F.col("n") - 1) * F.lit(float(p))).alias("spot"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    # each wanted point needs the elements at floor(spot) and ceil(spot)
-    wanted = (
-        ranked.withColumn("s", F.explode(spots))
-        .select(*group, "bucket", "rows", "base", "s.point", "s.spot")
-        .where((F.floor("spot") < F.col("base") + F.col("rows")) & (F.ceil("spot") >= F.col("base")))
-    )
-    needed = wanted.groupBy(*group, "bucket").agg(
-        F.max("base").alias("base"), F.collect_list(F.struct("point", "spot")).alias("points")
+    rows = long.groupBy(*by, "feature").agg(
+        F.percentile_approx("value", points, SKETCH_ACCURACY).alias("qs")
     )
-    # at most two buckets per wanted point and group
-    inside = placed.join(F.broadcast(needed), [*group, "bucket"])
-    values = inside.groupBy(*group, "bucket", "value").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("base").alias("base"), F.first("points").alias("points")
-    )
-    upto = W.partitionBy(*group, "bucket").orderBy("value")
-    upto = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed_values = values.withColumn("last", F.col("base") + F.sum("rows").over(upto)).withColumn(
-        "first", F.col("last") - F.col("rows")
-    )
-
-    def holds(index: Column) -> Column:
-        return (F.col("first") <= index) & (index < F.col("last"))
-
-    hits = (
-        placed_values.withColumn("p", F.explode("points"))
-        .select(*group, "value", "first", "last", "p.point", "p.spot")
-        .groupBy(*group, "point", "spot")
-        .agg(
-            F.max(F.when(holds(F.floor("spot")), F.col("value"))).alias("lo"),
-            F.max(F.when(holds(F.ceil("spot")), F.col("value"))).alias("hi"),
-        )
-    )
-    exact = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("spot") - F.floor("spot"))
-    return hits.groupBy(*group).agg(
-        *[
-            F.max(F.when(F.col("point") == i, exact)).alias(_name(p))
-            for i, p in enumerate(probabilities)
-        ]
+    return rows.where(F.col("qs").isNotNull()).select(
+        *by, "feature", *[F.col("qs")[i].alias(_name(p)) for i, p in enumerate(probabilities)]
     )

@@ -82,7 +82,7 @@ def class_distribution(df: DataFrame, label: str = K.TARGET) -> DataFrame:
 
 
 def describe_numeric(
-    df: DataFrame, columns: list[str], by: list[str] | None = None, method: str = "auto"
+    df: DataFrame, columns: list[str], by: list[str] | None = None, method: str = "exact"
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max of every column."""
     by = by or []
@@ -129,7 +129,7 @@ def describe_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def describe_all(df: DataFrame, method: str = "auto") -> DataFrame:
+def describe_all(df: DataFrame, method: str = "exact") -> DataFrame:
     """Numeric and categorical description in one table, with missing counts."""
     numeric, text = S.numeric_columns(df), S.string_columns(df)
     left = describe_numeric(df, numeric, method=method).withColumns(
@@ -199,6 +199,9 @@ def top_categories(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 # -------------------------------------------------------------------- correlation
 
 
+PAIRS_TOGETHER = 400
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson over rows that have both values; NULL for a constant column."""
     x, y = G.dbl(x), G.dbl(y)
@@ -219,24 +222,28 @@ def target_correlations(
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise correlations (upper triangle) from one pass of moments."""
+    """Pairwise correlations (upper triangle) from one pass of moments.
+
+    Each pair keeps its moments in one aggregation without groups: a row is
+    never repeated, and one row of moments per task is shuffled. Every
+    PAIRS_TOGETHER pairs read their own few columns again.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    names = [str(i) for i in range(len(pairs))]
-    cells = df.select(
-        *[
-            F.struct(G.dbl(S.quoted(a)).alias("x"), G.dbl(S.quoted(b)).alias("y")).alias(n)
-            for n, (a, b) in zip(names, pairs)
+    # a few hundred aggregates are planned together
+    rows = None
+    for at in range(0, len(pairs), PAIRS_TOGETHER):
+        some = pairs[at : at + PAIRS_TOGETHER]
+        cells = [
+            F.struct(
+                F.lit(a).alias("left"),
+                F.lit(b).alias("right"),
+                correlation(S.quoted(a), S.quoted(b)).alias("correlation"),
+            )
+            for a, b in some
         ]
-    )
-    long = cells.unpivot([], [S.quoted(n) for n in names], "pair", "value")
-    index = F.col("pair").cast("int")
-    return long.groupBy("pair").agg(
-        correlation(F.col("value.x"), F.col("value.y")).alias("correlation")
-    ).select(
-        F.get(F.array(*[F.lit(a) for a, _ in pairs]), index).alias("left"),
-        F.get(F.array(*[F.lit(b) for _, b in pairs]), index).alias("right"),
-        "correlation",
-    )
+        part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
 
 
 def strongest_correlations(correlations: DataFrame, n: int = 15) -> DataFrame:
@@ -254,7 +261,7 @@ def strongest_correlations(correlations: DataFrame, n: int = 15) -> DataFrame:
 # ------------------------------------------------------------------- ranges, kinds
 
 
-def numeric_ranges(df: DataFrame, columns: list[str], method: str = "auto") -> DataFrame:
+def numeric_ranges(df: DataFrame, columns: list[str], method: str = "exact") -> DataFrame:
     """min, max, 5 % and 95 % quantile, and whether all values are whole numbers."""
     stats = column_stats(
         df,
@@ -271,7 +278,7 @@ def numeric_ranges(df: DataFrame, columns: list[str], method: str = "auto") -> D
     )
 
 
-def reference_stats(df: DataFrame, method: str = "auto") -> DataFrame:
+def reference_stats(df: DataFrame, method: str = "exact") -> DataFrame:
     """Typical values: median of numeric columns, most frequent value of the others."""
     numeric = S.numeric_columns(df)
     medians = quantiles(df, numeric, [0.5], method=method).select(
@@ -283,7 +290,7 @@ def reference_stats(df: DataFrame, method: str = "auto") -> DataFrame:
     return medians.unionByName(modes)
 
 
-def dataset_kpis(df: DataFrame, label: str = K.TARGET, method: str = "auto") -> DataFrame:
+def dataset_kpis(df: DataFrame, label: str = K.TARGET, method: str = "exact") -> DataFrame:
     """Headline figures of the population, one row."""
     columns = df.columns
     medians = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", *K.EXTERNAL_SCORES]

@@ -90,7 +90,7 @@ class ClientPreprocessor(Estimator):
         impute: str = "median",
         scale: bool = False,
         drop_high_nan: float = 0.8,
-        quantile_method: str = "auto",
+        quantile_method: str = "exact",
         inline_classes: int = INLINE_CLASSES,
         ignore: tuple[str, ...] = (K.CLIENT_KEY, K.TARGET, "split"),
     ):
