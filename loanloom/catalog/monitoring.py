@@ -12,6 +12,7 @@ from loanloom.catalog.base import r6, register, with_tables
 from loanloom.catalog.features import FEATURE_SELECT
 from loanloom.catalog.models import SCORED_APP, SCORER, _scored_sql
 from loanloom.catalog.profiles import corr_sql
+from loanloom.functions.guards import rounded
 from loanloom.operators import drift as D
 from loanloom.operators import evaluate as E
 from loanloom.operators.profile import column_stats
@@ -165,8 +166,14 @@ def d7(t):
     return D.prediction_drift(t.scored.where(f"ts < {SPLIT_AT}"), t.scored.where(f"ts >= {SPLIT_AT}"))
 
 
+# the upper tail of the chi-squared distribution in closed form, for few even or odd degrees
+_NORMAL_TAIL = "(SELECT 2 * sum(exp(-pow(sqrt(x) + (k + 0.5) * 0.0005, 2) / 2)) * 0.0005 / sqrt(2 * pi()) FROM range(0, 60000) t(k))"
+_CHI_P = f"""CASE WHEN dof % 2 = 0 THEN (SELECT sum(exp(-x / 2 + k * ln(x / 2) - lgamma(k + 1))) FROM range(0, dof // 2) t(k))
+  ELSE {_NORMAL_TAIL} + coalesce((SELECT sum(exp(-x / 2 + (k + 0.5) * ln(x / 2) - lgamma(k + 1.5))) FROM range(0, dof // 2) t(k)), 0) END"""
+
 _CHI = """
-SELECT feature, sum((r - er) * (r - er) / er + (c - ec) * (c - ec) / ec) AS x, count(*) - 1 AS dof FROM (
+SELECT feature, sum((r - er) * (r - er) / er + (c - ec) * (c - ec) / ec) AS x, count(*) - 1 AS dof,
+  CAST(sum(r) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS m FROM (
   SELECT feature, r, c, (r + c) * CAST(sum(r) OVER w AS DOUBLE) / (sum(r) OVER w + sum(c) OVER w) AS er,
     (r + c) * CAST(sum(c) OVER w AS DOUBLE) / (sum(r) OVER w + sum(c) OVER w) AS ec
   FROM (SELECT feature, value, count(*) FILTER (WHERE side = 'reference') AS r, count(*) FILTER (WHERE side = 'current') AS c FROM texts GROUP BY 1, 2)
@@ -176,40 +183,99 @@ SELECT feature, sum((r - er) * (r - er) / er + (c - ec) * (c - ec) / ec) AS x, c
 @register(
     "d6_chi_squared",
     with_tables(
-        f"SELECT feature, {r6('x', 'statistic')}, dof FROM chi",
+        f"SELECT feature, {r6('x', 'statistic')}, dof, n, m, {r6(_CHI_P, 'p_value', 4)} FROM chi",
         "app",
         sided=SIDED,
         texts=Q.union_text("sided", Q.APP_STRING, "side")
         + f" UNION ALL SELECT CASE WHEN ts < {SPLIT_AT} THEN 'reference' ELSE 'current' END, 'event_type', event_type FROM events",
         chi=_CHI,
     ),
+    digits=None,
 )
 def d6(t):
     clients = D.chi2_test(_pair(t), Q.APP_STRING)
     events = D.chi2_test(_event_sides(t, "events").select("side", "event_type"), ["event_type"])
-    return clients.unionByName(events).drop("p_value")
+    rows = clients.unionByName(events)
+    return rounded(rows.drop("p_value"), 6).join(rounded(rows.select("feature", "p_value"), 4), "feature")
+
+
+_TEXTS = Q.union_text("sided", Q.APP_STRING, "side")
+_REPORT = f"""
+SELECT *, CASE WHEN m = 0 THEN 'lost' WHEN n = 0 THEN 'new' ELSE 'tested' END AS status, m = 0 OR n = 0 OR p < 0.05 AS drifted FROM (
+  SELECT feature, 'kolmogorov_smirnov' AS test, d AS statistic, {_KS_P} AS p, n, m FROM ks
+  UNION ALL SELECT feature, 'chi_squared', x, {_CHI_P}, n, m FROM chi)"""
 
 
 @register(
     "d7_drift_alert",
     with_tables(
         f"""
-SELECT count(*) AS features, count(*) FILTER (WHERE p < 0.05) AS drifted_features,
-  {r6('count(*) FILTER (WHERE p < 0.05) / CAST(count(*) AS DOUBLE)', 'drift_share')},
-  count(*) FILTER (WHERE p < 0.05) / CAST(count(*) AS DOUBLE) >= 0.5 AS alert FROM (SELECT {_KS_P} AS p FROM ks)""",
+SELECT count(*) AS features, count(*) FILTER (WHERE drifted) AS drifted_features, count(*) FILTER (WHERE status <> 'tested') AS one_sided_features,
+  {r6('count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE)', 'drift_share')},
+  count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE) >= 0.5 OR count(*) FILTER (WHERE status <> 'tested') > 0 AS alert FROM report""",
         "app",
         sided=SIDED,
         long=Q.union_long("sided", NUM, "side"),
+        texts=_TEXTS,
         ks=_KS,
+        chi=_CHI,
+        report=_REPORT,
     ),
 )
 def d7_alert(t):
-    return D.drift_alert(D.drift_report(_pair(t), NUM, []))
+    return D.drift_alert(D.drift_report(_pair(t), NUM, Q.APP_STRING))
 
 
-@register("d7_drift_report")
+@register(
+    "d7_drift_report",
+    with_tables(
+        f"SELECT feature, test, {r6('statistic', 'statistic')}, {r6('p', 'p_value', 4)}, status, drifted FROM report",
+        "app",
+        sided=SIDED,
+        long=Q.union_long("sided", NUM, "side"),
+        texts=_TEXTS,
+        ks=_KS,
+        chi=_CHI,
+        report=_REPORT,
+    ),
+    digits=None,
+)
 def d7_report(t):
-    return D.drift_report(_pair(t), NUM, Q.APP_STRING)
+    rows = D.drift_report(_pair(t), NUM, Q.APP_STRING)
+    return rounded(rows.drop("p_value"), 6).join(
+        rounded(rows.select("feature", "test", "p_value"), 4), ["feature", "test"]
+    )
+
+
+_LOST = "SELECT * REPLACE (CASE WHEN side = 'reference' THEN AMT_CREDIT END AS AMT_CREDIT, CASE WHEN side = 'current' THEN OCCUPATION_TYPE END AS OCCUPATION_TYPE, CAST(NULL AS DOUBLE) AS OWN_CAR_AGE) FROM sided"
+
+
+@register(
+    "d7_drift_one_sided",
+    with_tables(
+        """
+SELECT feature, CASE WHEN r = 0 AND c = 0 THEN 'empty' WHEN c = 0 THEN 'lost' WHEN r = 0 THEN 'new' ELSE 'tested' END AS status,
+  (r = 0) <> (c = 0) AS drifted, TRUE AS alert FROM (
+  SELECT 'AMT_CREDIT' AS feature, count(AMT_CREDIT) FILTER (WHERE side = 'reference') AS r, count(AMT_CREDIT) FILTER (WHERE side = 'current') AS c FROM changed
+  UNION ALL SELECT 'OCCUPATION_TYPE', count(OCCUPATION_TYPE) FILTER (WHERE side = 'reference'), count(OCCUPATION_TYPE) FILTER (WHERE side = 'current') FROM changed
+  UNION ALL SELECT 'OWN_CAR_AGE', count(OWN_CAR_AGE) FILTER (WHERE side = 'reference'), count(OWN_CAR_AGE) FILTER (WHERE side = 'current') FROM changed)""",
+        "app",
+        sided=SIDED,
+        changed=_LOST,
+    ),
+)
+def d7_one_sided(t):
+    """A feature without values on one side raises the alert."""
+    both = _pair(t).withColumns(
+        {
+            "AMT_CREDIT": F.when(F.col("side") == "reference", F.col("AMT_CREDIT")),
+            "OCCUPATION_TYPE": F.when(F.col("side") == "current", F.col("OCCUPATION_TYPE")),
+            "OWN_CAR_AGE": F.lit(None).cast("double"),
+        }
+    )
+    report = D.drift_report(both, ["AMT_CREDIT", "OWN_CAR_AGE"], ["OCCUPATION_TYPE"])
+    alert = D.drift_alert(report).select("alert").scalar()
+    return report.select("feature", "status", "drifted").withColumn("alert", alert)
 
 
 # ------------------------------------------------------------------------ streaming

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loanloom import constants as K
 from loanloom.functions import guards as G
@@ -113,29 +111,54 @@ def ks_test(both: DataFrame, columns: list[str]) -> DataFrame:
     return tested.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n"), F.col("m")))
 
 
+TERMS = 300  # of the series and the continued fraction below
+LARGE = 2000.0  # half the degrees of freedom beyond which a normal tail is used
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0: Stirling's series at z + 8, carried back."""
+    up = z + 8
+    series = 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7)
+    back = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda a, k: a + F.log(z + k))
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - back
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
+    steps = F.sequence(F.lit(1), F.lit(TERMS))
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * x / (a + k)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    first = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
+    lower = F.aggregate(steps, first, add, lambda s: s["total"])
+
+    def fraction(s: Column, k: Column) -> Column:
+        top, b = -k * (k - a), x + 1 - a + 2 * k
+        d = 1 / (top * s["d"] + b)
+        c = b + top / s["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    d0 = F.try_divide(F.lit(1.0), x + 1 - a)
+    begin = F.struct(F.lit(1e300).alias("c"), d0.alias("d"), d0.alias("h"))
+    upper = F.aggregate(steps, begin, fraction, lambda s: s["h"])
+    return F.when(x < a + 1, 1 - front * lower).otherwise(front * upper)
+
+
 def chi2_tail(statistic: Column, dof: Column) -> Column:
-    """Upper tail of the chi-squared distribution, by its recurrence over the degrees."""
-
-    def tail(x: float, k: int) -> float:
-        if x != x:
-            return x
-        if k <= 0 or x <= 0:
-            return 1.0
-        half = x / 2
-        if k % 2:
-            total, a = math.erfc(math.sqrt(half)), 0.5
-        else:
-            total, a = math.exp(-half), 1.0
-        while a < k / 2:
-            total += math.exp(a * math.log(half) - half - math.lgamma(a + 1))
-            a += 1
-        return min(1.0, total)
-
-    def tails(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([tail(a, int(b)) for a, b in zip(x, k)], dtype="float64")
-
-    # runs on one row per feature
-    return F.pandas_udf(tails, T.DoubleType())(statistic, dof)
+    """Upper tail of the chi-squared distribution as column expressions.
+
+    Beyond 2 * LARGE degrees of freedom by the cube-root normal approximation.
+    """
+    x, k = G.dbl(statistic), F.greatest(G.dbl(dof), F.lit(1.0))
+    z = (F.cbrt(x / k) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+    half = upper_gamma(F.lit(0.5), F.greatest(z * z / 2, F.lit(1e-300))) / 2
+    normal = F.when(z >= 0, half).otherwise(1 - half)
+    exact = upper_gamma(k / 2, x / 2)
+    tail = F.when(k / 2 > LARGE, normal).otherwise(exact)
+    return F.when((dof <= 0) | (x <= 0), 1.0).when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
@@ -158,38 +181,66 @@ def chi2_test(both: DataFrame, columns: list[str]) -> DataFrame:
         .agg(
             F.sum(term("r", "r_all") + term("c", "c_all")).alias("statistic"),
             (F.max("categories") - 1).alias("dof"),
+            F.max("r_all").alias("n"),
+            F.max("c_all").alias("m"),
         )
     )
-    return tested.withColumn("p_value", chi2_tail(F.col("statistic"), F.col("dof")))
+    one_sided = (F.col("n") == 0) | (F.col("m") == 0)
+    statistic = F.when(~one_sided, F.col("statistic"))
+    return tested.select(
+        "feature", statistic.alias("statistic"), "dof", "n", "m", chi2_tail(statistic, F.col("dof")).alias("p_value")
+    )
+
+
+TESTED, LOST, NEW, EMPTY = "tested", "lost", "new", "empty"
 
 
 def drift_report(
     both: DataFrame, numeric: list[str], categorical: list[str], p_limit: float = 0.05
 ) -> DataFrame:
-    """Test, statistic, p-value and verdict of every feature."""
+    """Test, statistic, p-value, status and verdict of every feature.
+
+    A feature with values on one side only cannot be tested and counts as
+    drifted: ``lost`` has none in the current side, ``new`` none in the
+    reference. One without any value is ``empty`` and did not drift.
+    """
     parts = []
     if numeric:
         parts.append(ks_test(both, numeric).withColumn("test", F.lit("kolmogorov_smirnov")))
     if categorical:
         parts.append(chi2_test(both, categorical).withColumn("test", F.lit("chi_squared")))
-    columns = ["feature", "test", "statistic", "p_value"]
+    columns = ["feature", "test", "statistic", "p_value", "n", "m"]
     rows = parts[0].select(*columns)
     for part in parts[1:]:
         rows = rows.unionByName(part.select(*columns))
-    return rows.withColumn("drifted", F.col("p_value") < F.lit(p_limit))
+    asked = [(c, "kolmogorov_smirnov") for c in numeric] + [(c, "chi_squared") for c in categorical]
+    every = both.sparkSession.createDataFrame(asked, "feature string, test string")
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    status = F.when((n == 0) & (m == 0), EMPTY).when(m == 0, LOST).when(n == 0, NEW).otherwise(TESTED)
+    # one row per feature
+    full = every.join(rows, ["feature", "test"], "left").withColumn("status", status)
+    drifted = F.when(F.col("status") == TESTED, F.col("p_value") < F.lit(p_limit)).otherwise(
+        F.col("status").isin(LOST, NEW)
+    )
+    return full.select("feature", "test", "statistic", "p_value", "status", drifted.alias("drifted"))
 
 
 def drift_alert(report: DataFrame, share_limit: float = 0.5) -> DataFrame:
-    """Tested and drifted features, their share, and whether it calls for an alert."""
+    """Features with values and drifted ones, their share, lost ones, and whether to alert.
+
+    A feature that was lost or is new calls for an alert by itself.
+    """
+    share = G.safe_div(F.col("drifted_features"), F.col("features"))
     return report.agg(
-        F.count(F.lit(1)).alias("features"), F.count_if("drifted").alias("drifted_features")
+        F.count_if(F.col("status") != EMPTY).alias("features"),
+        F.count_if("drifted").alias("drifted_features"),
+        F.count_if(F.col("status").isin(LOST, NEW)).alias("one_sided_features"),
     ).select(
         "features",
         "drifted_features",
-        G.safe_div(F.col("drifted_features"), F.col("features")).alias("drift_share"),
-        (
-            G.safe_div(F.col("drifted_features"), F.col("features")) >= F.lit(share_limit)
-        ).alias("alert"),
+        "one_sided_features",
+        share.alias("drift_share"),
+        (F.coalesce(share >= F.lit(share_limit), F.lit(False)) | (F.col("one_sided_features") > 0)).alias("alert"),
     )
 
 

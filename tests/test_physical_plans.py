@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from loanloom.catalog import QUERIES
 from loanloom.operators import aggregates as A
 from loanloom.operators import evaluate as E
 from loanloom.operators import sampling
@@ -69,15 +69,15 @@ def test_sample_does_not_shuffle_the_rows(tables, static_plans):
     assert "Exchange" not in main
 
 
-PYTHON_ALLOWED = {"d6_chi_squared", "d7_drift_report", "m13_tree_contributions"}
+PYTHON_ALLOWED = {"m13_tree_contributions"}
 LONG_RUNNING = ("m7", "m8", "m9", "m12", "m16", "r1", "r2", "r3", "s")
 
 
 @pytest.mark.parametrize(
     "name",
-    [n for n in sorted(entry.queries()) if n not in PYTHON_ALLOWED and not n.startswith(LONG_RUNNING)],
+    [n for n in sorted(QUERIES) if n not in PYTHON_ALLOWED and not n.startswith(LONG_RUNNING)],
 )
 def test_no_python_and_no_cross_product(spark, folder, name):
-    plan = plan_of(entry.queries()[name](spark, folder))
+    plan = plan_of(QUERIES[name](spark, folder))
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
