@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
+from loanloom.catalog import evaluation as EV
 from loanloom.catalog import sqltext as Q
 from loanloom.catalog.base import r6, register, with_tables
 from loanloom.catalog.features import FEATURE_SELECT
@@ -382,6 +383,31 @@ def s1(t):
     return I.read_applications(t.spark, folder).select(*t.app.columns)
 
 
+@register(
+    "s8_csv_types_from_values",
+    with_tables(
+        f"""
+SELECT SK_ID_CURR, TARGET, DAYS_BIRTH, CASE WHEN SK_ID_CURR % 7 = 0 THEN NULL ELSE {r6('AMT_CREDIT', 'x').split(' AS x')[0]} END AS AMT_CREDIT,
+  {r6('AMT_CREDIT / 3', 'SELLERPLACE_AREA')}, OCCUPATION_TYPE AS SOMETHING, (SELECT count(*) FROM app WHERE SK_ID_CURR % 7 = 0) AS unparsed FROM app""",
+        "app",
+    ),
+)
+def s8_csv(t):
+    """Whole numbers written as 1.0, columns that no rule names, and cells that do not parse."""
+    path = scratch_path(t.spark, "csv")
+    odd = t.app.select(
+        ID,
+        F.col(K.TARGET).cast("double").alias(K.TARGET),
+        F.col("DAYS_BIRTH").cast("double").alias("DAYS_BIRTH"),
+        F.when(F.col(ID) % 7 == 0, "oops").otherwise(F.col("AMT_CREDIT").cast("string")).alias("AMT_CREDIT"),
+        (F.col("AMT_CREDIT") / 3).alias("SELLERPLACE_AREA"),
+        F.col("OCCUPATION_TYPE").alias("SOMETHING"),
+    )
+    O.write_table(odd, path, "csv")
+    lost = I.unparsed_cells(t.spark, path).agg(F.sum("unparsed").alias("n"))
+    return I.read_csv(t.spark, path).withColumn("unparsed", lost.scalar())
+
+
 @register("s2_bureau", _view_sql("bureau", ["AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT"]))
 def s2(t):
     return _csv_round_trip(t, "bureau", "bureau")
@@ -533,25 +559,45 @@ def s13(t):
     return O.read_first(t.spark, [missing, path], "feature string, importance bigint")
 
 
+_LINES = [
+    "CASE setting WHEN 'default' THEN 'SEUIL PAR DÉFAUT' ELSE 'SEUIL OPTIMAL' END || printf(' (%.2f)', threshold)",
+    f"printf('  AUC:       %.4f', {EV.AUC_VALUE})",
+    f"printf('  Accuracy:  %.4f', {EV._div('TP + TN', 'n')})",
+    f"printf('  Precision: %.4f', {EV.PRECISION})",
+    f"printf('  Recall:    %.4f', {EV.RECALL})",
+    f"printf('  F1-Score:  %.4f', {EV.F1})",
+    "format('  TP: {:,} | FP: {:,}', TP, FP)",
+    "format('  FN: {:,} | TN: {:,}', FN, TN)",
+    f"format('  Coût métier: {{:,}}', CAST({EV.COST} AS BIGINT))",
+    f"format('  Réduction du coût: {{:,}} (', CAST({EV._BASE} - {EV.COST} AS BIGINT)) || printf('%.1f%%)', ({EV._BASE} - {EV.COST}) / {EV._BASE} * 100)",
+]
+
+
 @register(
     "s14_settings_and_report",
     with_tables(
-        "SELECT CAST(20 AS BIGINT) AS lines, count(*) > 0 AS has_settings FROM scored",
+        " UNION ALL ".join(
+            f"SELECT setting, CAST({i} AS INTEGER) AS line, {text} AS text, {r6('(SELECT threshold FROM best)', 'stored_threshold')} FROM two, ranks"
+            for i, text in enumerate(_LINES)
+        ),
         "scored",
+        grid=EV.GRID,
+        curve=EV.CURVE,
+        best=EV.BEST,
+        two=EV._TWO,
+        ranks=EV.AUC,
     ),
 )
 def s14(t):
+    """The lines of the report as they are read back, beside the threshold of the settings file."""
     best = E.optimal_threshold(E.threshold_curve(t.scored)).first()
     path = scratch_path(t.spark, "settings")
     O.write_settings(t.spark, {"optimal_threshold": best["threshold"], "cost_fn": K.COST_FN}, path)
     back = O.read_settings(t.spark, path)
-    lines = O.report_lines(E.metrics_report(t.scored))
     report = scratch_path(t.spark, "report")
-    O.write_table(lines, report)
-    return t.spark.read.parquet(report).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.lit(back["optimal_threshold"] == best["threshold"]).alias("has_settings"),
-    )
+    O.write_table(O.report_lines(E.metrics_report(t.scored)), report)
+    stored = F.lit(float(back["optimal_threshold"])).alias("stored_threshold")
+    return t.spark.read.parquet(report).select("setting", "line", "text", stored)
 
 
 _INVENTORY = ["app", "bureau", "bureau_balance", "previous_application", "installments_payments", "pos_cash", "credit_card"]

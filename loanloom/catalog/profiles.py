@@ -284,15 +284,19 @@ def w11(t):
 
 @register(
     "w10_column_membership",
-    "SELECT feature, present FROM (VALUES ('AMT_CREDIT', TRUE), ('CODE_GENDER', FALSE), ('DAYS_BIRTH', TRUE)) v(feature, present)"
-    " WHERE (SELECT count(*) FROM customer) > 0",
+    with_tables(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, count({c}) AS importance, count(*) FILTER (WHERE {c} IS NULL) <= 0.8 * count(*) AS present FROM train"
+            for c in NUM
+        ),
+        "app",
+        train=TRAIN,
+    ),
 )
 def w10(t):
-    wanted = ["AMT_CREDIT", "CODE_GENDER", "DAYS_BIRTH"]
-    have = set(t.app.columns)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in have).alias("present")) for c in wanted])
-    seen = t.app.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    return seen.select(F.explode(cells).alias("c")).select("c.*")
+    """Which features of an importance table the data still has once sparse columns are dropped."""
+    importance = P.column_stats(t.train, NUM, {"importance": F.count})
+    return R.column_membership(importance, "feature", R.drop_sparse(t.train, also=()))
 
 
 # ----------------------------------------------------------------- profiling

@@ -153,6 +153,7 @@ BOOSTING = {
     "feature_fraction": "0.8",
     "min_rows_per_leaf": 20,
     "max_depth": 5,
+    "patience": 50,
     "seed": 42,
 }
 

@@ -46,7 +46,7 @@ def train_job(
         importance = X.global_importance(spark, done.scorer)
         O.write_table(importance.select("feature", "importance"), f"{out}/importance", "csv")
     scored = done.scorer.with_probability(prepared).withColumnRenamed("probability", "proba")
-    report = E.metrics_report(scored.where("split = 'train'").select(K.TARGET, "proba"))
+    report = E.metrics_report(done.valid_scores.select(K.TARGET, "proba"))
     O.write_table(O.report_lines(report), f"{out}/report", "csv")
     test = scored.where("split = 'test'")
     O.write_table(O.predictions(test, done.threshold), f"{out}/test_predictions", "csv")
@@ -54,6 +54,7 @@ def train_job(
     metrics = {f"val_{k}": v for k, v in done.valid_metrics.items()}
     metrics |= {f"train_{k}": v for k, v in done.train_metrics.items()}
     metrics["optimal_threshold"] = done.threshold
+    metrics["best_iteration"] = done.scorer.rounds
     params = {**K.BOOSTING, **overrides, "kind": kind, "n_features": len(features), "skipped": spine.skipped}
     O.append_run(spark, f"{out}/runs", run_id, started, params, metrics)
     return config

@@ -58,6 +58,11 @@ def drop_sparse(
     return df.drop(*sparse_columns(df, threshold), *[c for c in also if c in df.columns])
 
 
+def column_membership(names: DataFrame, column: str, df: DataFrame) -> DataFrame:
+    """``names`` with ``present``: whether ``df`` has a column of the name in ``column``."""
+    return names.withColumn("present", F.col(column).isin(df.columns))
+
+
 def align(df: DataFrame, fitted: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns of a fitted schema in its order: missing ones NULL, others dropped."""
     have = set(df.columns)

@@ -53,6 +53,7 @@ class VectorScorer:
 
     model: object
     features: list[str]
+    rounds: int | None = None  # boosting rounds kept
 
     def assemble(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.features, outputCol="_features").transform(df)

@@ -42,8 +42,11 @@ def train_boosted(
 ) -> VectorScorer:
     """Boosted trees with balanced class weights.
 
-    With ``validation`` (a 0/1 column) boosting stops when the error on those
-    rows no longer falls.
+    With ``validation`` (a 0/1 column) the rows it marks are not fitted. All rounds
+    are fitted to the others, the marked rows are scored after every round in one pass, and the
+    model keeps the rounds up to the best one: that with the lowest loss before
+    ``patience`` rounds brought none lower. The fit repeats exactly, so the kept
+    rounds are fitted again rather than cut out of the model.
     """
     settings = {**K.BOOSTING, **overrides}
     ensure_checkpoint_dir(df.sparkSession)
@@ -53,7 +56,9 @@ def train_boosted(
         F.col(label).cast("double").alias("label"),
         *([F.col(validation).cast("boolean").alias("is_validation")] if validation else []),
     )
-    rows = balanced_weights(rows, "label")
+    checked = rows.where("is_validation") if validation else None
+    fitted = rows.where("not is_validation") if validation else rows
+    fitted = balanced_weights(fitted, "label").select("_features", "label", "weight")
     booster = GBTClassifier(
         featuresCol="_features",
         labelCol="label",
@@ -67,9 +72,28 @@ def train_boosted(
         checkpointInterval=10,
         seed=settings["seed"],
     )
-    if validation:
-        booster = booster.setValidationIndicatorCol("is_validation")
-    return VectorScorer(_fit(booster, rows), features)
+    kept = fitted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = booster.fit(kept)
+        if checked is not None:
+            losses = model.evaluateEachIteration(balanced_weights(checked, "label"))
+            best = best_round(losses, settings["patience"])
+            if best < len(losses):
+                model = booster.setMaxIter(best).fit(kept)
+    finally:
+        kept.unpersist()
+    return VectorScorer(model, features, len(model.trees))
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round (from 1) with the lowest loss, until ``patience`` rounds did not beat it."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
 
 
 def _fit(estimator, rows: DataFrame):
@@ -103,6 +127,7 @@ class TrainingResult:
     train_metrics: dict
     valid_metrics: dict
     config: dict
+    valid_scores: DataFrame
 
 
 def train_and_evaluate(
@@ -137,21 +162,29 @@ def train_and_evaluate(
         "cost_fp": K.COST_FP,
         "model_name": name,
         "n_features": len(features),
+        "best_iteration": scorer.rounds,
         "metrics": {k: valid_metrics[k] for k in ("auc", "accuracy", "business_cost")},
     }
-    return TrainingResult(scorer, threshold, train_metrics, valid_metrics, config)
+    return TrainingResult(scorer, threshold, train_metrics, valid_metrics, config, valid)
 
 
 def cross_validate(
     prepared: DataFrame, features: list[str], kind: str = "boosted", k: int = 5, **overrides
 ) -> DataFrame:
-    """Per fold: AUC, accuracy, cost and best threshold of a model fitted on the other folds."""
+    """Per fold: AUC, accuracy, cost and best threshold of a model fitted on the other folds.
+
+    Boosted fits stop early on the fold that is left out.
+    """
     labelled = prepared.where(F.col(K.TARGET).isNotNull())
     folded = sampling.stratified_folds(labelled, K.CLIENT_KEY, K.TARGET, k)
     folded = materialize(folded.select(K.CLIENT_KEY, K.TARGET, "fold", *features), "folds")
     held_out = None
     for fold in range(k):  # one model per fold
-        scorer = TRAINERS[kind](folded.where(F.col("fold") != fold), features, **overrides)
+        if kind == "boosted":
+            marked = folded.withColumn("_valid", F.col("fold") == fold)
+            scorer = train_boosted(marked, features, validation="_valid", **overrides)
+        else:
+            scorer = TRAINERS[kind](folded.where(F.col("fold") != fold), features, **overrides)
         rows = scorer.with_probability(folded.where(F.col("fold") == fold)).select(
             K.CLIENT_KEY, K.TARGET, "fold", F.col("probability").alias("proba")
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,18 +47,69 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[one(f) for f in df.schema.fields])
 
 
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """A text cell in its type; NULL where it does not parse. Whole numbers may be written as 1.0."""
+    number = value.try_cast("double")
+    number = F.when(~F.isnan(number), number)
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(value.try_cast("long"), G.round_even_long(number)).try_cast(kind)
+    return number.cast(kind) if isinstance(kind, T.NumericType) else value.try_cast(kind)
+
+
+def _read_text(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file with header as text; missing-value tokens are NULL."""
+    return missing_to_null(spark.read.option("header", True).csv(path))
+
+
+def csv_schema(raw: DataFrame, overrides: dict | None = None) -> T.StructType:
+    """Types of text columns: those declared by name, the others found from all their values.
+
+    A column no rule names is a number when every value is one. That takes
+    one pass over these columns, none if every column is named.
+    """
+    declared = {f.name: f for f in schema_for(raw.columns, overrides).fields}
+    open_ = [c for c in raw.columns if c not in declared]
+    numeric = {}
+    if open_:
+        known = [F.count(S.quoted(c)).alias(f"n{i}") for i, c in enumerate(open_)]
+        parsed = [F.count(S.quoted(c).try_cast("double")).alias(f"p{i}") for i, c in enumerate(open_)]
+        counts = raw.agg(*known, *parsed).first()  # one row
+        numeric = {c: 0 < counts[f"n{i}"] == counts[f"p{i}"] for i, c in enumerate(open_)}
+    return T.StructType(
+        [
+            declared.get(c) or T.StructField(c, T.DoubleType() if numeric[c] else T.StringType())
+            for c in raw.columns
+        ]
+    )
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, overrides: dict | None = None
 ) -> DataFrame:
-    """A delimited file with header, in declared types; no pass over the data to infer them.
+    """A delimited file with header, typed by name or, failing that, by its values.
 
-    Without a schema the header line names the columns and their types come
-    from the declared rules. A field that does not parse is missing.
+    A field that does not parse is missing; :func:`unparsed_cells` counts these.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    if schema is None:
-        schema = schema_for(spark.read.option("header", True).csv(path).columns, overrides)
-    return missing_to_null(reader.schema(schema).csv(path))
+    raw = _read_text(spark, path)
+    schema = schema or csv_schema(raw, overrides)
+    return raw.select(*[_typed(S.quoted(f.name), f.dataType).alias(f.name) for f in schema.fields])
+
+
+def unparsed_cells(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, overrides: dict | None = None
+) -> DataFrame:
+    """(column, unparsed): cells with a value that its type cannot hold, one row per column."""
+    raw = _read_text(spark, path)
+    schema = schema or csv_schema(raw, overrides)
+    lost = [
+        F.count_if(S.quoted(f.name).isNotNull() & _typed(S.quoted(f.name), f.dataType).isNull()).alias(f"c{i}")
+        for i, f in enumerate(schema.fields)
+    ]
+    cells = [
+        F.struct(F.lit(f.name).alias("column"), F.col(f"c{i}").alias("unparsed"))
+        for i, f in enumerate(schema.fields)
+    ]
+    return raw.agg(*lost).select(F.inline(F.array(*cells)))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

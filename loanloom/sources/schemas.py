@@ -44,14 +44,14 @@ NAME_RULES = [
 ]
 
 
-def column_type(name: str) -> str:
-    """Declared type of a column; text when no rule names it."""
+def column_type(name: str) -> str | None:
+    """Declared type of a column; None when no rule names it."""
     if name in KNOWN_TYPES:
         return KNOWN_TYPES[name]
     for pattern, kind in NAME_RULES:
         if re.search(pattern, name):
             return kind
-    return "string"
+    return None
 
 
 _TYPES = {
@@ -63,7 +63,6 @@ _TYPES = {
 
 
 def schema_for(columns: list[str], overrides: dict[str, str] | None = None) -> T.StructType:
-    overrides = overrides or {}
-    return T.StructType(
-        [T.StructField(c, _TYPES[overrides.get(c, column_type(c))]) for c in columns]
-    )
+    """Types of the columns that a rule or an override names."""
+    kinds = {c: (overrides or {}).get(c) or column_type(c) for c in columns}
+    return T.StructType([T.StructField(c, _TYPES[k]) for c, k in kinds.items() if k])

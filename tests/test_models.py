@@ -150,10 +150,37 @@ def test_training_beats_chance_and_reports(spark, prepared):
     done = T.train_and_evaluate(prepared, ["x", "y", "job"], "boosted", trees=6, max_depth=3)
     assert done.valid_metrics["auc"] > 0.6
     assert 0.01 <= done.threshold <= 0.98
+    assert done.config["best_iteration"] == done.scorer.rounds == len(done.scorer.model.trees)
     card = T.model_card(spark, done.config, ["x", "y", "job"]).first()
     assert card["n_features"] == 3 and card["threshold"] == done.threshold
 
 
+def test_boosting_keeps_the_best_round(prepared):
+    features = ["x", "y", "job"]
+    marked = prepared.withColumn("v", F.col(ID) % 4 == 0)
+    kept = T.train_boosted(marked, features, validation="v", trees=30, max_depth=2, patience=8)
+    whole = T.train_boosted(marked.where("not v"), features, trees=30, max_depth=2)
+    rows = whole.assemble(marked.where("v")).withColumn("label", F.col("TARGET").cast("double"))
+    rows = T.balanced_weights(rows, "label")
+    losses = whole.model.evaluateEachIteration(rows)
+    assert kept.rounds == T.best_round(losses, 8) == len(kept.model.trees) > 1
+    again = kept.model.evaluateEachIteration(rows)
+    assert again == pytest.approx(losses[: kept.rounds])
+
+
+@pytest.mark.parametrize(
+    "losses, patience, best",
+    [([3, 2, 1], 2, 3), ([3, 1, 2, 2, 0], 2, 2), ([3, 1, 2, 2, 0], 5, 5), ([1], 1, 1), ([1, 1, 1], 5, 1)],
+)
+def test_best_round(losses, patience, best):
+    assert T.best_round(losses, patience) == best
+
+
+def test_cross_validation_stops_early_in_each_fold(prepared):
+    folds = T.cross_validate(prepared, ["x", "y", "job"], k=2, trees=6, max_depth=2).collect()
+    assert sorted(r["fold"] for r in folds) == [0, 1] and all(r["auc"] > 0.6 for r in folds)
+
+
 def test_training_is_repeatable(prepared, trees):
     again = T.train_boosted(prepared, ["x", "y", "job"], trees=6, max_depth=3)
     a = trees.with_probability(prepared).orderBy(ID).collect()
