@@ -492,14 +492,13 @@ def md5_rank(seed: int, strata: str = "") -> str:
 @register(
     "a8_spine_sampled",
     with_tables(
-        """
-SELECT SK_ID_CURR, split, INST_LATE_PAYMENT_SUM, BUREAU_SK_ID_BUREAU_COUNT FROM spine
-WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM ranked WHERE rk <= round_even(n * 0.3, 0))""",
+        spine_select()
+        + " WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM ranked WHERE rk <= round_even(n * 0.3, 0))",
         *SPINE_VIEWS,
         **spine_ctes(),
         ranked=f"SELECT SK_ID_CURR, {md5_rank(42, 'split')} AS rk, count(*) OVER (PARTITION BY split) AS n FROM app",
     ),
 )
 def a8_sampled(t):
-    wide = build_spine(t.loan_tables(), sample_frac=0.3).table
-    return wide.select(ID, "split", "INST_LATE_PAYMENT_SUM", "BUREAU_SK_ID_BUREAU_COUNT")
+    return _widened(build_spine(t.loan_tables(), sample_frac=0.3).table)
+

@@ -70,8 +70,8 @@ def d2(t):
     "d2_histogram_comparison",
     with_tables(
         """
-SELECT side, CAST(bin AS INTEGER) AS bin, coalesce(m, 0) AS rows FROM (SELECT * FROM ends, range(0, 20) t(bin)) LEFT JOIN (
-  SELECT side, least(CAST(floor((x - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS bin, count(*) AS m FROM vals JOIN ends USING (side) GROUP BY 1, 2
+SELECT side, CAST(bin AS INTEGER) AS bin, coalesce(m, 0) AS rows FROM (SELECT * FROM ends, range(0, 50) t(bin)) LEFT JOIN (
+  SELECT side, least(CAST(floor((x - lo) / ((hi - lo) / 50)) AS BIGINT), 49) AS bin, count(*) AS m FROM vals JOIN ends USING (side) GROUP BY 1, 2
 ) USING (side, bin)""",
         "app",
         sided=SIDED,
@@ -80,7 +80,7 @@ SELECT side, CAST(bin AS INTEGER) AS bin, coalesce(m, 0) AS rows FROM (SELECT *
     ),
 )
 def d2_histogram(t):
-    return D.histogram_comparison(_pair(t), "AMT_CREDIT", 20).select("side", "bin", "rows")
+    return D.histogram_comparison(_pair(t), "AMT_CREDIT").select("side", "bin", "rows")
 
 
 _SIDE_NULLS = " UNION ALL ".join(
@@ -103,7 +103,7 @@ def d3(t):
     return D.missing_drift(_pair(t), [*NUM, *Q.APP_STRING])
 
 
-_CORR_COLS = ["AMT_INCOME_TOTAL", "AMT_ANNUITY", "EXT_SOURCE_1", "EXT_SOURCE_2", "CNT_FAM_MEMBERS", "FLAG_MOBIL"]
+_CORR_COLS = [c for c in NUM if c != "AMT_CREDIT"]
 
 
 def _side_corr(c: str) -> str:
@@ -326,9 +326,9 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows, avg
   avg(proba) AS mean_score FROM scored GROUP BY 1"""
 
 
-def _days(windows):
+def _days(windows, *more):
     return windows.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", "refusal_rate", "mean_score"
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", "refusal_rate", "mean_score", *more
     )
 
 
@@ -349,6 +349,24 @@ def r3(t):
     return _days(t.spark.read.parquet(out))
 
 
+@register(
+    "r3_monitor_alerts",
+    with_tables(
+        f"""SELECT day, rows, {r6('refusal_rate', 'refusal_rate')}, {r6('mean_score', 'mean_score')},
+  abs(refusal_rate - r) > 0.01 OR abs(mean_score - m) > 0.01 AS alert
+FROM days, (SELECT avg(CASE WHEN proba >= 0.44 THEN 1 ELSE 0 END) AS r, avg(proba) AS m FROM scored)""",
+        "scored",
+        days=_WINDOWS,
+    ),
+)
+def r3_alerts(t):
+    """Days whose refusals or scores left the population's by more than a hundredth."""
+    rows = _predicted(t)
+    whole = rows.agg(F.avg("prediction").alias("r"), F.avg("proba").alias("m")).first()
+    windows = J.monitor_alerts(J.monitor_aggregates(rows), whole["r"], whole["m"], 0.01)
+    return _days(windows, "alert")
+
+
 @register("r3_monitor_batch", with_tables(_MONITOR, "scored", days=_WINDOWS))
 def r3_batch(t):
     return _days(J.monitor_aggregates(_predicted(t)))

@@ -212,22 +212,43 @@ def p26(t):
     return R.coerce_types(text, reference)
 
 
-_BROKEN = """
-SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 11 = 0 THEN -AMT_CREDIT ELSE AMT_CREDIT END AS AMT_CREDIT,
-  CASE WHEN SK_ID_CURR % 13 = 0 THEN -DAYS_BIRTH ELSE DAYS_BIRTH END AS DAYS_BIRTH,
-  CASE WHEN SK_ID_CURR % 17 = 0 THEN EXT_SOURCE_2 + 1 ELSE EXT_SOURCE_2 END AS EXT_SOURCE_2,
-  AMT_CREDIT / (SK_ID_CURR + 1) AS CREDIT_INCOME_RATIO FROM app"""
+# each field of a rule is out of range in some records: below its low or above its high end
+_CHECKED = {
+    "CNT_CHILDREN": "CAST(SK_ID_CURR % 4 AS DOUBLE)",
+    "REGION_RATING_CLIENT": "CAST(SK_ID_CURR % 3 + 1 AS DOUBLE)",
+}
+_CHECKED |= {n: f"CAST({n} AS DOUBLE)" for n, _, _ in K.FIELD_RULES if n not in _CHECKED}
+
+
+def _broken_field(i: int, name: str, low, high) -> str:
+    low_value = f"CAST({low} - 1 AS DOUBLE)" if low is not None else _CHECKED[name]
+    high_value = f"CAST({high} + 1 AS DOUBLE)" if high is not None else _CHECKED[name]
+    return (
+        f"CASE WHEN SK_ID_CURR % 29 = {i} THEN {low_value} WHEN SK_ID_CURR % 31 = {i} THEN {high_value}"
+        f" ELSE {_CHECKED[name]} END AS {name}"
+    )
+
+
+_BROKEN = (
+    "SELECT SK_ID_CURR, AMT_CREDIT / (SK_ID_CURR + 1) AS CREDIT_INCOME_RATIO, "
+    + ", ".join(_broken_field(i, *rule) for i, rule in enumerate(K.FIELD_RULES))
+    + " FROM app"
+)
+
+
+def _is_broken(name: str, low, high) -> str:
+    ends = [f"{name} < {low}"] * (low is not None) + [f"{name} > {high}"] * (high is not None)
+    return f"coalesce({' OR '.join(ends)}, FALSE)"
 
 
 @register(
     "p27_record_validation",
     with_tables(
-        """
-SELECT SK_ID_CURR, concat_ws(',', CASE WHEN AMT_CREDIT < 0 THEN 'AMT_CREDIT' END,
-  CASE WHEN DAYS_BIRTH > 0 THEN 'DAYS_BIRTH' END,
-  CASE WHEN EXT_SOURCE_2 < 0 OR EXT_SOURCE_2 > 1 THEN 'EXT_SOURCE_2' END) AS broken,
-  coalesce(AMT_CREDIT >= 0, TRUE) AND coalesce(DAYS_BIRTH <= 0, TRUE) AND coalesce(EXT_SOURCE_2 <= 1, TRUE) AS is_valid,
-  CREDIT_INCOME_RATIO > 100 AS ratio_outlier FROM records""",
+        "SELECT SK_ID_CURR, concat_ws(',', "
+        + ", ".join(f"CASE WHEN {_is_broken(*rule)} THEN '{rule[0]}' END" for rule in K.FIELD_RULES)
+        + ") AS broken, NOT ("
+        + " OR ".join(_is_broken(*rule) for rule in K.FIELD_RULES)
+        + ") AS is_valid, CREDIT_INCOME_RATIO > 100 AS ratio_outlier FROM records",
         "app",
         records=_BROKEN,
     ),
@@ -488,7 +509,7 @@ def a16(t):
     return P.target_correlations(wide, S.numeric_columns(wide, (ID, K.TARGET)))
 
 
-_PAIRS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "FLAG_MOBIL"]
+_PAIRS = NUM
 
 
 @register(
@@ -518,15 +539,15 @@ _APP_CORR = " UNION ALL ".join(
     "w4_strongest_correlations",
     with_tables(
         f"""
-SELECT feature, {r6('correlation', 'correlation')}, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9), feature LIMIT 5)
-UNION ALL SELECT feature, {r6('correlation', 'correlation')}, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9) DESC, feature LIMIT 5)""",
+SELECT feature, {r6('correlation', 'correlation')}, 'head' AS "end" FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9), feature LIMIT 15)
+UNION ALL SELECT feature, {r6('correlation', 'correlation')}, 'tail' FROM (SELECT * FROM corrs WHERE correlation IS NOT NULL ORDER BY round(correlation, 9) DESC, feature LIMIT 15)""",
         "app",
         train=TRAIN,
         corrs=_APP_CORR,
     ),
 )
 def w4(t):
-    return P.strongest_correlations(P.target_correlations(t.train, NUM), 5)
+    return P.strongest_correlations(P.target_correlations(t.train, NUM))
 
 
 @register(
@@ -630,13 +651,13 @@ def a19(t):
     "a20_top_categories",
     with_tables(
         "SELECT OCCUPATION_TYPE AS value, count(*) AS rows FROM train WHERE OCCUPATION_TYPE IS NOT NULL"
-        " GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
+        " GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
         "app",
         train=TRAIN,
     ),
 )
 def a20(t):
-    return P.top_categories(t.train, "OCCUPATION_TYPE", 3)
+    return P.top_categories(t.train, "OCCUPATION_TYPE", 20)
 
 
 _HIST = """
@@ -868,15 +889,23 @@ def x1_tags(t):
     return X.tag_frequency(values, "v", X.detect_delimiter(values, "v"))
 
 
+# every column but the doubles, whose text differs between engines
+_SIGNED = sorted([ID, K.TARGET, "split", "DAYS_BIRTH", "DAYS_EMPLOYED", *Q.APP_STRING, *[c for c in NUM if c.startswith("FLAG_")]])
+_QUOTED = (*Q.APP_STRING, "split")
+
+
+def _json_cell(c: str) -> str:
+    value = f"'\"' || {c} || '\"'" if c in _QUOTED else f"CAST({c} AS VARCHAR)"
+    return f"'\"{c}\":' || coalesce({value}, 'null')"
+
+
 @register(
     "x2_row_signature",
     with_tables(
-        """
-SELECT SK_ID_CURR, sha256('{"NAME_CONTRACT_TYPE":"' || NAME_CONTRACT_TYPE || '","SK_ID_CURR":' || CAST(SK_ID_CURR AS VARCHAR) || ',"split":"' || split || '"}') AS signature
-FROM app""",
+        "SELECT SK_ID_CURR, sha256('{' || " + " || ',' || ".join(map(_json_cell, _SIGNED)) + " || '}') AS signature FROM app",
         "app",
     ),
 )
 def x2(t):
-    df = t.app.select("split", "NAME_CONTRACT_TYPE", ID)
+    df = t.app.select(*reversed(_SIGNED))
     return df.select(ID, X.row_signature(df.columns).alias("signature"))

@@ -14,6 +14,7 @@ from loanloom.operators import drift as D
 from loanloom.operators import evaluate as E
 from loanloom.operators import explain as X
 from loanloom.operators.profile import describe_all, table_summary
+from loanloom.operators.reshape import check_threshold
 from loanloom.plans import training as T
 from loanloom.plans.preprocessor import ClientPreprocessorModel, prepare_train_test
 from loanloom.plans.scoring import VectorScorer, decision_summary, score
@@ -73,6 +74,7 @@ def score_job(
     spark: SparkSession, model: str, clients: str, target: str, threshold: float | None = None
 ) -> DataFrame:
     """Score a file of clients with a trained model; gives the decision summary."""
+    check_threshold(threshold)
     preprocessor, scorer, config = load_model(spark, model)
     rows = I.read_source(spark, clients)
     O.write_table(score(rows, scorer, threshold, preprocessor, config), target, "csv")

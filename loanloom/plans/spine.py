@@ -61,6 +61,10 @@ def build_spine(
         keep = sampling.keys_up_to(K.CLIENT_KEY, cut, seed)
         app = sampling.sample_fraction(app, K.CLIENT_KEY, sample_frac, seed, strata)
         facts = {n: t.where(keep) if K.CLIENT_KEY in t.columns else t for n, t in facts.items()}
+        if "bureau" in facts and "bureau_balance" in facts:
+            # balances have no client key: keep those of the sampled clients' credits
+            credits = facts["bureau"].select(K.BUREAU_KEY)
+            facts["bureau_balance"] = facts["bureau_balance"].join(credits, K.BUREAU_KEY, "left_semi")
     wide = application_features(app, sentinel)
     used, skipped = ["app"], []
     if include_supplementary:

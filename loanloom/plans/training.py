@@ -141,7 +141,8 @@ def train_and_evaluate(
     """Stratified hold-out, fit, best threshold on the held-out rows, metrics on both parts."""
     labelled = prepared.where(F.col(K.TARGET).isNotNull())
     parts = sampling.stratified_holdout(labelled, K.CLIENT_KEY, K.TARGET, holdout)
-    parts = materialize(parts.select(K.CLIENT_KEY, K.TARGET, "part", *features), "parts")
+    # the split is a predicate on the stored wide table, not a copy of it
+    parts = parts.select(K.CLIENT_KEY, K.TARGET, "part", *features)
     if kind == "boosted":
         marked = parts.withColumn("_valid", F.col("part") == "valid")
         scorer = train_boosted(marked, features, validation="_valid", **overrides)
@@ -177,7 +178,7 @@ def cross_validate(
     """
     labelled = prepared.where(F.col(K.TARGET).isNotNull())
     folded = sampling.stratified_folds(labelled, K.CLIENT_KEY, K.TARGET, k)
-    folded = materialize(folded.select(K.CLIENT_KEY, K.TARGET, "fold", *features), "folds")
+    folded = folded.select(K.CLIENT_KEY, K.TARGET, "fold", *features)
     held_out = None
     for fold in range(k):  # one model per fold
         if kind == "boosted":
@@ -189,7 +190,7 @@ def cross_validate(
             K.CLIENT_KEY, K.TARGET, "fold", F.col("probability").alias("proba")
         )
         held_out = rows if held_out is None else held_out.unionByName(rows)
-    return E.fold_metrics(held_out)
+    return E.fold_metrics(materialize(held_out, "fold-scores"))
 
 
 def save_scorer(spark, scorer: VectorScorer, path: str) -> None:
