@@ -9,8 +9,9 @@ from loanloom import constants as K
 from loanloom.functions import guards as G
 from loanloom.functions import schema as S
 from loanloom.operators.ordered import quantiles, running_totals
-from loanloom.operators.profile import category_counts, column_stats
+from loanloom.operators.profile import category_counts
 from loanloom.operators.skew import lookup_join
+from loanloom.session import materialize
 
 
 def comparison_group(df: DataFrame, group: str = "Tous les clients", label: str = K.TARGET) -> DataFrame:
@@ -37,17 +38,19 @@ def without_outliers(
     return df.join(F.broadcast(cut), by).where(S.quoted(column) < F.col("_cut")).drop("_cut")
 
 
-def value_positions(population: DataFrame, asked: DataFrame, features: list[str]) -> DataFrame:
-    """Share of the population strictly below each asked value, per feature.
+def _ranked(population: DataFrame, asked: DataFrame, features: list[str]) -> DataFrame:
+    """Running totals of the population and of the asked values, per (feature, value).
 
-    ``asked`` holds the client rows whose values are looked up. Population and
-    asked values are merged before counting, so one ordered pass answers for
-    any number of clients and no client is compared with every row.
+    Population and asked values are merged before counting, so one ordered
+    pass answers for any number of clients and no client is compared with every row.
     """
     both = S.to_long(population, features).withColumns({"n": F.lit(1), "asks": F.lit(0)})
     both = both.unionByName(S.to_long(asked, features).withColumns({"n": F.lit(0), "asks": F.lit(1)}))
     counts = both.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("asks").alias("asks"))
-    ranked = running_totals(counts, ["feature"], "value", ["n", "asks"])
+    return running_totals(counts, ["feature"], "value", ["n", "asks"])
+
+
+def _positions(ranked: DataFrame) -> DataFrame:
     asked_for = (F.col("asks") > 0) & (F.col("asks_all") > 0)
     return ranked.where(asked_for & (F.col("n_all") > 0)).select(
         "feature",
@@ -57,18 +60,40 @@ def value_positions(population: DataFrame, asked: DataFrame, features: list[str]
     )
 
 
+def value_positions(population: DataFrame, asked: DataFrame, features: list[str]) -> DataFrame:
+    """Share of the population strictly below each asked value, per feature.
+
+    ``asked`` holds the client rows whose values are looked up.
+    """
+    return _positions(_ranked(population, asked, features))
+
+
 def compare_clients(
     clients: DataFrame, population: DataFrame, features: list[str], key: str = K.CLIENT_KEY
 ) -> DataFrame:
-    """Per client and feature: value, percentile, population mean and median."""
-    positions = value_positions(population, clients, features)
+    """Per client and feature: value, percentile, population mean and median.
+
+    All three come from the same counts per value, which are written once.
+    """
+    ranked = materialize(_ranked(population, clients, features), "ranked-values")
     facts = S.to_long(clients, features, [key])
-    placed = lookup_join(facts, positions, ["feature", "value"], "asks")
-    means = column_stats(population, features, {"mean": F.avg})
-    medians = quantiles(population, features, [0.5]).withColumnRenamed("q50", "median")
+    placed = lookup_join(facts, _positions(ranked), ["feature", "value"], "asks")
+    middle = (F.col("n_all") - 1) / 2
+
+    def value_at(rank: Column) -> Column:
+        holds = (F.col("n_below") <= rank) & (rank < F.col("n_upto"))
+        return F.max(F.when(holds, F.col("value")))
+
     # one row per feature
-    typical = F.broadcast(means.join(medians, "feature"))
-    return placed.join(typical, "feature").select(
+    typical = (
+        ranked.where("n > 0")
+        .groupBy("feature")
+        .agg(
+            (F.sum(F.col("value") * F.col("n")) / F.max("n_all")).alias("mean"),
+            ((value_at(F.floor(middle)) + value_at(F.ceil(middle))) / 2).alias("median"),
+        )
+    )
+    return placed.join(F.broadcast(typical), "feature").select(
         key, "feature", "value", "percentile", "mean", "median"
     )
 

@@ -15,10 +15,9 @@ from loanloom.functions import guards as G
 from loanloom.functions import schema as S
 from loanloom.operators.ordered import quantiles
 from loanloom.operators.profile import column_stats, null_ratios
-from loanloom.operators.skew import lookup_join
 from loanloom.session import ensure_checkpoint_dir, materialize, scratch_path
 
-INLINE_CLASSES = 1000  # classes of one column that fit into the plan itself
+LABELS = "value string, rows long, code long, feature string"
 
 
 def class_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,6 +52,10 @@ def class_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LABELS).parquet(path)
+
+
 @dataclass
 class FittedColumn:
     """State of one feature: how it is encoded, filled and scaled."""
@@ -62,7 +65,6 @@ class FittedColumn:
     fill: float
     mean: float | None = None
     std: float | None = None
-    classes: list[str] | None = None
     unknown_code: int | None = None
 
 
@@ -91,7 +93,6 @@ class ClientPreprocessor(Estimator):
         scale: bool = False,
         drop_high_nan: float = 0.8,
         quantile_method: str = "exact",
-        inline_classes: int = INLINE_CLASSES,
         ignore: tuple[str, ...] = (K.CLIENT_KEY, K.TARGET, "split"),
     ):
         super().__init__()
@@ -101,7 +102,6 @@ class ClientPreprocessor(Estimator):
         self.scale = scale
         self.drop_high_nan = drop_high_nan
         self.quantile_method = quantile_method
-        self.inline_classes = inline_classes
         self.ignore = ignore
 
     def _fit(self, df: DataFrame) -> ClientPreprocessorModel:
@@ -125,34 +125,19 @@ class ClientPreprocessor(Estimator):
         return model
 
     def _fit_classes(self, df: DataFrame, state: FittedState, text: list[str]) -> None:
+        """Write the label table of all text columns; a value it lacks takes ``unknown_code``."""
         if not text:
             return
-        by_name = {c.name: c for c in state.columns}
-        counts = class_counts(df, text)
-        sizes = {
-            r["feature"]: (r["n"], r["missing"])
-            for r in counts.groupBy("feature")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.bool_or(F.col("value") == K.MISSING_CLASS).alias("missing"),
-            )
-            .collect()  # one row per text column
-        }
-        for name in text:
-            n, has_missing = sizes.get(name, (0, False))
-            by_name[name].unknown_code = None if has_missing else n
-        inline = [c for c in text if sizes.get(c, (0, False))[0] <= self.inline_classes]
-        for name in inline:
-            by_name[name].classes = []
-        if inline:
-            # at most inline_classes rows per column
-            found = counts.where(F.col("feature").isin(inline)).select("feature", "value")
-            for feature, value in sorted((r["feature"], r["value"]) for r in found.collect()):
-                by_name[feature].classes.append(value)
-        large = [c for c in text if c not in inline]
-        if large:
-            state.labels_path = scratch_path(df.sparkSession, "labels")
-            class_codes(df, large).write.partitionBy("feature").parquet(state.labels_path)
+        state.labels_path = scratch_path(df.sparkSession, "labels")
+        class_codes(df, text).write.partitionBy("feature").parquet(state.labels_path)
+        labels = read_labels(df.sparkSession, state.labels_path)
+        missing = F.max(F.when(F.col("value") == K.MISSING_CLASS, F.col("code")))
+        unknown = F.coalesce(missing, F.count(F.lit(1))).alias("code")
+        # one row per text column
+        codes = {r["feature"]: r["code"] for r in labels.groupBy("feature").agg(unknown).collect()}
+        for c in state.columns:
+            if c.is_text:
+                c.unknown_code = codes.get(c.name, 0)
 
     def _fit_fills(self, encoded: DataFrame, state: FittedState) -> None:
         names = [c.name for c in state.columns]
@@ -184,7 +169,11 @@ class ClientPreprocessor(Estimator):
 
 
 class ClientPreprocessorModel(Model):
-    """Fitted preprocessing; applying it adds no shuffle unless a column has many classes."""
+    """Fitted preprocessing; applying it adds no shuffle unless a column has many classes.
+
+    The label table lies in the scratch folder until :meth:`save` copies it to
+    the model; keep the scratch folder as long as an unsaved model is in use.
+    """
 
     def __init__(self, state: FittedState | None):
         super().__init__()
@@ -199,16 +188,6 @@ class ClientPreprocessorModel(Model):
             raise ValueError("the preprocessor must be fitted before it is applied")
         return self.state
 
-    def _code(self, c: FittedColumn) -> Column:
-        """Class code of an inline text column."""
-        value = F.coalesce(S.quoted(c.name).cast("string"), F.lit(K.MISSING_CLASS))
-        index = F.array_position(F.lit(c.classes or []).cast("array<string>"), value)
-        if c.unknown_code is not None:
-            unknown = c.unknown_code
-        else:
-            unknown = c.classes.index(K.MISSING_CLASS)
-        return F.when(index > 0, G.dbl(index - 1)).otherwise(F.lit(float(unknown)))
-
     def _passed(self, df: DataFrame) -> list[str]:
         names = set(self.feature_names)
         return [c for c in (K.CLIENT_KEY, K.TARGET, "split") if c in df.columns and c not in names]
@@ -218,33 +197,29 @@ class ClientPreprocessorModel(Model):
         state = self._fitted()
         have = set(df.columns)
         for c in state.columns:
-            if c.is_text and c.classes is None and c.name in have:
-                df = self._encode_large(df, c)
+            if c.is_text and c.name in have:
+                df = self._encode_text(df, c)
 
         def one(c: FittedColumn) -> Column:
             if c.name not in have:
                 # an absent text column is filled like a number, not encoded as MISSING
                 return F.lit(None).cast("double").alias(c.name)
-            if c.is_text and c.classes is not None:
-                return self._code(c).alias(c.name)
             return S.quoted(c.name).cast("double").alias(c.name)
 
         return df.select(*[S.quoted(k) for k in self._passed(df)], *[one(c) for c in state.columns])
 
-    def _encode_large(self, df: DataFrame, c: FittedColumn) -> DataFrame:
-        spark = df.sparkSession
-        labels = spark.read.parquet(self.state.labels_path).where(F.col("feature") == c.name)
-        labels = labels.select(F.col("value").alias("_class"), F.col("code").alias("_code"), F.col("rows").alias("_rows"))
-        keyed = df.withColumn(
-            "_class", F.coalesce(S.quoted(c.name).cast("string"), F.lit(K.MISSING_CLASS))
-        )
-        if c.unknown_code is None:
-            missing = labels.where(F.col("_class") == K.MISSING_CLASS).select("_code").scalar()
-        else:
-            missing = F.lit(c.unknown_code)
-        joined = lookup_join(keyed, labels, ["_class"], "_rows")
-        code = F.coalesce(F.col("_code"), missing).cast("double")
-        return joined.withColumn(c.name, code).drop("_class", "_code").select(*df.columns)
+    def _encode_text(self, df: DataFrame, c: FittedColumn) -> DataFrame:
+        """A text column as its class code, by a join with the column's labels.
+
+        Spark broadcasts the labels of a column with few classes and shuffles
+        and splits the join of one with many.
+        """
+        labels = read_labels(df.sparkSession, self.state.labels_path).where(F.col("feature") == c.name)
+        labels = labels.select(F.col("value").alias("_class"), F.col("code").alias("_code"))
+        value = F.coalesce(S.quoted(c.name).cast("string"), F.lit(K.MISSING_CLASS))
+        joined = df.withColumn("_class", value).join(labels, "_class", "left")
+        code = F.coalesce(F.col("_code"), F.lit(c.unknown_code)).cast("double")
+        return joined.withColumn(c.name, code).select(*[S.quoted(k) for k in df.columns])
 
     def filled(self, df: DataFrame) -> DataFrame:
         """Encoded columns with missing values replaced."""
@@ -272,9 +247,7 @@ class ClientPreprocessorModel(Model):
         state = asdict(self._fitted())
         if state["labels_path"]:
             target = f"{path}/labels"
-            spark.read.parquet(state["labels_path"]).write.mode("overwrite").partitionBy(
-                "feature"
-            ).parquet(target)
+            read_labels(spark, state["labels_path"]).write.mode("overwrite").partitionBy("feature").parquet(target)
             state["labels_path"] = target
         rows = spark.createDataFrame([(json.dumps(state, ensure_ascii=False),)], "value string")
         rows.write.mode("overwrite").text(f"{path}/state")
