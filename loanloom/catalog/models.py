@@ -21,6 +21,7 @@ from loanloom.operators import ranking as R
 from loanloom.operators import sampling
 from loanloom.operators.applicant import application_features
 from loanloom.operators.profile import column_stats
+from loanloom.operators.sampling import sample_fraction, stratified_holdout
 from loanloom.plans import preprocessor as M
 from loanloom.plans import training as T
 from loanloom.plans.scoring import LinearScorer, decision_summary, score, what_if
@@ -628,67 +629,74 @@ def x3(t):
 
 # ---------------------------------------------------------------- trained models
 
-TREE_FEATURES = [
-    "AMT_INCOME_TOTAL",
-    "AMT_CREDIT",
-    "AMT_ANNUITY",
-    "DAYS_BIRTH",
-    "EXT_SOURCE_2",
-    "CREDIT_INCOME_RATIO",
-    "EXT_SOURCE_MEAN",
-    "PREV_PREV_REFUSED_SUM",
-    "INST_DAYS_LATE_MEAN",
-    "BUREAU_AMT_CREDIT_SUM_MEAN",
-]
+def _prepared(t):
+    return M.prepare_train_test(build_spine(t.loan_tables()).table)
 
 
-def _prepared(t):
-    wide = build_spine(t.loan_tables()).table.select(ID, K.TARGET, "split", *TREE_FEATURES)
-    return M.prepare_train_test(wide)
+def _boosted(t):
+    """The prepared table and a boosted fit on its train rows, once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BOOSTED:
+        prepared, fitted = _prepared(t)
+        train = prepared.where("split = 'train'")
+        parts = stratified_holdout(train, ID, K.TARGET).withColumn("_valid", F.col("part") == "valid")
+        _BOOSTED[key] = prepared, T.train_boosted(parts, fitted.feature_names, validation="_valid")
+    return _BOOSTED[key]
+
+
+_BOOSTED: dict = {}
 
 
 @register("m7_boosted_scores")
 def m7(t):
-    prepared, _ = _prepared(t)
-    scorer = T.train_boosted(prepared.where("split = 'train'"), TREE_FEATURES, trees=8, max_depth=3)
+    prepared, scorer = _boosted(t)
     return scorer.with_probability(prepared).select(ID, "split", "probability")
 
 
 @register("m8_train_and_evaluate")
 def m8(t):
-    prepared, _ = _prepared(t)
-    done = T.train_and_evaluate(prepared, TREE_FEATURES, "boosted", trees=8, max_depth=3)
-    card = T.model_card(t.spark, done.config, TREE_FEATURES)
+    prepared, fitted = _prepared(t)
+    done = T.train_and_evaluate(prepared, fitted.feature_names)
+    card = T.model_card(t.spark, done.config, fitted.feature_names)
     return card.select("model_name", "threshold", "n_features", "metrics")
 
 
 @register("m9_cross_validation")
 def m9(t):
-    prepared, _ = _prepared(t)
-    folds = T.cross_validate(prepared, TREE_FEATURES, "logistic", k=3)
-    return E.cross_validation_summary(folds)
+    prepared, fitted = _prepared(t)
+    return E.cross_validation_summary(T.cross_validate(prepared, fitted.feature_names))
 
 
 @register("m12_global_importance")
 def m12(t):
-    prepared, _ = _prepared(t)
-    scorer = T.train_boosted(prepared.where("split = 'train'"), TREE_FEATURES, trees=8, max_depth=3)
+    _, scorer = _boosted(t)
     return X.global_importance(t.spark, scorer)
 
 
 @register("m13_tree_contributions")
 def m13_trees(t):
-    prepared, _ = _prepared(t)
-    scorer = T.train_boosted(prepared.where("split = 'train'"), TREE_FEATURES, trees=8, max_depth=3)
+    prepared, scorer = _boosted(t)
     return X.explain_trees(prepared, scorer, n=5)
 
 
+@register("m15_tree_contribution_summary")
+def m15_trees(t):
+    prepared, scorer = _boosted(t)
+    sample = sample_fraction(prepared, ID, 0.1)
+    return X.contribution_summary(X.tree_cells(sample, scorer))
+
+
 @register("m16_model_card")
 def m16(t):
-    prepared, fitted = _prepared(t)
-    scorer = T.train_logistic(prepared.where("split = 'train'"), TREE_FEATURES)
+    prepared, scorer = _boosted(t)
     scored = scorer.with_probability(prepared.where("split = 'train'"))
     metrics = E.all_metrics(scored.withColumnRenamed("probability", "proba"), 0.5).first().asDict()
-    config = {"optimal_threshold": 0.5, "metrics": {k: metrics[k] for k in ("auc", "accuracy")}}
-    card = T.model_card(t.spark, config, fitted.feature_names)
-    return card.drop("metrics", "training_date").withColumn("features", F.array_join("features", ","))
+    config = {
+        "optimal_threshold": 0.5,
+        "metrics": {k: metrics[k] for k in ("auc", "accuracy")},
+        "training_date": "2024-01-16",
+    }
+    card = T.model_card(t.spark, config, scorer.features)
+    return card.withColumn("features", F.array_join("features", ",")).withColumn(
+        "metrics", F.array_join(F.array_sort(F.map_keys("metrics")), ",")
+    )

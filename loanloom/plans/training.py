@@ -42,11 +42,11 @@ def train_boosted(
 ) -> VectorScorer:
     """Boosted trees with balanced class weights.
 
-    With ``validation`` (a 0/1 column) the rows it marks are not fitted. All rounds
-    are fitted to the others, the marked rows are scored after every round in one pass, and the
-    model keeps the rounds up to the best one: that with the lowest loss before
-    ``patience`` rounds brought none lower. The fit repeats exactly, so the kept
-    rounds are fitted again rather than cut out of the model.
+    With ``validation`` (a 0/1 column) the rows it marks are not fitted but scored
+    after every round, in one pass. The model keeps the rounds up to the best one: that
+    with the lowest loss before ``patience`` rounds brought none lower. More and
+    more rounds are tried, twice as many each time, until that is decided. A fit
+    repeats exactly, so the kept rounds are fitted again rather than cut out of a model.
     """
     settings = {**K.BOOSTING, **overrides}
     ensure_checkpoint_dir(df.sparkSession)
@@ -74,17 +74,25 @@ def train_boosted(
     )
     kept = fitted.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = booster.fit(kept)
-        if checked is not None:
-            losses = model.evaluateEachIteration(balanced_weights(checked, "label"))
-            best = best_round(losses, settings["patience"])
-            if best < len(losses):
-                model = booster.setMaxIter(best).fit(kept)
+        model = _boost(booster, kept, checked, settings)
     finally:
         kept.unpersist()
     return VectorScorer(model, features, len(model.trees))
 
 
+def _boost(booster: GBTClassifier, rows: DataFrame, checked: DataFrame | None, settings: dict):
+    if checked is None:
+        return booster.fit(rows)
+    checked, patience, rounds = balanced_weights(checked, "label"), settings["patience"], 0
+    while True:
+        rounds = min(settings["trees"], max(2 * rounds, 2 * patience))
+        model = booster.setMaxIter(rounds).fit(rows)
+        losses = model.evaluateEachIteration(checked)
+        best = best_round(losses, patience)
+        if rounds == settings["trees"] or rounds - best >= patience:
+            return model if best == rounds else booster.setMaxIter(best).fit(rows)
+
+
 def best_round(losses: list[float], patience: int) -> int:
     """The round (from 1) with the lowest loss, until ``patience`` rounds did not beat it."""
     best = 0

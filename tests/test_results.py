@@ -6,7 +6,9 @@ import pytest
 import __spark_entry__ as entry
 
 CHECKED = sorted(entry.oracle_sql())
-UNCHECKED = sorted(set(entry.queries()) - set(CHECKED))
+# many boosted fits; tests/test_models.py covers them on a small table
+SLOW = {"m8_train_and_evaluate", "m9_cross_validation"}
+UNCHECKED = sorted(set(entry.queries()) - set(CHECKED) - SLOW)
 
 
 @pytest.mark.parametrize("name", CHECKED)
