@@ -82,13 +82,12 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def fit_machine(x: np.ndarray, positive: np.ndarray, rounds: int = 120, cost: float = 20.0) -> np.ndarray:
-    """Weights (the last is the intercept) of an L2 support vector machine, squared hinge loss."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32)))
+    """Weights of an L2 support vector machine with squared hinge loss; ``x`` holds the intercept's ones."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
     weight = (2 * cost * share).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
-    ahead, step = w, 1.0 / (1.0 + 2.0 * float((weight[:, None] * x * x).sum()))
+    ahead, step = w, 1.0 / (1.0 + 2.0 * float(weight @ np.einsum("ij,ij->i", x, x)))
     for k in range(rounds):  # accelerated gradient
         slack = np.maximum(0, 1 - y * (x @ ahead))
         new = ahead - step * (ahead - x.T @ (weight * slack * y))
@@ -164,7 +163,9 @@ def fit(
     if not rows:
         return model
     rows.sort(key=lambda r: (r["name"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in rows]).astype(np.float32)
+    x = np.ones((len(rows), FEATURES + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, :-1] = np.frombuffer(r["vector"], np.float16)
     names = np.array([r["name"] for r in rows])
     groups = np.array([family_of(n) for n in names])
     for f in sorted(set(groups)):
