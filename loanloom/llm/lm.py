@@ -16,7 +16,8 @@ The trie of a shard has two levels: the contexts' hashes, and for each context i
 successors, made one monotone sequence by the context's rank. Both levels and the
 pointers between them are Elias-Fano coded; each successor has its smoothed probability
 quantised to one byte. The levels lie in a memory-mapped temporary file of the task. A pair is looked up by a
-successor search relative to its context.
+successor search relative to its context. Words are known by 64-bit hashes, a successor
+within its context by NEXT_BITS bits.
 
 Defined results: a null or empty text is one token, the end. Repeated rows count, and are scored, each.
 Without training rows N and V are 0. A very long text is spread over several chunks.
