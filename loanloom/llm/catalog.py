@@ -160,4 +160,30 @@ ORACLES = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    # CRC-32 byte by byte; its table comes from the reversed polynomial
+    "op2_sharding": """
+        WITH steps AS MATERIALIZED (
+            SELECT list(c ORDER BY b) AS step FROM (
+                SELECT b, list_reduce(list_prepend(b, range(8)),
+                    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                FROM range(256) t(b))
+        ),
+        b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+        d AS (
+            SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size,
+                CAST(xor(list_reduce(
+                    list_prepend(CAST(4294967295 AS BIGINT), list_transform(b, lambda h: CAST('0x' || h AS BIGINT))),
+                    lambda c, x: xor(c // 256, step[xor(c, x) % 256 + 1])), 4294967295) AS BIGINT) AS text_crc32
+            FROM b, steps
+        ),
+        s AS (
+            SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total FROM d
+            WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+        ),
+        c AS (SELECT *, CAST((8 * (2 * before + size)) // (2 * total) AS INTEGER) AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+            CAST(NULL AS INTEGER) AS grown_shard
+        FROM c
+    """,
 }
