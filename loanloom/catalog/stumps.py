@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanloom import constants as K
 from loanloom.catalog import evaluation as V
 from loanloom.catalog.base import r6, register, with_tables
-from loanloom.catalog.features import FEATURE_SELECT
+from loanloom.catalog.features import FEATURE_SELECT, md5_rank
 from loanloom.catalog.models import SCORED_APP, SCORER
 from loanloom.operators import evaluate as E
 from loanloom.operators import explain as X
@@ -20,24 +20,25 @@ FEATURES = ["CNT_FAM_MEMBERS", "FLAG_DOCUMENT_2", "FLAG_DOCUMENT_3", "FLAG_EMAIL
 ROUNDS, STEP, LEAST = 3, 0.05, 20
 
 
+SETTINGS = dict(
+    trees=ROUNDS,
+    max_depth=1,
+    learning_rate=STEP,
+    row_fraction=1.0,
+    feature_fraction="all",
+    min_rows_per_leaf=LEAST,
+)
+
+
 def _fitted(t):
-    return T.train_boosted(
-        t.train,
-        FEATURES,
-        trees=ROUNDS,
-        max_depth=1,
-        learning_rate=STEP,
-        row_fraction=1.0,
-        feature_fraction="all",
-        min_rows_per_leaf=LEAST,
-    )
+    return T.train_boosted(t.train, FEATURES, **SETTINGS)
 
 
 # ------------------------------------------------------------------- the same in SQL
 
 _VALUE = "CASE feature " + " ".join(f"WHEN '{f}' THEN CAST({f} AS DOUBLE)" for f in FEATURES) + " END"
 _LONG = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, w, res FROM {{0}} WHERE w IS NOT NULL" for f in FEATURES
+    f"SELECT model, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, w, res FROM {{0}} WHERE fitted" for f in FEATURES
 )
 
 
@@ -47,38 +48,60 @@ def _weight(k: int) -> float:
 
 
 def _fit_ctes() -> dict[str, str]:
-    """Per round k: residuals (step), cut points, their gains, the best split, and the next residuals."""
+    """From ``rows_of`` (model, fitted, SK_ID_CURR, split, TARGET, features), for every model and round k:
+    residuals (step), gains of all cut points (sums), the best split (tree), new margins (moved)."""
     ctes = {
-        "step1": f"""
-SELECT SK_ID_CURR, split, {', '.join(FEATURES)}, 2.0 * TARGET - 1 AS y, CAST(0 AS DOUBLE) AS margin,
-  CASE WHEN split = 'train' THEN count(*) FILTER (WHERE split = 'train') OVER () / (2.0 * count(*) OVER (PARTITION BY TARGET)) END AS w,
-  2.0 * TARGET - 1 AS res FROM app""",
+        "step1": """
+SELECT *, 2.0 * TARGET - 1 AS y, CAST(0 AS DOUBLE) AS margin, 2.0 * TARGET - 1 AS res,
+  count(*) OVER (PARTITION BY model, fitted) / (2.0 * count(*) OVER (PARTITION BY model, fitted, TARGET)) AS w FROM rows_of""",
         "points": f"""
-SELECT feature, (v + lead(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS cut
-FROM (SELECT DISTINCT feature, v FROM ({_LONG.format('step1')}))""",
+SELECT model, feature, (v + lead(v) OVER (PARTITION BY model, feature ORDER BY v)) / 2 AS cut
+FROM (SELECT DISTINCT model, feature, v FROM ({_LONG.format('step1')}))""",
     }
     for k in range(1, ROUNDS + 1):
         ctes[f"sums{k}"] = f"""
-SELECT feature, cut, sum(w) FILTER (WHERE v <= cut) AS wl, sum(w * res) FILTER (WHERE v <= cut) AS sl, count(*) FILTER (WHERE v <= cut) AS nl,
+SELECT model, feature, cut, sum(w) FILTER (WHERE v <= cut) AS wl, sum(w * res) FILTER (WHERE v <= cut) AS sl, count(*) FILTER (WHERE v <= cut) AS nl,
   sum(w) FILTER (WHERE v > cut) AS wr, sum(w * res) FILTER (WHERE v > cut) AS sr, count(*) FILTER (WHERE v > cut) AS nr
-FROM ({_LONG.format(f'step{k}')}) JOIN points USING (feature) WHERE cut IS NOT NULL GROUP BY feature, cut"""
+FROM ({_LONG.format(f'step{k}')}) JOIN points USING (model, feature) WHERE cut IS NOT NULL GROUP BY model, feature, cut"""
         ctes[f"tree{k}"] = f"""
-SELECT feature, cut, sl / wl AS below, sr / wr AS above, (sl + sr) / (wl + wr) AS mean,
+SELECT model, feature, cut, sl / wl AS below, sr / wr AS above, (sl + sr) / (wl + wr) AS mean,
   sl * sl / wl + sr * sr / wr - (sl + sr) * (sl + sr) / (wl + wr) AS gain
-FROM sums{k} WHERE nl >= {LEAST} AND nr >= {LEAST} ORDER BY gain DESC, feature, cut LIMIT 1"""
+FROM sums{k} WHERE nl >= {LEAST} AND nr >= {LEAST}
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY gain DESC, feature, cut) = 1"""
         ctes[f"moved{k}"] = f"""
 SELECT s.* EXCLUDE (margin, res), margin + CAST({_weight(k)} AS DOUBLE) * CASE WHEN {_VALUE} <= cut THEN below ELSE above END AS margin
-FROM step{k} s, tree{k}"""
+FROM step{k} s JOIN tree{k} t ON s.model = t.model"""
         ctes[f"step{k + 1}"] = f"SELECT *, 4 * y / (1 + exp(2 * y * margin)) AS res FROM moved{k}"
     return ctes
 
 
-_CTES = _fit_ctes()
+_COLUMNS = f"SK_ID_CURR, split, TARGET, {', '.join(FEATURES)}"
+_CTES = {
+    "rows_of": f"SELECT 0 AS model, split = 'train' AS fitted, {_COLUMNS} FROM app",
+    **_fit_ctes(),
+}
 _TREES = " UNION ALL ".join(
     f"SELECT CAST({_weight(k)} AS DOUBLE) AS weight, * FROM tree{k}" for k in range(1, ROUNDS + 1)
 )
 _FEATURES = f"(VALUES {', '.join(f"('{f}')" for f in FEATURES)}) f(feature)"
 
+_ROUNDS = " UNION ALL ".join(f"SELECT {k} AS round, * FROM moved{k}" for k in range(1, ROUNDS + 1))
+_STOPPED = {
+    **_fit_ctes(),
+    "rounds": _ROUNDS,
+    # the round with the lowest loss on the rows that were not fitted
+    "kept": """
+SELECT model, round FROM (SELECT model, round, sum(w * 2 * ln(1 + exp(-2 * y * margin))) / sum(w) AS loss FROM rounds
+  WHERE NOT fitted GROUP BY model, round) QUALIFY row_number() OVER (PARTITION BY model ORDER BY loss, round) = 1""",
+    "folded": """
+SELECT model AS fold, round, TARGET, 1 / (1 + exp(-2 * margin)) AS proba
+FROM rounds JOIN kept USING (model, round) WHERE NOT fitted""",
+    "grid": V.GRID,
+    "curve": V.FOLD_CURVE,
+    "best": V.FOLD_BEST,
+    "aucs": V.FOLD_AUC,
+}
+
 
 @register(
     "m7_boosted_stumps",
@@ -143,6 +166,53 @@ def m15_stumps(t):
     return X.contribution_summary(X.tree_cells(t.app, _fitted(t)))
 
 
+# ------------------------------------------------------- hold-out and cross-validation
+
+_HASHED = f"""SELECT *, {md5_rank(42, 'TARGET')} AS rk, count(*) OVER (PARTITION BY TARGET) AS rows_of_class
+FROM app WHERE TARGET IS NOT NULL"""
+
+
+@register(
+    "m8_stumps_on_holdout",
+    with_tables(
+        f"""
+SELECT {r6('threshold', 'threshold')}, (SELECT CAST(round AS BIGINT) FROM kept) AS best_iteration, {r6('auc', 'auc')},
+  {r6('(TP + TN) / CAST(n AS DOUBLE)', 'accuracy')}, {r6(V.COST, 'business_cost')} FROM best JOIN aucs USING (fold)""",
+        "app",
+        hashed=_HASHED,
+        rows_of=f"SELECT 0 AS model, rk > round_even(rows_of_class * 0.2, 0) AS fitted, {_COLUMNS} FROM hashed",
+        **_STOPPED,
+    ),
+)
+def m8_stumps(t):
+    done = T.train_and_evaluate(t.train, FEATURES, **SETTINGS)
+    card = T.model_card(t.spark, done.config, FEATURES)
+    flat = [F.col("metrics")[name].alias(name) for name in ("auc", "accuracy", "business_cost")]
+    best = F.lit(done.config["best_iteration"]).cast("long").alias("best_iteration")
+    return card.select("threshold", best, *flat)
+
+
+_FOLD = """(SELECT count(DISTINCT floor(rows_of_class * CAST(i AS DOUBLE) / 5)) FROM range(1, 5) t(i)
+  WHERE floor(rows_of_class * CAST(i AS DOUBLE) / 5) < rk AND floor(rows_of_class * CAST(i AS DOUBLE) / 5) > 0)"""
+
+
+@register(
+    "m9_stumps_by_fold",
+    with_tables(
+        f"""
+SELECT CAST(fold AS INTEGER) AS fold, {r6('auc', 'auc')}, {r6('(TP + TN) / CAST(n AS DOUBLE)', 'accuracy')},
+  {r6(V.COST, 'business_cost')}, {r6('threshold', 'threshold')} FROM best JOIN aucs USING (fold)""",
+        "app",
+        hashed=_HASHED,
+        dealt=f"SELECT *, {_FOLD} AS fold_of FROM hashed",
+        rows_of=f"SELECT m.model, fold_of <> m.model AS fitted, {_COLUMNS} FROM dealt, range(5) m(model)",
+        **_STOPPED,
+    ),
+)
+def m9_stumps(t):
+    return T.cross_validate(t.train, FEATURES, **SETTINGS)
+
+
 # ------------------------------------------------------------------------ model card
 
 
