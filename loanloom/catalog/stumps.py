@@ -8,11 +8,13 @@ from loanloom import constants as K
 from loanloom.catalog import evaluation as V
 from loanloom.catalog.base import r6, register, with_tables
 from loanloom.catalog.features import FEATURE_SELECT, md5_rank
-from loanloom.catalog.models import SCORED_APP, SCORER
+from loanloom.catalog.models import BAND, SCORED_APP, SCORER
 from loanloom.operators import evaluate as E
 from loanloom.operators import explain as X
 from loanloom.operators.applicant import application_features
 from loanloom.plans import training as T
+from loanloom.plans.preprocessor import ClientPreprocessor
+from loanloom.plans.scoring import score
 
 ID = K.CLIENT_KEY
 # FLAG_PHONE equals FLAG_DOCUMENT_2 in the test tables: which of the two a tree takes would be chance
@@ -113,6 +115,27 @@ def m7_stumps(t):
     return _fitted(t).with_probability(t.app).select(ID, "split", "probability")
 
 
+_P = f"SELECT SK_ID_CURR, 1 / (1 + exp(-2 * margin)) AS p FROM moved{ROUNDS}"
+
+
+@register(
+    "m11_preprocessed_scores",
+    with_tables(
+        f"""
+SELECT SK_ID_CURR AS client_id, {r6('p', 'probability')}, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction,
+  CASE WHEN p >= 0.5 THEN '{K.REFUSED}' ELSE '{K.ACCEPTED}' END AS decision, {BAND} AS risk_category, {r6('0.5', 'threshold')} FROM sc""",
+        "app",
+        **_CTES,
+        sc=_P,
+    ),
+)
+def m11_preprocessed(t):
+    """A fitted preprocessing and a scorer fitted on what it returns, together on raw clients."""
+    fitted = ClientPreprocessor().fit(application_features(t.train))
+    scorer = T.train_boosted(fitted.transform(application_features(t.train)), FEATURES, **SETTINGS)
+    return score(t.app, scorer, 0.5, preprocessor=fitted, digits=None)
+
+
 @register(
     "m12_stump_importance",
     with_tables(
