@@ -186,4 +186,63 @@ ORACLES = {
             CAST(NULL AS INTEGER) AS grown_shard
         FROM c
     """,
+    "op6_warc_revisits": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, trim(coalesce(url, '')) AS url,
+                substr(md5(coalesce(html, '')), 1, 16) AS tag, 1700000000 + coalesce(page_id, 0) % 8640 * 10 AS t,
+                'day ' || coalesce(page_id, 0) % 8640 * 10 // 3600 AS day, coalesce(CAST(page_id AS VARCHAR), 'none') AS name
+            FROM pages
+        ),
+        u AS (
+            SELECT *, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?' AS pattern,
+                list_sort(list_filter(string_split(regexp_extract(url, pattern, 3), '&'),
+                    lambda f: NOT regexp_full_match(f, '(utm_[^=]*(=.*)?)?'))) AS fields
+            FROM p
+        ),
+        c AS (
+            SELECT *, CASE WHEN regexp_matches(url, pattern) THEN
+                    regexp_replace(lower(regexp_extract(url, pattern, 1)), '^www\.|:(80|443)?$', '', 'g')
+                    || regexp_replace(regexp_extract(url, pattern, 2), '/+$', '')
+                    || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END
+                ELSE regexp_replace(url, '#.*$', '') END AS canonical_url
+            FROM u
+        ),
+        full_ AS (
+            SELECT page_id, '<urn:response:' || name || '>' AS record_id, canonical_url, t, tag, day,
+                octet_length(encode(html)) AS bytes, sha256(html) AS digest
+            FROM c
+        ),
+        points AS (
+            SELECT * FROM full_
+            QUALIFY row_number() OVER (PARTITION BY canonical_url, t ORDER BY record_id) = 1
+        ),
+        asked AS (
+            SELECT page_id, '<urn:revisit:' || name || '>' AS record_id, canonical_url, t + 86400 AS t,
+                CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN NULL
+                    WHEN page_id % 11 = 0 THEN reverse(tag) ELSE tag END AS sent_tag,
+                CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN day END AS sent_day
+            FROM c
+        ),
+        met AS (
+            SELECT a.*, r.record_id AS old_id, r.tag AS old_tag, r.day AS old_day, r.bytes, r.digest,
+                CASE WHEN r.record_id IS NULL THEN 'no_response'
+                    WHEN coalesce(sent_tag, sent_day) IS NULL THEN 'unverified'
+                    WHEN coalesce(sent_tag = r.tag, sent_day = r.day) THEN 'resolved' ELSE 'mismatch' END AS status
+            FROM asked a ASOF LEFT JOIN points r ON a.canonical_url = r.canonical_url AND a.t > r.t
+        )
+        SELECT page_id, record_id, 'response' AS kind, canonical_url, t AS captured_s, 'full' AS status, NULL AS response_id,
+            concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || bytes, 'content-type: text/html',
+                'etag: "' || tag || '"', 'last-modified: ' || day) AS headers, digest AS resolved_sha256
+        FROM full_
+        UNION ALL
+        SELECT page_id, record_id, 'revisit', canonical_url, t, status, CASE WHEN status = 'resolved' THEN old_id END,
+            CASE WHEN status = 'resolved' THEN
+                concat_ws(chr(10), 'cache-control: max-age=3600', 'content-length: ' || bytes, 'content-type: text/html',
+                    'etag: ' || coalesce('W/"' || sent_tag || '"', '"' || old_tag || '"'), 'last-modified: ' || old_day)
+            ELSE
+                concat_ws(chr(10), 'cache-control: max-age=3600', 'content-length: 0', 'etag: W/"' || sent_tag || '"',
+                    'last-modified: ' || sent_day, CASE WHEN coalesce(sent_tag, sent_day) IS NULL THEN 'x-checked: no' END)
+            END, CASE WHEN status = 'resolved' THEN digest END
+        FROM met
+    """,
 }

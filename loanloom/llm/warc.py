@@ -7,9 +7,9 @@ modification. The stored headers are then updated with those the 304 answer may
 change; payloads stay where they are and are referred to.
 
 The as-of join works on the distinct (URL, time) points. Time is cut into
-equi-depth buckets; the last response of each bucket is carried to later buckets (one row per URL and
-bucket), and a window inside the bucket does the rest: a URL with a third of all captures is spread
-over the buckets.
+equi-depth buckets, at least as many as a shuffle has partitions. The last response of each
+bucket is carried to later buckets (one row per URL and bucket), and a window inside the bucket
+does the rest: a URL with a third of all captures is spread over the buckets.
 
 Defined results: records without URL or time, or revisits without an earlier response, are
 ``no_response``; a revisit without validators is ``unverified``, one with other
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanloom.operators.ordered import count_below
+from loanloom.operators.ordered import bucket_count, count_below
 from loanloom.session import materialize
 
-BUCKETS = 256
+MEMBER_PIECE = 1 << 16  # bytes of a gzip file looked at together
 
 # fixed values: header fields a 304 answer does not change (RFC 9110, RFC 9111)
 UNCHANGED = [
@@ -102,11 +102,16 @@ def parse(raw: DataFrame, record: str = "record") -> DataFrame:
 
 def split_records(content: bytes) -> Iterator[bytes]:
     """The records of a WARC file, plain or with one gzip member per record."""
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        yield member.decompress(content).rstrip(b"\r\n")
-        content = member.unused_data
-    at = content.find(b"WARC/")
+    at, view = 0, memoryview(content)
+    while content[at : at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while at < len(content) and not member.eof:
+            piece = view[at : at + MEMBER_PIECE]
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        yield b"".join(parts).rstrip(b"\r\n")
+    at = content.find(b"WARC/", at)
     while at >= 0:
         end = content.find(b"\r\n\r\n", at)
         if end < 0:
@@ -118,7 +123,10 @@ def split_records(content: bytes) -> Iterator[bytes]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files below a path: one binary column ``record``."""
+    """The records of all WARC files below a path: one binary column ``record``.
+
+    A file is one row of Spark's binary reader, which refuses files over 2 GB.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,9 +175,10 @@ def responses_as_of(records: DataFrame) -> DataFrame:
         "capture-points",
     )
     seconds = F.unix_micros("captured_at")
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = points.agg(F.percentile_approx(seconds, shares, 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
+    buckets = bucket_count(points)
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = points.agg(F.percentile_approx(seconds, shares, max(10_000, 16 * buckets))).first()[0] or []
+    edges = F.expr(f"array({', '.join(f'{b}L' for b in bounds or [0])})")
     placed = points.withColumn("bucket", count_below(seconds, edges, len(bounds)))
     lasts = placed.groupBy("canonical_url", "bucket").agg(
         F.max_by("answer", F.when(F.col("answer").isNotNull(), seconds)).alias("last")
