@@ -8,6 +8,9 @@ the rest, so no task ever sorts a whole column.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,8 +124,8 @@ def quantiles(
     """Interpolated quantiles: one row per (by, feature), one column per probability.
 
     NULLs are skipped; a column without values gives no row. Rows are counted
-    per distinct value once; the running totals of the counts tell which values
-    have the wanted ranks. ``approximate`` takes a sketch instead.
+    per distinct value once; the totals of equi-depth buckets tell which buckets hold
+    the wanted ranks, and only their values are put in order. ``approximate`` takes a sketch instead.
     """
     by = by or []
     if method == "approximate":
@@ -131,19 +134,44 @@ def quantiles(
         raise ValueError(f"unknown quantile method: {method!r}")
     group = [*by, "feature"]
     counts = S.to_long(df, columns, by).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, group, "value", ["n"])
+    buckets = bucket_count(counts)
+    stats = counts.groupBy(*group).agg(
+        sketch_bounds(F.col("value"), buckets).alias("bounds"), F.sum("n").alias("n_all")
+    )
+    placed = add_bucket(attach(counts, stats, group), "value", "bounds", buckets)
+    totals = placed.groupBy(*group, "bucket").agg(F.sum("n").alias("n"), F.max("n_all").alias("n_all"))
+    earlier = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+    def spot(p: float) -> Column:
+        return (F.col("n_all") - 1) * F.lit(float(p))
+
+    def holds(rank: Column, first: str, end: Column) -> Column:
+        return (F.col(first) <= rank) & (rank < end)
+
+    ranks = [rank(spot(p)) for p in probabilities for rank in (F.floor, F.ceil)]
+    # only buckets with a wanted rank go on: two per probability and group at most
+    bucket_end = F.col("base") + F.col("n")
+    wanted = offsets.where(reduce(or_, [holds(r, "base", bucket_end) for r in ranks])).select(
+        *[F.col(c).alias(f"_{c}") for c in [*group, "bucket"]], "base"
+    )
+    # null-safe: a plain equality would infer a filter of the raw rows and count them once more
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "bucket"]])
+    upto = W.partitionBy(*group, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = placed.join(wanted, same).select(
+        *group, "value", "n_all", (F.sum("n").over(upto) + F.col("base")).alias("n_upto"), "n"
+    )
+    ranked = ranked.withColumn("n_below", F.col("n_upto") - F.col("n"))
 
     def value_at(rank: Column) -> Column:
-        holds = (F.col("n_below") <= rank) & (rank < F.col("n_upto"))
-        return F.max(F.when(holds, F.col("value")))
+        return F.max(F.when(holds(rank, "n_below", F.col("n_upto")), F.col("value")))
 
     found, columns_out = [], []
     for i, p in enumerate(probabilities):
-        spot = (F.col("n_all") - 1) * F.lit(float(p))
         found += [
-            value_at(F.floor(spot)).alias(f"lo{i}"),
-            value_at(F.ceil(spot)).alias(f"hi{i}"),
-            F.max(spot - F.floor(spot)).alias(f"part{i}"),
+            value_at(F.floor(spot(p))).alias(f"lo{i}"),
+            value_at(F.ceil(spot(p))).alias(f"hi{i}"),
+            F.max(spot(p) - F.floor(spot(p))).alias(f"part{i}"),
         ]
         between = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
         columns_out.append(between.alias(_name(p)))
