@@ -70,16 +70,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, row: str | None = None
 ) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, one row per row of ``docs``."""
+    """doc_id and the fingerprint as a signed long, one row per row of ``docs``; the column ``row`` is kept as row."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         found = np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64)
         return pd.Series(found.view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text).cast("string")).alias("fp"))
+    also = [] if row is None else [F.col(row).alias("row")]
+    return docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text).cast("string")).alias("fp"), *also)
 
 
 # ----------------------------------------------------------------------- links
@@ -237,6 +238,16 @@ def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 # ------------------------------------------------------------------- operators
 
 
+def _rooted(rows: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """Every distinct ``fp`` of ``rows`` with its smallest ``least`` and the root of its component."""
+    classes = materialize(rows.groupBy("fp").agg(F.min(least).alias("least")), "fingerprint-classes")
+    stars = materialize(components(near_links(classes.select("fp"), max_bits)), "fingerprint-stars")
+    # every class with its root; roots without links are their own
+    return classes.join(stars, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -247,12 +258,7 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
     rows = materialize(fingerprints(docs, doc_id, text, width, seed), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    stars = materialize(components(near_links(classes.select("fp"), max_bits)), "fingerprint-stars")
-    # every class with its root; roots without links are their own
-    rooted = classes.join(stars, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(rows, F.col("doc_id"), max_bits)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -263,17 +269,15 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3
 ) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest identifier.
+    """The rows of ``docs`` that stay: exactly one of each component.
 
-    A repeated identifier stays as often as it is given; a component without
-    any identifier stays whole.
+    It is the one with the smallest identifier; where that is repeated, or no
+    row has one, the first of these rows in the order of the table's parts.
     """
-    (own,) = fresh(docs, "leader_id")
-    leaders = (
-        near_duplicates(docs, doc_id, text, width, max_bits)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias(own))
-        .distinct()
-    )
-    kept = docs.join(leaders, F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
+    (own,) = fresh(docs, "row_number")
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered-rows")
+    rows = materialize(fingerprints(numbered, doc_id, text, width, row=own), "fingerprints")
+    me = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    least = _rooted(rows, me, max_bits).groupBy("root").agg(F.min("least").alias("least"))
+    kept = numbered.join(least.select(F.col("least.row").alias(own)), own, "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -166,6 +166,22 @@ def test_one_of_each_component_stays(documents):
     assert {r["doc_id"] for r in left.collect()} == {r["component_id"] for r in marks}
 
 
+def test_one_row_stays_where_identifiers_are_null_or_repeated(spark):
+    x, y, z = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
+    rows = [(7, x), (3, y), (7, y), (None, x), (None, y), (None, z), (None, z.upper()), (None, z)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id int, text string, row_number int")
+    left = simhash.keep_one(docs.repartition(3))
+    assert left.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, r["text"].lower()) for r in left.collect())
+    assert found == [(0, z), (3, y), (7, x)]
+
+
+def test_one_of_each_component_stays_of_awkward_rows(awkward):
+    roots = plain_components([plain_fingerprint(r["text"]) for r in awkward.collect()])
+    left = simhash.keep_one(awkward).collect()
+    assert sorted(roots[plain_fingerprint(r["text"])] for r in left) == sorted(set(roots.values()))
+
+
 def test_hash_is_the_engines(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("añb c")).alias("h")).first()
     assert row["h"] % (1 << 64) == xxhash.xxh64_intdigest("añb c".encode(), seed=42)
