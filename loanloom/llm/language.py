@@ -5,7 +5,7 @@ so that every text has length one). Linear support vector machines, one
 against the rest, tell the families apart; within a family one-versus-one machines
 vote between each two languages. All are fitted on the driver from the features of a
 bounded sample of labelled rows: about ROWS_PER_LANGUAGE of each language,
-chosen by a hash of the identifier. Texts are read whole.
+chosen by a hash of identifier and text. Texts are read whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if no row is labelled. Ties go to the first name in order.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loanloom.llm import codepoints
 from loanloom.llm.common import fresh, held_out
+from loanloom.session import materialize
 
 FEATURES = 4096
 ROWS_PER_LANGUAGE = 1000
@@ -131,17 +132,32 @@ class LanguageModel:
         return names.tolist(), score
 
 
-def sample(docs: DataFrame, training: Column, doc_id: str, lang: str) -> DataFrame:
-    """About ROWS_PER_LANGUAGE labelled training rows of each language."""
-    labelled = docs.where(training & F.col(lang).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("known")).count()
+def sample(docs: DataFrame, training: Column, doc_id: str, text: str, lang: str) -> DataFrame:
+    """About ROWS_PER_LANGUAGE labelled training rows of each language: name, text, taken.
+
+    Rows that agree in language, identifier and text are one point, which is taken as often
+    as its copies' share of the sample says, a fraction being settled by the point's hash.
+    """
+    labelled = docs.where(training & F.col(lang).isNotNull()).select(
+        F.col(lang).cast("string").alias("name"),
+        F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("place"),
+    )
+    points = materialize(
+        labelled.groupBy("name", "place").agg(F.count(F.lit(1)).alias("copies")), "language-points"
+    )
+    totals = points.groupBy("name").agg(F.sum("copies").alias("total"))  # one row per language
     spread = 1 << 30
-    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(spread))
-    shares = {r["known"]: ROWS_PER_LANGUAGE / r["count"] for r in counts.collect()}  # one row per language
-    cut = F.lit(0)
-    for name, share in shares.items():
-        cut = F.when(F.col(lang) == name, F.lit(min(spread, int(spread * share)))).otherwise(cut)
-    return labelled.where(place < cut)
+    share = F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("total"))
+    chance = F.pmod("place", F.lit(spread)) / F.lit(float(spread))
+    chosen = (
+        points.join(F.broadcast(totals), "name")
+        .select("name", "place", F.floor(F.col("copies") * share + chance).alias("taken"))
+        .where("taken > 0")
+    )
+    # the chosen points are about ROWS_PER_LANGUAGE per language, whatever the identifiers are
+    found = labelled.join(F.broadcast(chosen), ["name", "place"])
+    return found.groupBy("name", "place").agg(F.min("text").alias("text"), F.first("taken").alias("taken")).drop("place")
 
 
 def fit(
@@ -152,13 +168,15 @@ def fit(
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            rows = [(n, v.astype(np.float16).tobytes()) for n, v in zip(batch["name"], found) if v is not None]
-            yield pd.DataFrame(rows, columns=["name", "vector"])
-
-    chosen = sample(docs, training, doc_id, lang).select(
-        F.col(lang).cast("string").alias("name"), F.col(text).cast("string").alias("text")
-    )
-    rows = chosen.mapInPandas(vectors, "name string, vector binary").collect()  # a bounded sample
+            rows = [
+                (n, v.astype(np.float16).tobytes(), k)
+                for n, v, k in zip(batch["name"], found, batch["taken"]) if v is not None
+            ]
+            yield pd.DataFrame(rows, columns=["name", "vector", "taken"])
+
+    chosen = sample(docs, training, doc_id, text, lang)
+    points = chosen.mapInPandas(vectors, "name string, vector binary, taken long").collect()  # a bounded sample
+    rows = [r for r in points for _ in range(r["taken"])]
     model = LanguageModel()
     if not rows:
         return model

@@ -132,6 +132,36 @@ def test_prediction_uses_the_text_alone(documents):
     assert set(learned.pair) == {("de", "en"), ("es", "fr")}
 
 
+def learned_from(docs, monkeypatch):
+    """How many rows of de and en the machine that tells them apart is fitted on."""
+    seen = []
+
+    def fitted(x, positive):
+        seen.append((int(positive.sum()), int((~positive).sum())))
+        return np.zeros(x.shape[1], np.float32)
+
+    monkeypatch.setattr(language, "fit_machine", fitted)
+    language.fit(docs, F.lit(True))
+    return seen[0] if seen else (0, 0)
+
+
+@pytest.mark.parametrize("doc_id", ["null", "5", "id % 2", "id"])
+@pytest.mark.parametrize("text", ["'gleich'", "concat('wort ', id)"])
+def test_sample_is_bounded_whatever_the_identifiers_are(spark, monkeypatch, doc_id, text):
+    monkeypatch.setattr(language, "ROWS_PER_LANGUAGE", 100)
+    rows = spark.range(6000).selectExpr(
+        f"cast({doc_id} as long) as doc_id", f"{text} as text", "if(id % 3 = 0, 'de', 'en') as lang"
+    )
+    found = learned_from(rows, monkeypatch)
+    assert all(60 <= n <= 140 for n in found)
+    assert learned_from(rows.repartition(7), monkeypatch) == found
+
+
+def test_small_languages_are_learned_whole(awkward, monkeypatch):
+    counts = {r["lang"]: r["count"] for r in awkward.where("text rlike '[a-zü]'").groupBy("lang").count().collect()}
+    assert learned_from(awkward, monkeypatch) == (counts["de"], counts["en"])
+
+
 # -------------------------------------------------------------------- licences
 
 
