@@ -68,12 +68,16 @@ def _gram_counts(points: np.ndarray) -> np.ndarray:
     return counts
 
 
+def lettered(text: str | None) -> np.ndarray | None:
+    """Code points of a text, None without a letter."""
+    points = codepoints.array_of(text) if text else None
+    return points if text and (codepoints.classes()[points] == codepoints.LETTER).any() else None
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Unit vector of a text's gram frequencies, None without a letter."""
-    if not text:
-        return None
-    points = codepoints.array_of(text)
-    if not (codepoints.classes()[points] == codepoints.LETTER).any():
+    points = lettered(text)
+    if points is None:
         return None
     counts = sum(_gram_counts(points[at : at + PIECE]) for at in range(0, len(points), PIECE))
     return np.sqrt(counts / counts.sum()).astype(np.float32)
@@ -237,8 +241,20 @@ def keep_known(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; ``und`` and lower scores go."""
-    predict = _predictor(fit(docs, ~held_out(doc_id, folds, fold), doc_id, text, lang))
+    """The rows of ``docs`` whose text has a language; ``und`` and lower scores go.
+
+    With the least score of 0 only texts without a letter are ``und``. Where nothing was
+    learned there are no scores, and every text with a letter stays.
+    """
+    model = fit(docs, ~held_out(doc_id, folds, fold), doc_id, text, lang)
+    if not model.members:
+
+        @F.pandas_udf("boolean")
+        def has_letter(texts: pd.Series) -> pd.Series:
+            return pd.Series([lettered(t) is not None for t in texts], dtype=bool)
+
+        return docs.where(has_letter(F.col(text).cast("string")))
+    predict = _predictor(model)
     (found,) = fresh(docs, "language_found")
     marked = docs.withColumn(found, predict(F.col(text).cast("string")))
     kept = marked.where((F.col(found)["lang_pred"] != UNKNOWN) & (F.col(found)["score"] >= least_score))

@@ -123,6 +123,17 @@ def test_languages_of_awkward_rows(awkward, nothing):
     assert left.where("doc_id in (4, 5, 6, 10)").count() == 0
 
 
+def test_texts_with_a_letter_stay_where_nothing_was_learned(awkward):
+    for unlabelled in (
+        awkward.withColumn("lang", F.lit(None).cast("string")),
+        awkward.withColumn("lang", F.when(held_out("doc_id", 3, 1), F.col("lang"))),
+    ):
+        left = language.keep_known(unlabelled)
+        assert left.columns == unlabelled.columns
+        lettered = [r["row"] for r in unlabelled.collect() if any(c.isalpha() for c in r["text"] or "")]
+        assert sorted(r["row"] for r in left.collect()) == sorted(lettered)
+
+
 def test_prediction_uses_the_text_alone(documents):
     shuffled = documents.withColumn("source", F.lit("z"))
     learned = language.fit(documents, ~held_out("doc_id", 3, 1))
