@@ -1,7 +1,8 @@
 """WARC records, and revisits resolved to the response they stand for.
 
 A revisit with status 304 says that a page has not changed. It is joined as of its
-time with the latest strictly earlier full response of the same canonical URL.
+time with the latest strictly earlier complete response (status 200, the one a 304
+stands for, RFC 9110) of the same canonical URL.
 Its validators are checked: an entity tag (weak comparison), else the date of last
 modification. The stored headers are then updated with those the 304 answer may
 change; payloads stay where they are and are referred to.
@@ -14,7 +15,7 @@ does the rest: a URL with a third of all captures is spread over the buckets.
 Defined results: records without URL or time, or revisits without an earlier response, are
 ``no_response``; a revisit without validators is ``unverified``, one with other
 validators ``mismatch``; none of these is merged. Of responses with the same URL
-and time the smallest record id counts. Repeated revisits are each resolved. Broken
+and time the smallest record id counts, a null one being larger than any other. Repeated revisits are each resolved. Broken
 records give nulls.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from loanloom.operators.ordered import bucket_count, count_below
 from loanloom.session import materialize
 
+COMPLETE = 200  # http_status of a response that a revisit can stand for
 MEMBER_PIECE = 1 << 16  # bytes of a gzip file looked at together
 
 # fixed values: header fields a 304 answer does not change (RFC 9110, RFC 9111)
@@ -160,16 +162,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def responses_as_of(records: DataFrame) -> DataFrame:
-    """For every (canonical_url, captured_at) of a revisit the latest earlier response.
+    """For every (canonical_url, captured_at) of a revisit the latest earlier complete response.
 
-    ``records`` has canonical_url, captured_at, kind, record_id, headers, payload_sha256.
+    ``records`` has canonical_url, captured_at, kind, record_id, http_status, headers, payload_sha256.
     """
     known = records.where("canonical_url is not null and captured_at is not null")
-    full = F.col("kind") == "response"
+    full = (F.col("kind") == "response") & (F.col("http_status") == COMPLETE)
+    order = F.struct(F.col("record_id").isNull().alias("absent"), "record_id", "payload_sha256")
     answer = F.struct("record_id", "captured_at", "headers", "payload_sha256")
     points = materialize(
         known.groupBy("canonical_url", "captured_at").agg(
-            F.min_by(F.when(full, answer), F.when(full, F.col("record_id"))).alias("answer"),
+            F.min_by(F.when(full, answer), F.when(full, order)).alias("answer"),
             F.max(F.col("kind") == "revisit").alias("asked"),
         ),
         "capture-points",

@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import hashlib
 import math
 import re
 import zlib
@@ -68,6 +69,32 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert [r["status"] for r in rows if r["record_id"] is None] == ["other"] * 3
 
 
+def test_only_complete_responses_answer_revisits(spark):
+    url = "http://a.org/"
+    records = [raw_record("response", "r", url, 1, [OK, 'ETag: "1"'], b"one")]
+    for t, status in enumerate(["206 Partial Content", "404 Not Found", "503 Unavailable", "304 Not Modified", "x"], 2):
+        records.append(raw_record("response", f"s{t}", url, t, [f"HTTP/1.1 {status}", 'ETag: "no"'], b"part"))
+    records.append(raw_record("revisit", "v", url, 9, [SAME, 'ETag: "1"']))
+    found = {r["record_id"]: r for r in resolved(spark, records)}
+    assert (found["v"]["status"], found["v"]["response_id"]) == ("resolved", "r")
+    assert found["v"]["resolved_sha256"] == found["r"]["resolved_sha256"] is not None
+
+
+def test_responses_without_a_record_id_answer_revisits(spark):
+    def nameless(record):
+        return re.sub(rb"WARC-Record-ID: [^\r]*\r\n", b"", record)
+
+    one = nameless(raw_record("response", "", "http://a.org/", 1, [OK, 'ETag: "1"'], b"one"))
+    tie = raw_record("response", "r", "http://b.org/", 1, [OK, 'ETag: "2"'], b"two")
+    other = nameless(raw_record("response", "", "http://b.org/", 1, [OK, 'ETag: "3"'], b"three"))
+    asked = [raw_record("revisit", f"v{k}", f"http://{k}.org/", 9, [SAME, f'ETag: "{n}"']) for k, n in (("a", 1), ("b", 2))]
+    rows = resolved(spark, [one, tie, other, *asked])
+    found = {r["record_id"]: r for r in rows if r["kind"] == "revisit"}
+    assert (found["va"]["status"], found["va"]["response_id"]) == ("resolved", None)
+    assert found["va"]["resolved_sha256"] == hashlib.sha256(b"one").hexdigest()
+    assert (found["vb"]["status"], found["vb"]["response_id"]) == ("resolved", "r")
+
+
 def test_resolution_of_no_records(spark):
     empty = spark.createDataFrame([], "record binary")
     parsed = warc.parse(empty).withColumn("payload_sha256", F.sha2("payload", 256))
