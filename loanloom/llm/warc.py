@@ -102,17 +102,53 @@ def parse(raw: DataFrame, record: str = "record") -> DataFrame:
     return parsed.select(*fields, *[F.col(f"`{c}`") for c in parsed.columns if c not in ("r", record)])
 
 
+def _record_end(held: bytearray) -> int | None:
+    """Where the record that ``held`` begins with ends, None without a head or a length."""
+    end = held.find(b"\r\n\r\n") if held.startswith(b"WARC/") else -1
+    size = _fields(bytes(held[:end])).get("content-length", "") if end >= 0 else ""
+    return end + 4 + int(size) if size.isdigit() else None
+
+
+def _member_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a gzip member; bytes between or after them are a record of their own."""
+    held, seen, stop = bytearray(), 0, None
+    for piece in pieces:
+        held += piece
+        while held:
+            if held[:1] in (b"\r", b"\n"):
+                held = held.lstrip(b"\r\n")
+            start = held.find(b"WARC/", seen) if stop is None else 0
+            if start < 0:
+                seen = max(0, len(held) - 4)
+                break
+            if start > 0:
+                yield bytes(held[:start].rstrip(b"\r\n"))
+                del held[:start]
+                seen = 0
+            stop = _record_end(held) if stop is None else stop
+            if stop is None or stop > len(held):
+                break
+            yield bytes(held[:stop])
+            del held[:stop]
+            seen, stop = 0, None
+    if held:
+        yield bytes(held.rstrip(b"\r\n"))
+
+
 def split_records(content: bytes) -> Iterator[bytes]:
-    """The records of a WARC file, plain or with one gzip member per record."""
+    """The records of a WARC file, plain or in gzip members of one or more records."""
     at, view = 0, memoryview(content)
-    while content[at : at + 2] == b"\x1f\x8b":
-        member, parts = zlib.decompressobj(31), []
+
+    def pieces(member) -> Iterator[bytes]:
+        nonlocal at
         while at < len(content) and not member.eof:
             piece = view[at : at + MEMBER_PIECE]
-            parts.append(member.decompress(piece))
-            at += len(piece)
-        at -= len(member.unused_data)
-        yield b"".join(parts).rstrip(b"\r\n")
+            found = member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+            yield found
+
+    while content[at : at + 2] == b"\x1f\x8b":
+        yield from _member_records(pieces(zlib.decompressobj(31)))
     at = content.find(b"WARC/", at)
     while at >= 0:
         end = content.find(b"\r\n\r\n", at)

@@ -156,6 +156,18 @@ def test_reading_plain_and_compressed_files(spark, tmp_path):
     assert {bytes(r["payload"]) for r in found if r["record_id"] == "r2"} == {b"two"}
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_members_of_several_records(monkeypatch, piece):
+    monkeypatch.setattr(warc, "MEMBER_PIECE", piece)
+    whole = [r for r in RECORDS if r and r.startswith(b"WARC")]
+    bare = [r[: -len(b"\r\n\r\n")] for r in whole]
+    assert list(warc.split_records(gzip.compress(b"".join(whole)))) == bare
+    assert list(warc.split_records(gzip.compress(b"".join(whole[:3])) + gzip.compress(b"".join(whole[3:])))) == bare
+    # what is left over in a member is not lost
+    assert list(warc.split_records(gzip.compress(whole[0] + b"junk\r\n") + gzip.compress(whole[1]))) == [bare[0], b"junk", bare[1]]
+    assert list(warc.split_records(gzip.compress(whole[0] + b"junk\r\n" + whole[1]))) == [bare[0], b"junk", bare[1]]
+
+
 @pytest.mark.parametrize(
     "url, want",
     [
