@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, decontaminate, exact_dedup, language, licenses, lm, sharding, simhash
-from loanloom.llm import token_counts, warc
-from loanloom.llm.common import held_out, table
+from loanloom.llm import bpe, decontaminate, exact_dedup, language, licenses, lm, ranked_search, repeats
+from loanloom.llm import sharding, simhash, token_counts, token_files, warc
+from loanloom.llm.common import held_out, table, text_of
+from loanloom.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNTED_BY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,6 +136,58 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth doc_id, by its CRC-32, repeat themselves from some word on; a null id plants none."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    seed = F.floor(code / 10)
+    words = F.regexp_extract_all(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w):
+        n = F.size(w)
+        first = seed % n
+        period = F.lit(1) + F.floor((n - first) / (F.lit(3) + seed % 8))
+        source = F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.get(w, F.when(i < first, i).otherwise(first + (i - first) % period).cast("int")),
+        )
+        return F.when(n > 0, F.array_join(source, " "))
+
+    planted = F.when(code % 10 == 0, F.get(F.transform(F.array(words), repeated), F.lit(0)))
+    return docs.select("doc_id", F.coalesce(planted, text_of("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        found.withColumns({"longest": longest, "lines": F.array_join(lines, "")})
+        .withColumns({"length": F.col("longest.length"), "period": -F.col("longest.col3")})
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("longest.col2")).alias("start"),
+            "length",
+            "period",
+            F.floor(F.col("length") * 1000 / F.col("period")).alias("exponent_milli"),
+            F.sha2("lines", 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = scratch_path(spark, "token-files")
+    files = token_files.write(table(spark, folder, "documents"), TOKENIZER, target, end_id=2)
+    return files.read().select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -147,6 +201,9 @@ QUERIES = {
         op8_license_scan,
         op9_token_counts,
         op10_byte_bpe,
+        op11_ranked_search,
+        op12_periodic_runs,
+        op13_token_files,
     )
 }
 
@@ -245,4 +302,29 @@ ORACLES = {
             END, CASE WHEN status = 'resolved' THEN digest END
         FROM met
     """,
+    "op11_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents)
+        ),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM words GROUP BY ALL),
+        whole AS (SELECT count(*) AS n_docs, sum(n) AS n_all FROM (SELECT DISTINCT doc_id, n FROM tf)),
+        wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+        ),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term
+        ),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf
+                // (1000 * tf + 20 * (50 + 50 * n * n_docs // n_all)))) AS BIGINT) AS score
+            FROM wanted JOIN w USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER o <= 50
+    """,
 }
