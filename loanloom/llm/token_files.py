@@ -11,13 +11,14 @@ The perfect hash is a cascade of bit arrays: keys that meet no other at their po
 of a level are done there, the others go on to the next, smaller level. A key's slot is the number of set
 bits before its own.
 
-Documents are put in key order by a range exchange; rows of one key are split by what they hold and
-by a row number, so a key with a third of all rows spreads over shards like any others. Tasks write files
+Documents are put in key order by one exchange of their ids over ranges of keys, chosen beforehand from the keys
+alone; rows of one key are split by a hash of the text and by a row number, so a key with a third of all
+rows, or a row with as many copies, spreads over shards like any others. Tasks write files
 under names of their own attempt and return the names; only what the committed manifest
 lists counts, so a lost or repeated task leaves nothing behind that is read.
 
 Defined results: a null text is empty; an empty text is only the end id. Null keys come first and
-are a key like any other; rows with one key follow each other, ordered by their ids, and equal rows are stored each.
+are a key like any other; rows with one key follow each other in the order of a hash of the text, and equal rows are stored each.
 An empty table gives no files and no rows. Only the key and the text are read, so other
 columns may have any names. A text of any length is encoded whole.
 """
@@ -25,6 +26,7 @@ columns may have any names. A text of any length is encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -36,25 +38,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm.codepoints import array_of
 from loanloom.llm.common import shuffle_partitions
 from loanloom.operators.ordered import count_below
 from loanloom.session import materialize
 
 # -------------------------------------------------------------------- encoding
 
-# fixed values: how the byte-level tokenizers cut a text into pieces
-PIECES = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-CACHED = 250_000  # pieces a worker remembers before it starts anew
+CACHED = 700_000  # pieces a worker remembers before it starts anew
 TOGETHER = 1 << 20  # characters encoded in one go
+# fixed values: the code points with Unicode's White_Space property
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class body of ascending code points."""
+    edges = np.flatnonzero(np.diff(points, prepend=-2) != 1).tolist()
+    return "".join(f"\\u{points[a]:04x}-\\u{points[b - 1]:04x}" for a, b in zip(edges, [*edges[1:], len(points)]))
+
+
+@lru_cache(maxsize=None)
+def _pieces() -> re.Pattern:
+    """How the byte-level tokenizers cut a text of the basic plane into pieces."""
+    kinds = [unicodedata.category(chr(p))[0] for p in range(1 << 16)]
+    letters, numbers = (_ranges([p for p, k in enumerate(kinds) if k == kind]) for kind in "LN")
+    return re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+"
+        rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+    )
+
+
+@lru_cache(maxsize=None)
+def _other() -> re.Pattern:
+    """Code points above the basic plane, or unknown to Python's tables: libraries may class them differently."""
+    unknown = [p for p in range(1 << 16) if unicodedata.category(chr(p)) in ("Cn", "Cs")]
+    return re.compile(f"[{_ranges(unknown)}\\U00010000-\\U0010ffff]")
 
 
 class _Numbers(dict):
@@ -70,32 +91,26 @@ class _Numbers(dict):
         return number
 
 
-@lru_cache(maxsize=None)
-def _newer() -> np.ndarray:
-    """Marks code points that Python's tables do not know: libraries may class them differently."""
-    return np.array([unicodedata.category(chr(p)) in ("Cn", "Cs") for p in range(0x110000)])
-
-
 class Encoder:
     """Ids of texts by the tokenizer library, which sees each distinct piece once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark uses the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library, self.by_piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for one in (self.library, self.by_piece):
+            one.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a piece is not cut again
+        self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
     def _forget(self) -> None:
         self.number = _Numbers()
         self.flat, self.start, self.size = (np.empty(0, np.int64) for _ in range(3))
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _learn(self) -> None:
-        ids = self._library(self.number.fresh)
+        ids = [e.ids for e in self.by_piece.encode_batch_fast(self.number.fresh, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
@@ -107,19 +122,21 @@ class Encoder:
             self._forget()
         numbers = []
         for text in texts:
-            known = text.isascii() or not _newer()[array_of(text)].any()
-            pieces = PIECES.findall(text) if known else None
-            numbers.append(pieces and np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
+            if text.isascii() or not _other().search(text):
+                pieces = _pieces().findall(text)
+                numbers.append(np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
+            else:
+                numbers.append(None)
         if self.number.fresh:
             self._learn()
         return [
-            self._joined(n) if n is not None else np.array(self._library([text])[0], np.int64)
-            for n, text in zip(numbers, texts)
+            self._joined(n) if n is not None else self._whole(text) for n, text in zip(numbers, texts)
         ]
 
-    def _joined(self, numbers: np.ndarray | list) -> np.ndarray:
-        if not len(numbers):
-            return np.empty(0, np.int64)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
         n = self.size[numbers]
         return self.flat[np.repeat(self.start[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
@@ -446,20 +463,36 @@ def _rows(shard: Shard, base: int, marked: list[bytes], entries: np.ndarray) ->
         )
 
 
+def _cuts(keyed: DataFrame, parts: int) -> Column:
+    """The smallest (key, tie, row) of each of ``parts`` ranges of about as many rows; no text is moved."""
+    order = ["key", "tie", "row"]
+    ranges = keyed.select(*order).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    lowest = ranges.groupBy("part").agg(F.min(F.struct(*order)).alias("low"))
+    # one row per range
+    return lowest.agg(F.sort_array(F.collect_list("low")).alias("lows")).scalar()
+
+
 def write(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc_id: str = "doc_id", text: str = "text"
 ) -> TokenFiles:
-    """Encode every text, append ``end_id``, and write shards in ascending key order."""
+    """Encode every text, append ``end_id``, and write shards in ascending key order.
+
+    ``docs`` should be a stored table: its keys are read once more before, to choose the shards' ranges.
+    """
     spark, width = docs.sparkSession, id_bytes(tokenizer, end_id)
     key_type = docs.schema[doc_id].dataType.simpleString()
-    encoded = docs.select(
-        F.col(doc_id).alias("key"), _payload(tokenizer, end_id, width)(F.col(text).cast("string")).alias("ids")
+    parts, words = shuffle_partitions(spark), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.select(
+        F.col(doc_id).alias("key"),
+        F.xxhash64(words).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
+        words.alias("words"),
     )
-    # written once: choosing the ranges and dealing out both read it
-    stored = materialize(encoded.withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    tie = F.xxhash64("ids")
-    dealt = stored.withColumn("tie", tie).repartitionByRange(shuffle_partitions(spark), "key", "tie", "row")
-    ordered = dealt.sortWithinPartitions("key", "tie", "ids", "row")
+    encoded = keyed.select("key", "tie", "row", _payload(tokenizer, end_id, width)("words").alias("ids"))
+    here = F.struct("key", "tie", "row")
+    dealt = encoded.withColumn("lows", _cuts(keyed, parts))
+    shard = F.greatest(count_below(here, F.col("lows"), parts, inclusive=True) - 1, F.lit(0))
+    ordered = dealt.withColumn("shard", shard).drop("lows").repartitionById(parts, "shard").sortWithinPartitions("key", "tie", "row")
     rows = ordered.select(_marked(F.col("key")).cast("binary").alias("marked"), "ids").mapInArrow(_writer(folder, width), MANIFEST)
     numbered = rows.withColumn("part", F.spark_partition_id())
     manifest = materialize(numbered, "token-manifest").orderBy("part").collect()  # one row per shard
