@@ -8,6 +8,7 @@ the rest, so no task ever sorts a whole column.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -109,6 +110,30 @@ def running_totals(
 
 # ------------------------------------------------------------------- quantiles
 
+DIGIT = 12
+FINISH = 1 << 20  # so few values are put in order at once
+
+
+def with_order_bits(df: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``bits``: a double as a long in the same order, from sign, exponent and mantissa.
+
+    Both zeros are 0; NaN follows infinity. Each step is a projection of its own, which
+    keeps a logarithm that is used several times from being computed several times.
+    """
+    own, size = F.col(value), F.abs(F.col(value))
+    guess = F.greatest(F.least(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)), F.lit(-1022))
+    scaled = size / F.pow(F.lit(2.0), F.col("_exponent"))
+    # a logarithm near a whole number may be one off; below 2 ** -1022 the mantissa stays below 1
+    up, down = F.col("_scaled") >= 2, (F.col("_scaled") < 1) & (F.col("_exponent") > -1022)
+    step = F.when(up, 1).when(down, -1).otherwise(0)
+    mantissa = F.when(up, F.col("_scaled") / 2).when(down, F.col("_scaled") * 2).otherwise(F.col("_scaled"))
+    whole = F.col("_exponent").cast("long") + step + 1022
+    bits = F.shiftleft(whole, 52) + (mantissa * F.lit(2.0**52)).cast("long")
+    endless = F.lit(2047 << 52)
+    found = F.when(F.isnan(own), endless + 1).when(size == float("inf"), endless).otherwise(bits)
+    staged = df.withColumn("_exponent", guess).withColumn("_scaled", scaled).withColumn("bits", found)
+    return staged.withColumn("bits", F.when(own < 0, -F.col("bits")).otherwise(F.col("bits"))).drop("_exponent", "_scaled")
+
 
 def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
@@ -123,9 +148,13 @@ def quantiles(
 ) -> DataFrame:
     """Interpolated quantiles: one row per (by, feature), one column per probability.
 
-    NULLs are skipped; a column without values gives no row. Rows are counted
-    per distinct value once; the totals of equi-depth buckets tell which buckets hold
-    the wanted ranks, and only their values are put in order. ``approximate`` takes a sketch instead.
+    NULLs are skipped; a column without values gives no row. ``approximate`` takes a sketch instead.
+
+    Exact selection by digits: a scan counts the values of each feature by the first 12 bits of
+    their order inside the tasks, so a few counts per feature are shuffled, not
+    its values. Only values that share the leading bits of a wanted rank are counted by their next 12 bits, until
+    no more than FINISH are left, which are put in order, or until all bits are
+    known: six scans at most. The first scans run when the plan is built.
     """
     by = by or []
     if method == "approximate":
@@ -133,49 +162,85 @@ def quantiles(
     if method != "exact":
         raise ValueError(f"unknown quantile method: {method!r}")
     group = [*by, "feature"]
-    counts = S.to_long(df, columns, by).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    buckets = bucket_count(counts)
-    stats = counts.groupBy(*group).agg(
-        sketch_bounds(F.col("value"), buckets).alias("bounds"), F.sum("n").alias("n_all")
-    )
-    placed = add_bucket(attach(counts, stats, group), "value", "bounds", buckets)
-    totals = placed.groupBy(*group, "bucket").agg(F.sum("n").alias("n"), F.max("n_all").alias("n_all"))
-    earlier = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-
-    def spot(p: float) -> Column:
-        return (F.col("n_all") - 1) * F.lit(float(p))
-
-    def holds(rank: Column, first: str, end: Column) -> Column:
-        return (F.col(first) <= rank) & (rank < end)
-
-    ranks = [rank(spot(p)) for p in probabilities for rank in (F.floor, F.ceil)]
-    # only buckets with a wanted rank go on: two per probability and group at most
-    bucket_end = F.col("base") + F.col("n")
-    wanted = offsets.where(reduce(or_, [holds(r, "base", bucket_end) for r in ranks])).select(
-        *[F.col(c).alias(f"_{c}") for c in [*group, "bucket"]], "base"
-    )
-    # null-safe: a plain equality would infer a filter of the raw rows and count them once more
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "bucket"]])
-    upto = W.partitionBy(*group, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = placed.join(wanted, same).select(
-        *group, "value", "n_all", (F.sum("n").over(upto) + F.col("base")).alias("n_upto"), "n"
-    )
-    ranked = ranked.withColumn("n_below", F.col("n_upto") - F.col("n"))
+    long = S.to_long(df, columns, by)
+    spots = [F.lit(float(p)) * (F.col("n_all") - 1) for p in probabilities]
+    ranks = [rank(spot) for spot in spots for rank in (F.floor, F.ceil)]
+    shift = 64 - DIGIT
+    found = _digit_counts(long, group, shift, ranks, None)
+    while shift and sum(r["n"] for r in found.rows if r["low"] != r["high"]) > FINISH:
+        shift = max(0, shift - DIGIT)
+        found = _digit_counts(_in_wanted(long, found, group), group, shift, ranks, found)
+    # a bin of equal values needs none of them
+    open_ = _in_wanted(long, found, group).where(~F.col("low").eqNullSafe(F.col("high")))
+    bins = open_.groupBy(*group, "base", "n", "n_all").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    closed = found.frame.where(F.col("low").eqNullSafe(F.col("high")))
+    bins = bins.unionByName(closed.select(*group, "base", "n", "n_all", F.array("low").alias("values")))
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when(holds(rank, "n_below", F.col("n_upto")), F.col("value")))
-
-    found, columns_out = [], []
-    for i, p in enumerate(probabilities):
-        found += [
-            value_at(F.floor(spot(p))).alias(f"lo{i}"),
-            value_at(F.ceil(spot(p))).alias(f"hi{i}"),
-            F.max(spot(p) - F.floor(spot(p))).alias(f"part{i}"),
+        place = rank - F.col("base")
+        inside = (place >= 0) & (place < F.col("n"))
+        return F.max(F.when(inside, F.get("values", F.least(place, F.size("values") - 1).cast("int"))))
+
+    cells, columns_out = [], []
+    for i, (p, spot) in enumerate(zip(probabilities, spots)):
+        cells += [
+            value_at(F.floor(spot)).alias(f"lo{i}"),
+            value_at(F.ceil(spot)).alias(f"hi{i}"),
+            F.max(spot - F.floor(spot)).alias(f"part{i}"),
         ]
         between = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
         columns_out.append(between.alias(_name(p)))
-    return ranked.groupBy(*group).agg(*found).select(*group, *columns_out)
+    return bins.groupBy(*group).agg(*cells).select(*group, *columns_out)
+
+
+@dataclass
+class _Wanted:
+    """Bins that hold a wanted rank, few per feature.
+
+    Group, lowest and highest value, base (values before the bin), n, n_all (values of the group).
+    """
+
+    rows: list
+    frame: DataFrame
+
+
+def _digit_counts(
+    values: DataFrame, group: list[str], shift: int, ranks: list[Column], inside: _Wanted | None
+) -> _Wanted:
+    """Counts by the bits above ``shift``; of these the bins with a wanted rank.
+
+    After the first digit the values come with the bin they were ``inside``.
+    """
+    old = ["base", "n_all"] if inside else []
+    here = F.shiftright("bits", shift).alias("bin")
+    counts = (
+        with_order_bits(values.select(*group, *old, "value"))
+        .select(*group, *old, here, "value")
+        .groupBy(*group, *old, "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    lower = W.partitionBy(*group, *old).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(lower), F.lit(0))
+    if inside:
+        placed = counts.withColumn("base", F.col("base") + before)
+    else:
+        placed = counts.withColumns({"base": before, "n_all": F.sum("n").over(W.partitionBy(*group))})
+    end = F.col("base") + F.col("n")
+    held = reduce(or_, [(F.col("base") <= rank) & (rank < end) for rank in ranks])
+    chosen = placed.where(held).select(*group, "low", "high", "base", "n", "n_all")
+    # at most two bins per probability, feature and group
+    found = chosen.collect()
+    return _Wanted(found, values.sparkSession.createDataFrame(found, chosen.schema))
+
+
+def _in_wanted(long: DataFrame, wanted: _Wanted, group: list[str]) -> DataFrame:
+    """The values that lie in a wanted bin, with that bin."""
+    bins = wanted.frame.select(*[F.col(c).alias(f"_{c}") for c in group], "low", "high", "base", "n", "n_all")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    held = (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
+    # at most two bins per probability, feature and group
+    joined = long.join(F.broadcast(bins), reduce(and_, [*same, held]))
+    return joined.select(*group, "value", "low", "high", "base", "n", "n_all")
 
 
 def _approximate(df, columns, probabilities, by):

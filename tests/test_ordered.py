@@ -51,6 +51,49 @@ def test_quantiles_by_group(frame):
     )
 
 
+def test_order_bits_are_those_of_the_binary_form(spark):
+    rng = np.random.default_rng(1)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]
+    values += [float("inf"), float("-inf"), -1.7976931348623157e308, 1 - 2**-53, 2 - 2**-52]
+    values += [float(x) for x in np.frombuffer(rng.bytes(16_000), "<f8") if np.isfinite(x)]
+    values += [2.0**i for i in range(-1074, 1024)] + [float(np.nextafter(2.0**i, 0)) for i in range(-1000, 1024)]
+
+    def bits(x):
+        size = int(np.float64(abs(x) + 0.0).view(np.int64))
+        return -size if x < 0 else size
+
+    frame = spark.createDataFrame([(v,) for v in values], "value double")
+    rows = O.with_order_bits(frame).collect()
+    assert all(r["bits"] == bits(r["value"]) for r in rows)
+    assert O.with_order_bits(frame.select(F.lit(float("nan")).alias("value"))).first()["bits"] > max(r["bits"] for r in rows)
+
+
+@pytest.mark.parametrize("finish", [0, 40, 3000])
+def test_quantiles_by_several_digits(frame, monkeypatch, finish):
+    monkeypatch.setattr(O, "FINISH", finish)
+    rows = {(r["g"], r["feature"]): r for r in O.quantiles(frame, ["a", "b"], POINTS, ["g"]).collect()}
+    for g in (0, 1):
+        for column in ("a", "b"):
+            want = np.quantile(expected(frame, column, f"g = {g}"), POINTS)
+            assert [rows[g, column][O._name(p)] for p in POINTS] == pytest.approx(want, rel=1e-12)
+
+
+def test_quantiles_shuffle_no_values(spark, frame, monkeypatch):
+    """What the scans shuffle is one row per feature and digit, whatever the number of values."""
+    monkeypatch.setattr(O, "FINISH", 0)
+    plan = O.quantiles(frame, ["a", "b"], [0.5])._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    wide = frame.crossJoin(spark.range(1)).withColumn("a", F.col("a") + F.rand(1) * 1e-9)
+    counted = O._digit_counts(
+        wide.select(F.lit("a").alias("feature"), F.col("a").alias("value")), ["feature"], 52, [F.lit(0), F.col("n_all") - 1], None
+    )
+    assert len(counted.rows) == 2  # of 6000 different values
+
+
+def test_quantiles_of_nothing(frame):
+    assert O.quantiles(frame.where("1 = 0"), ["a"], [0.5]).collect() == []
+
+
 def test_unknown_quantile_method_is_refused(frame):
     with pytest.raises(ValueError):
         O.quantiles(frame, ["a"], [0.5], method="auto")
