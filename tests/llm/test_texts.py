@@ -5,6 +5,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from loanloom.llm import bpe, catalog, decontaminate, language, licenses, token_counts
+from loanloom.llm import bpe, catalog, codepoints, decontaminate, language, licenses, token_counts
 from loanloom.llm.common import held_out
 
 # ------------------------------------------------------------- decontamination
@@ -72,6 +74,69 @@ def test_a_window_border_hides_nothing(monkeypatch):
         assert [f[3] for f in decontaminate.find(text, index)] == [0]
 
 
+def test_a_phrase_that_many_passages_share_stays_cheap():
+    """Neither the work nor the memory grows with passages times repetitions."""
+    rng = random.Random(6)
+    phrase = "the quick brown fox jumps over a lazy dog and runs "
+    passages = tuple(phrase + "".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2000))
+    index = decontaminate.Index(passages, 0.1)
+    text = phrase * 640 + passages[7]
+    tracemalloc.start()
+    begun = time.process_time()
+    found = decontaminate.find(text, index)
+    assert [f[0] for f in found] == [7] and found[0][3] == 0
+    assert time.process_time() - begun < 10 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_passages_that_repeat_themselves():
+    phrase = "one more time around "
+    passages = tuple(phrase * 12 + str(i) * 9 for i in range(20))
+    index = decontaminate.Index(passages, 0.1)
+    begun = time.process_time()
+    found = decontaminate.find(phrase * 190, index)
+    assert time.process_time() - begun < 20
+    text = squeezed(phrase * 190)
+    for k, a, b, edits in found:
+        assert edits == edits_inside(squeezed(passages[k]), text[a:b]) <= int(index.edits[k])
+    assert {f[0] for f in found} == set(range(20))
+
+
+def test_small_slices_and_windows_find_the_same(monkeypatch):
+    rng = random.Random(2)
+    passages = tuple("".join(rng.choice("abcd ") for _ in range(rng.choice([40, 90, 200]))) for _ in range(30))
+    index = decontaminate.Index(passages, 0.1)
+
+    def changed(p):
+        return "".join(c for c in p if rng.random() > 0.02)
+
+    text = " ".join("".join(rng.choice("abcd ") for _ in range(300)) + changed(rng.choice(passages)) for _ in range(25))
+    want = decontaminate.find(text, index)
+    assert len(want) > 15 and len(text) > 3000
+    monkeypatch.setattr(decontaminate, "SLICE", 50)
+    monkeypatch.setattr(decontaminate, "LANES", 10)
+    assert decontaminate.find(text, index) == want
+
+
+def test_recall_on_long_texts():
+    """Every passage that full alignment finds in texts beyond 3,000 characters is found."""
+    rng = random.Random(8)
+    passages = tuple("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([60, 120]))) for _ in range(12))
+    index = decontaminate.Index(passages, 0.1)
+    for _ in range(4):
+        parts = []
+        for p in passages:
+            rate = rng.choice([0.0, 0.03, 0.08, 0.3])
+            parts.append("".join(rng.choice("xyz") if rng.random() < rate else c for c in p))
+            parts.append("".join(rng.choice("ijklmn ") for _ in range(400)))
+        text = "".join(parts)
+        got = {f[0] for f in decontaminate.find(text, index)}
+        want = {
+            k for k, p in enumerate(passages) if edits_inside(squeezed(p), squeezed(text)) <= int(index.edits[k])
+        }
+        assert got == want and len(text) > 3000
+
+
 def test_leaks_of_awkward_rows(spark, awkward, nothing):
     items = [(1, "quick brown fox jumps over the lazy"), (None, "noch mehr wörter für die sprache"), (3, None), (4, ""), (5, "a")]
     benchmark = spark.createDataFrame(items, "item_id int, text string")
@@ -329,3 +394,34 @@ def test_digests_and_round_trip(spark, documents, texts, awkward, nothing, refer
     assert bpe.digests(nothing, catalog.VOCABULARY).count() == 0
     decoded = bpe.decode(bpe.encode(awkward, catalog.VOCABULARY), catalog.VOCABULARY).collect()
     assert sorted(bytes(r["decoded"]) for r in decoded) == sorted((r["text"] or "").encode() for r in awkward.collect())
+
+
+def test_classes_of_every_code_point_are_the_librarys():
+    """A letter joins the a before it, a number the 1: then the probe's own token for the two bytes appears."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for lead in range(0x80, 0x100):
+        for mark in b"a1":
+            ranks[bytes([mark, lead])] = len(ranks)
+    probe = tiktoken.Encoding("p", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    points = [p for p in range(0x80, 0x110000) if not 0xD800 <= p < 0xE000]
+
+    def joined(mark):
+        found = []
+        for i in range(0, len(points), 10_000):
+            ids = np.array(probe.encode_ordinary("".join(f"{mark}{chr(p)};" for p in points[i : i + 10_000])))
+            ends = np.flatnonzero(ids == ord(";"))
+            found.append(ids[np.concatenate(([0], ends[:-1] + 1))] >= 256)
+        return np.concatenate(found)
+
+    kinds = codepoints.classes()[points]
+    assert (joined("a") == (kinds == codepoints.LETTER)).all()
+    assert (joined("1") == (kinds == codepoints.NUMBER)).all()
+
+
+def test_newer_letters_are_encoded_like_the_library():
+    ranks = bpe.vocabulary(catalog.VOCABULARY).rank
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    new = [p for a, b in codepoints.NEW_LETTERS + codepoints.NEW_NUMBERS for p in (a, b)]
+    texts = [f"a{chr(p)}a 1{chr(p)}1" for p in new]
+    got = bpe.Encoder(catalog.VOCABULARY).encode(texts)
+    assert [g[0].tolist() for g in got] == [own.encode_ordinary(t) for t in texts]
