@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,9 +201,6 @@ def top_categories(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 # -------------------------------------------------------------------- correlation
 
 
-PAIRS_TOGETHER = 400
-
-
 def correlation(x: Column, y: Column) -> Column:
     """Pearson over rows that have both values; NULL for a constant column."""
     x, y = G.dbl(x), G.dbl(y)
@@ -221,29 +220,60 @@ def target_correlations(
     )
 
 
+_MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _pair_moments(columns: int, means: np.ndarray):
+    """Task: sums over its rows for every pair of columns, each over the rows that have both values.
+
+    Four products of matrices a batch, whatever the number of pairs.
+    """
+    left, right = np.triu_indices(columns, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((columns, columns)) for _ in range(4))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns) - means
+            known = ~np.isnan(x)
+            x, there = np.where(known, x, 0.0), known.astype(float)
+            n += there.T @ there
+            sx += x.T @ there
+            sxx += (x * x).T @ there
+            sxy += x.T @ x
+        sums = (n, sx, sx.T, sxx, sxx.T, sxy)
+        cells = [pa.array(left), pa.array(right), *(pa.array(m[left, right]) for m in sums)]
+        yield pa.RecordBatch.from_arrays(cells, names=["l", "r", *_MOMENTS])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise correlations (upper triangle) from one pass of moments.
+    """Pairwise correlations (upper triangle) over the rows that have both values.
 
-    Each pair keeps its moments in one aggregation without groups: a row is
-    never repeated, and one row of moments per task is shuffled. Every
-    PAIRS_TOGETHER pairs read their own few columns again.
+    One scan for the means, one for the moments around them, for any number of columns: a task
+    sums products of column blocks and gives one row per pair, which Spark adds up. NULL for a pair of which
+    one column is constant where both are known.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    # a few hundred aggregates are planned together
-    rows = None
-    for at in range(0, len(pairs), PAIRS_TOGETHER):
-        some = pairs[at : at + PAIRS_TOGETHER]
-        cells = [
-            F.struct(
-                F.lit(a).alias("left"),
-                F.lit(b).alias("right"),
-                correlation(S.quoted(a), S.quoted(b)).alias("correlation"),
-            )
-            for a, b in some
-        ]
-        part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        rows = part if rows is None else rows.unionAll(part)
-    return rows
+    found = {r["feature"]: r["mean"] for r in column_stats(df, columns, {"mean": F.avg}).collect()}  # one row per column
+    means = np.array([found.get(c) or 0.0 for c in columns])
+    rows = df.select(F.array(*[S.quoted(c).cast("double") for c in columns]).alias("x"))
+    schema = "l long, r long, " + ", ".join(f"{m} double" for m in _MOMENTS)
+    parts = rows.mapInArrow(_pair_moments(len(columns), means), schema)
+    sums = parts.groupBy("l", "r").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+
+    def spread(square: str, total: str) -> Column:
+        rest = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        # what rounding leaves of a constant column
+        return F.when(rest > F.col(square) * 1e-13, rest)
+
+    shared = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    value = shared / F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        F.get(names, F.col("l").cast("int")).alias("left"),
+        F.get(names, F.col("r").cast("int")).alias("right"),
+        value.alias("correlation"),
+    )
 
 
 def strongest_correlations(correlations: DataFrame, n: int = 15) -> DataFrame:
