@@ -48,7 +48,7 @@ from loanloom.session import materialize
 
 # -------------------------------------------------------------------- encoding
 
-CACHED = 700_000  # pieces a worker remembers before it starts anew
+CACHED = 500_000  # pieces a worker remembers before it starts anew
 TOGETHER = 1 << 20  # characters encoded in one go
 # fixed values: the code points with Unicode's White_Space property
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
