@@ -697,6 +697,7 @@ def m16(t):
         "training_date": "2024-01-16",
     }
     card = T.model_card(t.spark, config, scorer.features)
-    return card.withColumn("features", F.array_join("features", ",")).withColumn(
-        "metrics", F.array_join(F.array_sort(F.map_keys("metrics")), ",")
+    values = F.transform(
+        F.array_sort(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("string"))
     )
+    return card.withColumn("features", F.array_join("features", ",")).withColumn("metrics", F.array_join(values, ","))

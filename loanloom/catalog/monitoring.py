@@ -43,9 +43,9 @@ def _event_sides(t, name: str):
 # --------------------------------------------------------------------------- drift
 
 
-@register("d1_population_pair", with_tables("SELECT SK_ID_CURR, side, AMT_CREDIT FROM sided", "app", sided=SIDED), digits=None)
+@register("d1_population_pair", with_tables("SELECT * EXCLUDE (split) FROM sided", "app", sided=SIDED), digits=None)
 def d1(t):
-    return _pair(t).select(ID, "side", "AMT_CREDIT")
+    return _pair(t)
 
 
 @register(
