@@ -861,15 +861,17 @@ def a25_all(t):
 
 @register(
     "x1_tag_profile",
-    """
-SELECT 'url' AS column_name, d AS delimiter, count(*) FILTER (WHERE contains(v, d)) AS with_delimiter FROM
+    f"""
+SELECT 'url' AS column_name, d AS delimiter, with_delimiter, tags, {r6('tags / nullif(with_delimiter, 0)', 'tags_per_value')} FROM (
+SELECT d, count(*) FILTER (WHERE contains(v, d)) AS with_delimiter,
+  CAST(sum(len(list_filter(string_split(trim(v), d), lambda x: trim(x) <> ''))) FILTER (WHERE contains(v, d)) AS BIGINT) AS tags FROM
 (SELECT regexp_replace(replace(url, '/', ' / '), '^https?: /  / ', '') AS v FROM pages),
-(VALUES ('|'), (';'), (','), (' / ')) t(d) GROUP BY d""",
+(VALUES ('|'), (';'), (','), (' / ')) t(d) GROUP BY d)""",
 )
 def x1_profile(t):
     values = _tagged(t)
     return X.delimiter_profile(values, "v").select(
-        F.lit("url").alias("column_name"), "delimiter", "with_delimiter"
+        F.lit("url").alias("column_name"), "delimiter", "with_delimiter", "tags", "tags_per_value"
     )
 
 
