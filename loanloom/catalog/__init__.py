@@ -1,6 +1,6 @@
 """Registered queries and the SQL each one is checked against."""
 
 from loanloom.catalog.base import ORACLES, QUERIES
-from loanloom.catalog import evaluation, features, models, monitoring, profiles, stumps  # noqa: F401
+from loanloom.catalog import evaluation, features, leafwise, models, monitoring, profiles, stumps  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

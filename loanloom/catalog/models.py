@@ -22,6 +22,7 @@ from loanloom.operators import sampling
 from loanloom.operators.applicant import application_features
 from loanloom.operators.profile import column_stats
 from loanloom.operators.sampling import sample_fraction, stratified_holdout
+from loanloom.operators.shapley import shapley_cells
 from loanloom.plans import preprocessor as M
 from loanloom.plans import training as T
 from loanloom.plans.scoring import LinearScorer, decision_summary, score, what_if
@@ -634,17 +635,11 @@ def _prepared(t):
 
 
 def _boosted(t):
-    """The prepared table and a boosted fit on its train rows, once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _BOOSTED:
-        prepared, fitted = _prepared(t)
-        train = prepared.where("split = 'train'")
-        parts = stratified_holdout(train, ID, K.TARGET).withColumn("_valid", F.col("part") == "valid")
-        _BOOSTED[key] = prepared, T.train_boosted(parts, fitted.feature_names, validation="_valid")
-    return _BOOSTED[key]
-
-
-_BOOSTED: dict = {}
+    """The prepared table and a fit on its train rows that stops by a hold-out."""
+    prepared, fitted = _prepared(t)
+    train = prepared.where("split = 'train'")
+    parts = stratified_holdout(train, ID, K.TARGET).withColumn("_valid", F.col("part") == "valid")
+    return prepared, T.train_leafwise(parts, fitted.feature_names, validation="_valid")
 
 
 @register("m7_boosted_scores")
@@ -656,7 +651,7 @@ def m7(t):
 @register("m8_train_and_evaluate")
 def m8(t):
     prepared, fitted = _prepared(t)
-    done = T.train_and_evaluate(prepared, fitted.feature_names)
+    done = T.train_and_evaluate(prepared, fitted.feature_names, "leafwise")
     card = T.model_card(t.spark, done.config, fitted.feature_names)
     return card.select("model_name", "threshold", "n_features", "metrics")
 
@@ -664,7 +659,7 @@ def m8(t):
 @register("m9_cross_validation")
 def m9(t):
     prepared, fitted = _prepared(t)
-    return E.cross_validation_summary(T.cross_validate(prepared, fitted.feature_names))
+    return E.cross_validation_summary(T.cross_validate(prepared, fitted.feature_names, "leafwise"))
 
 
 @register("m12_global_importance")
@@ -683,7 +678,7 @@ def m13_trees(t):
 def m15_trees(t):
     prepared, scorer = _boosted(t)
     sample = sample_fraction(prepared, ID, 0.1)
-    return X.contribution_summary(X.tree_cells(sample, scorer))
+    return X.contribution_summary(shapley_cells(sample, scorer))
 
 
 @register("m16_model_card")

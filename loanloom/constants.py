@@ -156,6 +156,8 @@ BOOSTING = {
     "patience": 50,
     "seed": 42,
 }
+# trees grown leaf by leaf: no depth limit, bags redrawn every so many rounds
+LEAFWISE = {"leaves": 31, "max_depth": None, "l1": 0.1, "l2": 0.1, "bag_rounds": 5, "bins": 254}
 
 # --- Fixed values: expected table files ------------------------------------------
 TABLE_FILES = {

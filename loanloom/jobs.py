@@ -27,7 +27,7 @@ def train_job(
     spark: SparkSession,
     data: str,
     out: str,
-    kind: str = "boosted",
+    kind: str = "leafwise",
     sample: float | None = None,
     supplementary: bool = True,
     **overrides,
@@ -43,7 +43,7 @@ def train_job(
     preprocessor.save(spark, f"{out}/preprocessor")
     T.save_scorer(spark, done.scorer, f"{out}/scorer")
     O.write_settings(spark, config, f"{out}/settings")
-    if kind == "boosted":
+    if kind in T.STOPS_EARLY:
         importance = X.global_importance(spark, done.scorer)
         O.write_table(importance.select("feature", "importance"), f"{out}/importance", "csv")
     scored = done.scorer.with_probability(prepared).withColumnRenamed("probability", "proba")
@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
     train = jobs.add_parser("train", help="train on a folder of loan tables")
     train.add_argument("data")
     train.add_argument("out")
-    train.add_argument("--kind", choices=sorted(T.TRAINERS), default="boosted")
+    train.add_argument("--kind", choices=sorted(T.TRAINERS), default="leafwise")
     train.add_argument("--sample", type=float)
     train.add_argument("--no-supplementary", action="store_true")
     scoring = jobs.add_parser("score", help="score a file of clients")

@@ -14,12 +14,14 @@ from loanloom import constants as K
 from loanloom.functions import guards as G
 from loanloom.functions import schema as S
 from loanloom.operators.ranking import importance_ranking, top_contributions
+from loanloom.operators.shapley import shapley_cells
+from loanloom.plans.leafwise import LeafwiseScorer
 from loanloom.plans.scoring import LinearScorer, VectorScorer
 
 UP, DOWN = "augmente", "diminue"
 
 
-def global_importance(spark, scorer: VectorScorer, top_n: int | None = None) -> DataFrame:
+def global_importance(spark, scorer: VectorScorer | LeafwiseScorer, top_n: int | None = None) -> DataFrame:
     """Importance of every model feature, ranked (one row per feature)."""
     values = scorer.model.featureImportances.toArray()
     rows = [(name, float(v)) for name, v in zip(scorer.features, values)]
@@ -160,9 +162,11 @@ def tree_cells(df: DataFrame, scorer: VectorScorer, key: str = K.CLIENT_KEY) ->
 
 
 def explain_trees(
-    df: DataFrame, scorer: VectorScorer, key: str = K.CLIENT_KEY, n: int = 10
+    df: DataFrame, scorer: VectorScorer | LeafwiseScorer, key: str = K.CLIENT_KEY, n: int = 10
 ) -> DataFrame:
-    cells = tree_cells(df, scorer, key)
+    """The n strongest contributions: Shapley values of leaf-wise trees, node-mean changes of others."""
+    exact = isinstance(scorer, LeafwiseScorer)
+    cells = shapley_cells(df, scorer, key) if exact else tree_cells(df, scorer, key)
     return _with_direction(
         top_contributions(cells, key, F.col("cells"), n, keep=["base_value"])
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loanloom import constants as K
 from loanloom.operators import evaluate as E
 from loanloom.operators import sampling
+from loanloom.plans.leafwise import LeafwiseScorer, load_trees, save_trees, train_leafwise
 from loanloom.plans.scoring import VectorScorer
 from loanloom.session import ensure_checkpoint_dir, materialize
 
@@ -125,12 +126,13 @@ def train_logistic(
     return VectorScorer(_fit(learner, balanced_weights(rows, "label")), features)
 
 
-TRAINERS = {"boosted": train_boosted, "logistic": train_logistic}
+TRAINERS = {"boosted": train_boosted, "leafwise": train_leafwise, "logistic": train_logistic}
+STOPS_EARLY = {"boosted", "leafwise"}
 
 
 @dataclass
 class TrainingResult:
-    scorer: VectorScorer
+    scorer: VectorScorer | LeafwiseScorer
     threshold: float
     train_metrics: dict
     valid_metrics: dict
@@ -151,9 +153,9 @@ def train_and_evaluate(
     parts = sampling.stratified_holdout(labelled, K.CLIENT_KEY, K.TARGET, holdout)
     # the split is a predicate on the stored wide table, not a copy of it
     parts = parts.select(K.CLIENT_KEY, K.TARGET, "part", *features)
-    if kind == "boosted":
+    if kind in STOPS_EARLY:
         marked = parts.withColumn("_valid", F.col("part") == "valid")
-        scorer = train_boosted(marked, features, validation="_valid", **overrides)
+        scorer = TRAINERS[kind](marked, features, validation="_valid", **overrides)
     else:
         scorer = TRAINERS[kind](parts.where("part = 'train'"), features, **overrides)
     scored = scorer.with_probability(parts).select(
@@ -189,9 +191,9 @@ def cross_validate(
     folded = folded.select(K.CLIENT_KEY, K.TARGET, "fold", *features)
     held_out = None
     for fold in range(k):  # one model per fold
-        if kind == "boosted":
+        if kind in STOPS_EARLY:
             marked = folded.withColumn("_valid", F.col("fold") == fold)
-            scorer = train_boosted(marked, features, validation="_valid", **overrides)
+            scorer = TRAINERS[kind](marked, features, validation="_valid", **overrides)
         else:
             scorer = TRAINERS[kind](folded.where(F.col("fold") != fold), features, **overrides)
         rows = scorer.with_probability(folded.where(F.col("fold") == fold)).select(
@@ -201,10 +203,15 @@ def cross_validate(
     return E.fold_metrics(materialize(held_out, "fold-scores"))
 
 
-def save_scorer(spark, scorer: VectorScorer, path: str) -> None:
+def save_scorer(spark, scorer: VectorScorer | LeafwiseScorer, path: str) -> None:
     """Fitted classifier and the order of its features."""
-    scorer.model.write().overwrite().save(f"{path}/model")
-    text = json.dumps({"kind": type(scorer.model).__name__, "features": scorer.features})
+    kept = {"kind": type(scorer.model).__name__, "features": scorer.features}
+    if isinstance(scorer, LeafwiseScorer):
+        save_trees(spark, scorer, f"{path}/model")
+        kept["base"] = scorer.model.base
+    else:
+        scorer.model.write().overwrite().save(f"{path}/model")
+    text = json.dumps(kept)
     spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{path}/features")
 
 
@@ -214,9 +221,11 @@ MODEL_CLASSES = {
 }
 
 
-def load_scorer(spark, path: str) -> VectorScorer:
+def load_scorer(spark, path: str) -> VectorScorer | LeafwiseScorer:
     text = "\n".join(r["value"] for r in spark.read.text(f"{path}/features").collect())
     kept = json.loads(text)
+    if kept["kind"] == "BoostedTrees":
+        return load_trees(spark, f"{path}/model", kept["base"], kept["features"])
     return VectorScorer(MODEL_CLASSES[kept["kind"]].load(f"{path}/model"), kept["features"])
 
 

@@ -69,7 +69,12 @@ def test_sample_does_not_shuffle_the_rows(tables, static_plans):
     assert "Exchange" not in main
 
 
-PYTHON_ALLOWED = {"m13_tree_contributions", "m15_tree_contribution_summary"}
+PYTHON_ALLOWED = {
+    "m13_tree_contributions",
+    "m15_tree_contribution_summary",
+    "m13_shapley_contributions",
+    "m15_shapley_summary",
+}
 LONG_RUNNING = ("m7", "m8", "m9", "m12", "m16", "r1", "r2", "r3", "s")
 
 
