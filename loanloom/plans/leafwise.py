@@ -15,6 +15,7 @@ table and the trees.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -419,9 +420,7 @@ class Grower:
             able.sort(key=lambda leaf: (-leaf.split[0], leaf.node))
             first = able[0]
             if first.children is None:
-                # no leaf behind as many better ones as splits are left can be chosen
-                unknown = [leaf for leaf in able[: self.limit - self.n_leaves] if leaf.children is None]
-                return unknown[:AHEAD]
+                return self._ahead(able)
             self.open.remove(first)
             self.open += first.children
             self.n_leaves += 1
@@ -429,9 +428,35 @@ class Grower:
             self.nodes[first.node] |= self._inner(first, left.node, right.node) | {"taken": True}
         return []
 
+    def _ahead(self, able: list[Leaf]) -> list[Leaf]:
+        """The next leaves without children if splitting went on with what is known.
+
+        No leaf behind as many better ones as splits are left can be chosen.
+        """
+        queue = [(-leaf.split[0], leaf.node, leaf) for leaf in able]
+        heapq.heapify(queue)
+        unknown = []
+        for _ in range(self.limit - self.n_leaves):
+            if not queue or len(unknown) == AHEAD:
+                break
+            leaf = heapq.heappop(queue)[2]
+            if leaf.children is None:
+                unknown.append(leaf)
+            else:
+                for child in leaf.children:
+                    if child.split:
+                        heapq.heappush(queue, (-child.split[0], child.node, child))
+        return unknown
+
     def trial(self, leaves: list[Leaf]) -> tuple[Tree, dict[int, int], list[bool]]:
         """The tree with those leaves split; the slot of each smaller child; whether that is the left one."""
         nodes = [dict(n) for n in self.nodes]
+        stack = [self.root]
+        while stack:  # splits known ahead are walked too, to reach the leaves below them
+            leaf = stack.pop()
+            if leaf.children is not None:
+                nodes[leaf.node] |= self._inner(leaf, *(child.node for child in leaf.children))
+                stack += leaf.children
         slots, left_is_smaller = {}, []
         for slot, leaf in enumerate(leaves):
             nodes[leaf.node] |= self._inner(leaf, len(nodes), len(nodes) + 1)
@@ -441,7 +466,6 @@ class Grower:
             left = int(rows[1 : code + 1].sum() + (rows[MISSING] if missing_left else 0))
             left_is_smaller.append(2 * left <= leaf.rows)
             slots[len(nodes) - 2 if left_is_smaller[-1] else len(nodes) - 1] = slot
-        # splits summed ahead but not taken stay leaves
         return as_tree(nodes), slots, left_is_smaller
 
     def expand(self, leaves: list[Leaf], sums: np.ndarray, left_is_smaller: list[bool]) -> None:
