@@ -22,7 +22,9 @@ from loanloom.operators import reshape as R
 from loanloom.operators.applicant import application_features
 from loanloom.operators.histogram import histogram
 from loanloom.operators.ordered import quantiles
+from loanloom.operators.rank_index import build_index, open_index
 from loanloom.plans.spine import build_spine
+from loanloom.session import scratch_path
 
 ID = K.CLIENT_KEY
 TRAIN = "SELECT * EXCLUDE (split) FROM app WHERE split = 'train'"
@@ -764,33 +766,52 @@ def _compared(t):
     return C.compare_clients(clients, population, COMPARED)
 
 
-@register(
-    "a22_client_percentiles",
-    with_tables(
-        f"""SELECT SK_ID_CURR, feature, {r6('value', 'value')}, {r6('percentile', 'percentile')}, {r6('mean', 'mean')},
+_COMPARED_SQL = with_tables(
+    f"""SELECT SK_ID_CURR, feature, {r6('value', 'value')}, {r6('percentile', 'percentile')}, {r6('mean', 'mean')},
   {r6('median', 'median')} FROM positions JOIN typical USING (feature)""",
-        "app",
-        **_COMPARE_CTES,
-    ),
+    "app",
+    **_COMPARE_CTES,
+)
+_POSITIONS_SQL = with_tables(
+    f"SELECT feature, {r6('value', 'value')}, {r6('percentile', 'percentile')} FROM (SELECT DISTINCT feature, value, percentile FROM positions)",
+    "app",
+    **_COMPARE_CTES,
 )
+
+
+@register("a22_client_percentiles", _COMPARED_SQL)
 def a22(t):
     return _compared(t)
 
 
-@register(
-    "j5_values_against_population",
-    with_tables(
-        f"SELECT feature, {r6('value', 'value')}, {r6('percentile', 'percentile')} FROM (SELECT DISTINCT feature, value, percentile FROM positions)",
-        "app",
-        **_COMPARE_CTES,
-    ),
-)
+@register("j5_values_against_population", _POSITIONS_SQL)
 def j5(t):
     clients = application_features(t.app)
     population = C.comparison_group(clients, "Clients sans défaut (TARGET=0)")
     return C.value_positions(population, clients, COMPARED).drop("asks")
 
 
+def _stored(t):
+    """All clients, and the stored order of those without default: written in two parts, opened again."""
+    clients = application_features(t.app)
+    population = C.comparison_group(clients, "Clients sans défaut (TARGET=0)")
+    first = build_index(population.where(F.col(ID) % 2 == 0), COMPARED, scratch_path(t.spark, "rank-index"))
+    whole = first.extend(population.where(F.col(ID) % 2 != 0), scratch_path(t.spark, "rank-index"))
+    return clients, open_index(t.spark, whole.path)
+
+
+@register("a22_stored_percentiles", _COMPARED_SQL)
+def a22_stored(t):
+    clients, index = _stored(t)
+    return index.compare(clients, COMPARED)
+
+
+@register("j5_stored_positions", _POSITIONS_SQL)
+def j5_stored(t):
+    clients, index = _stored(t)
+    return index.positions(clients, COMPARED).drop("asks")
+
+
 @register(
     "a23_position_messages",
     with_tables(
