@@ -19,9 +19,10 @@ from loanloom.operators import evaluate as E
 from loanloom.operators.profile import column_stats
 from loanloom.operators.ranking import importance_ranking
 from loanloom.plans.scoring import score
-from loanloom.session import scratch_path
+from loanloom.session import materialize, scratch_path
 from loanloom.sources import readers as I
 from loanloom.sources import sinks as O
+from loanloom.streaming import drift as SD
 from loanloom.streaming import jobs as J
 
 ID = K.CLIENT_KEY
@@ -367,6 +368,86 @@ def r3_alerts(t):
     return _days(windows, "alert")
 
 
+_GAPS = "SELECT * REPLACE (CASE WHEN SK_ID_CURR % 4 = 0 AND ts >= TIMESTAMP '2024-01-20' THEN NULL ELSE proba END AS proba) FROM scored"
+
+
+def _gaps(t):
+    """Scores of which a quarter is missing from one day on."""
+    missing = (F.col(ID) % 4 == 0) & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp"))
+    return _predicted(t).withColumn("proba", F.when(~missing, F.col("proba")))
+
+
+@register(
+    "r3_null_alerts",
+    with_tables(
+        f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows, {r6('avg(CASE WHEN proba IS NULL THEN 1 ELSE 0 END)', 'null_rate')},
+  avg(CASE WHEN proba IS NULL THEN 1 ELSE 0 END) > 0.1 AS alert FROM gaps GROUP BY 1""",
+        "scored",
+        gaps=_GAPS,
+    ),
+)
+def r3_nulls(t):
+    """Days on which too many scores are missing, rate and mean being as expected."""
+    same = {"refusal_rate": F.lit(0.5), "mean_score": F.lit(0.5)}
+    windows = J.monitor_alerts(J.monitor_aggregates(_gaps(t)).withColumns(same), 0.5, 0.5, 0.1)
+    return _days(windows, "null_rate", "alert").drop(*same)
+
+
+_POINTS = [i / 10 for i in range(1, 10)]
+_CELLS = "[" + ", ".join(f"count(*) FILTER (WHERE value IS NOT NULL AND bin = {i})" for i in range(10)) + "]"
+_BIN = " + ".join(f"CAST(value > b[{i}] AS INTEGER)" for i in range(1, 10))
+_SHARES = "list_transform(cells, lambda c: (c + 0.5) / (rows - missing + 5.0))"
+_DRIFT = dict(
+    gaps=_GAPS,
+    long="SELECT ts, 'proba' AS feature, proba AS value FROM gaps UNION ALL SELECT ts, 'income', CAST(SK_ID_CURR % 100 AS DOUBLE) * CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 2 ELSE 1 END FROM gaps",
+    cuts=f"SELECT feature, quantile_cont(value, {_POINTS}) AS b FROM long WHERE ts < {SPLIT_AT} GROUP BY feature",
+    binned=f"SELECT date_trunc('day', ts) AS day, ts < {SPLIT_AT} AS old, feature, value, {_BIN} AS bin FROM long JOIN cuts USING (feature)",
+    ref=f"SELECT feature, count(*) AS rows, count(*) - count(value) AS missing, {_CELLS} AS cells FROM binned WHERE old GROUP BY 1",
+    cur=f"SELECT day, feature, count(*) AS rows, count(*) - count(value) AS missing, {_CELLS} AS cells FROM binned GROUP BY 1, 2",
+    refs=f"SELECT feature, missing / rows AS reference_null_rate, {_SHARES} AS q FROM ref",
+    curs=f"SELECT day, feature, rows, missing / rows AS null_rate, {_SHARES} AS p FROM cur",
+    psis="SELECT *, list_sum(list_transform(list_zip(p, q), lambda z: (z[1] - z[2]) * ln(z[1] / z[2]))) AS psi FROM curs JOIN refs USING (feature)",
+)
+_DRIFT_ROWS = f"""SELECT strftime(day, '%Y-%m-%d') AS day, feature, rows, {r6('null_rate', 'null_rate')}, {r6('reference_null_rate', 'reference_null_rate')},
+  {r6('psi', 'psi')}, psi > 0.2 OR abs(null_rate - reference_null_rate) > 0.1 AS alert FROM psis"""
+_WATCHED = ["proba", "income"]
+
+
+def _watched(t):
+    later = F.col("ts") >= F.lit("2024-01-25").cast("timestamp")
+    return _gaps(t).select("ts", "proba", ((F.col(ID) % 100) * F.when(later, 2).otherwise(1)).cast("double").alias("income"))
+
+
+def _reference(t, rows):
+    old = rows.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    return materialize(SD.reference_profile(old, _WATCHED), "reference")
+
+
+def _by_day(windows):
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
+    return windows.select(day, "feature", "rows", "null_rate", "reference_null_rate", "psi", "alert")
+
+
+@register("r3_feature_drift_batch", with_tables(_DRIFT_ROWS, "scored", **_DRIFT))
+def r3_drift_batch(t):
+    rows = _watched(t)
+    return _by_day(SD.feature_drift(rows, _reference(t, rows), _WATCHED))
+
+
+@register(
+    "r3_feature_drift",
+    with_tables(_DRIFT_ROWS + " WHERE day < (SELECT max(day) FROM psis)", "scored", **_DRIFT),
+)
+def r3_drift(t):
+    """The same from a stream, against the stored reference; the last day stays open."""
+    source, out = scratch_path(t.spark, "predictions"), scratch_path(t.spark, "drift")
+    rows = _watched(t)
+    rows.write.parquet(source)
+    events = J.read_stream(t.spark, source, rows.schema)
+    J.run_to_end(SD.feature_drift(events, _reference(t, rows), _WATCHED, delay="10 minutes"), out, scratch_path(t.spark, "progress"))
+    return _by_day(t.spark.read.parquet(out))
+
+
 @register("r3_monitor_batch", with_tables(_MONITOR, "scored", days=_WINDOWS))
 def r3_batch(t):
     return _days(J.monitor_aggregates(_predicted(t)))
@@ -374,6 +455,45 @@ def r3_batch(t):
 
 # ------------------------------------------------------------------ sources, sinks
 
+# of 1200 clients in a row 1100 share one request, the others come in fifties
+_REQUEST = f"CASE WHEN {ID} % 1200 < 1100 THEN {ID} // 1200 * 10 ELSE {ID} // 1200 * 10 + {ID} % 1200 // 50 - 21 END"
+_REQUESTS = f"SELECT *, count(*) OVER (PARTITION BY request) AS n FROM (SELECT *, CAST({_REQUEST} AS BIGINT) AS request FROM app)"
+
+
+def _batches(t):
+    number = F.expr(_REQUEST.replace("//", "DIV")).cast("long")
+    fields = t.app.select(number.alias("request"), ID, "AMT_CREDIT", "EXT_SOURCE_2", "OCCUPATION_TYPE")
+    # at most 1100 clients a request
+    whole = fields.groupBy("request").agg(F.collect_list(F.struct(*fields.columns[1:])).alias("clients"))
+    asked = F.when(F.col("request") % 10 == 2, 1.5).when(F.col("request") % 10 == 1, 0.3).alias("threshold")
+    bodies = whole.select("request", F.to_json(F.struct("clients", asked)).alias("body"))
+    return I.read_batch_requests(bodies, "body", fields.drop("request").schema, ["request"])
+
+
+@register(
+    "p27_batch_requests",
+    with_tables(
+        f"""SELECT request, {r6('CASE WHEN request % 10 = 1 THEN 0.3 END', 'threshold')}, SK_ID_CURR, {r6('AMT_CREDIT', 'AMT_CREDIT')},
+  {r6('EXT_SOURCE_2', 'EXT_SOURCE_2')}, OCCUPATION_TYPE FROM requests WHERE n <= 1000 AND request % 10 <> 2""",
+        "app",
+        requests=_REQUESTS,
+    ),
+)
+def p27_batches(t):
+    return _batches(t)[0]
+
+
+@register(
+    "p27_rejected_batches",
+    with_tables(
+        "SELECT DISTINCT request, CASE WHEN n > 1000 THEN 'clients' ELSE 'threshold' END AS reason FROM requests WHERE n > 1000 OR request % 10 = 2",
+        "app",
+        requests=_REQUESTS,
+    ),
+)
+def p27_rejected(t):
+    return _batches(t)[1].drop("body")
+
 
 def _csv_round_trip(t, view: str, name: str):
     """Write a loan table as csv in the expected layout and read it back."""

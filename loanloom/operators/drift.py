@@ -125,6 +125,12 @@ def log_gamma(z: Column) -> Column:
 
 def upper_gamma(a: Column, x: Column) -> Column:
     """Regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
+    # the arguments are computed once and named inside, not repeated wherever they occur
+    both = F.array(F.struct(a.alias("a"), x.alias("x")))
+    return F.transform(both, lambda p: _upper_gamma(p["a"], p["x"]))[0]
+
+
+def _upper_gamma(a: Column, x: Column) -> Column:
     steps = F.sequence(F.lit(1), F.lit(TERMS))
     front = F.exp(a * F.log(x) - x - log_gamma(a))
 
@@ -154,10 +160,11 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
     """
     x, k = G.dbl(statistic), F.greatest(G.dbl(dof), F.lit(1.0))
     z = (F.cbrt(x / k) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-    half = upper_gamma(F.lit(0.5), F.greatest(z * z / 2, F.lit(1e-300))) / 2
-    normal = F.when(z >= 0, half).otherwise(1 - half)
-    exact = upper_gamma(k / 2, x / 2)
-    tail = F.when(k / 2 > LARGE, normal).otherwise(exact)
+    # both are tails of one function, built once: the expression is long
+    many = k / 2 > LARGE
+    shape = F.when(many, 0.5).otherwise(k / 2)
+    found = upper_gamma(shape, F.when(many, F.greatest(z * z / 2, F.lit(1e-300))).otherwise(x / 2))
+    tail = F.when(many & (z >= 0), found / 2).when(many, 1 - found / 2).otherwise(found)
     return F.when((dof <= 0) | (x <= 0), 1.0).when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 

@@ -180,6 +180,37 @@ def inventory(tables: dict[str, DataFrame | None]) -> DataFrame:
     return rows
 
 
+def read_batch_requests(
+    df: DataFrame, body: str, schema: T.StructType, keep: list[str] | None = None, limit: int = K.MAX_REQUEST_CLIENTS
+) -> tuple[DataFrame, DataFrame]:
+    """Client records from JSON texts ``{"clients": [{...}, ...], "threshold": ...}``.
+
+    Gives one typed row per client with the request's ``keep`` columns and ``threshold`` (NULL for the default),
+    and the rejected requests with a ``reason``: ``clients`` where there is no list of 1 to ``limit`` clients,
+    ``threshold`` where it is no number in 0..1. A batch score of a table has no such limit.
+    """
+    kept = [S.quoted(c) for c in keep or []]
+    shape = "clients array<map<string,string>>, threshold string"
+    parsed = df.select(*kept, S.quoted(body).alias("body"), F.from_json(S.quoted(body), shape).alias("_r"))
+    size, threshold = F.coalesce(F.size("_r.clients"), F.lit(0)), F.col("_r.threshold").try_cast("double")
+    fits = threshold.between(0, 1) | F.col("_r.threshold").isNull()
+    reason = F.when((size < 1) | (size > limit), "clients").when(~F.coalesce(fits, F.lit(False)), "threshold")
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason IS NULL").select(*kept, threshold.alias("threshold"), F.explode("_r.clients").alias("features"))
+    rows = good.select(*kept, "threshold", *[_field(f) for f in schema.fields])
+    return rows, judged.where("reason IS NOT NULL").select(*kept, "body", "reason")
+
+
+def _field(f: T.StructField) -> Column:
+    """A field of ``features`` in its declared type; NULL where it does not parse."""
+    raw = F.try_element_at("features", F.lit(f.name))
+    if isinstance(f.dataType, T.IntegralType):
+        return G.round_even_long(raw.try_cast("double")).cast(f.dataType).alias(f.name)
+    if isinstance(f.dataType, T.NumericType):
+        return G.finite(raw.try_cast("double")).cast(f.dataType).alias(f.name)
+    return raw.try_cast(f.dataType).alias(f.name)
+
+
 def read_requests(df: DataFrame, body: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Client records from JSON texts ``{"features": {...}}``.
 
@@ -192,13 +223,5 @@ def read_requests(df: DataFrame, body: str, schema: T.StructType) -> tuple[DataF
     )
     usable = F.col("features").isNotNull() & (F.size("features") > 0)
 
-    def one(f: T.StructField):
-        raw = F.try_element_at("features", F.lit(f.name))
-        if isinstance(f.dataType, T.IntegralType):
-            return G.round_even_long(raw.try_cast("double")).cast(f.dataType).alias(f.name)
-        if isinstance(f.dataType, T.NumericType):
-            return G.finite(raw.try_cast("double")).cast(f.dataType).alias(f.name)
-        return raw.try_cast(f.dataType).alias(f.name)
-
-    good = parsed.where(usable).select(*[one(f) for f in schema.fields])
+    good = parsed.where(usable).select(*[_field(f) for f in schema.fields])
     return good, parsed.where(~F.coalesce(usable, F.lit(False))).select("body")

@@ -70,10 +70,16 @@ def decision_monitor(
 
 
 def monitor_alerts(
-    windows: DataFrame, reference_rate: float, reference_score: float, tolerance: float = 0.1
+    windows: DataFrame,
+    reference_rate: float,
+    reference_score: float,
+    tolerance: float = 0.1,
+    reference_nulls: float = 0.0,
 ) -> DataFrame:
-    """Windows whose refusal rate or mean score left the tolerance around the reference."""
-    far = (F.abs(F.col("refusal_rate") - reference_rate) > tolerance) | (
-        F.abs(F.col("mean_score") - reference_score) > tolerance
-    )
-    return windows.withColumn("alert", far)
+    """Windows whose refusal rate, mean score or share of missing scores left the tolerance around the reference.
+
+    A window without any score has neither rate nor mean; its missing share alone decides.
+    """
+    expected = {"refusal_rate": reference_rate, "mean_score": reference_score, "null_rate": reference_nulls}
+    far = [F.coalesce(F.abs(F.col(c) - value) > tolerance, F.lit(False)) for c, value in expected.items()]
+    return windows.withColumn("alert", far[0] | far[1] | far[2])
