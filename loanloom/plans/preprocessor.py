@@ -18,6 +18,7 @@ from loanloom.operators.profile import column_stats, null_ratios
 from loanloom.session import ensure_checkpoint_dir, materialize, scratch_path
 
 LABELS = "value string, rows long, code long, feature string"
+FEW_CLASSES = 256  # columns with more are joined with their labels
 
 
 def class_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,6 +67,7 @@ class FittedColumn:
     mean: float | None = None
     std: float | None = None
     unknown_code: int | None = None
+    classes: int | None = None
 
 
 @dataclass
@@ -134,10 +136,11 @@ class ClientPreprocessor(Estimator):
         missing = F.max(F.when(F.col("value") == K.MISSING_CLASS, F.col("code")))
         unknown = F.coalesce(missing, F.count(F.lit(1))).alias("code")
         # one row per text column
-        codes = {r["feature"]: r["code"] for r in labels.groupBy("feature").agg(unknown).collect()}
+        found = labels.groupBy("feature").agg(unknown, F.count(F.lit(1)).alias("classes")).collect()
+        codes = {r["feature"]: (r["code"], r["classes"]) for r in found}
         for c in state.columns:
             if c.is_text:
-                c.unknown_code = codes.get(c.name, 0)
+                c.unknown_code, c.classes = codes.get(c.name, (0, 0))
 
     def _fit_fills(self, encoded: DataFrame, state: FittedState) -> None:
         names = [c.name for c in state.columns]
@@ -196,8 +199,12 @@ class ClientPreprocessorModel(Model):
         """Fitted columns as doubles; NULL where a number is missing or a column absent."""
         state = self._fitted()
         have = set(df.columns)
-        for c in state.columns:
-            if c.is_text and c.name in have:
+        text = [c for c in state.columns if c.is_text and c.name in have]
+        few = [c for c in text if c.classes is not None and c.classes <= FEW_CLASSES]
+        if few:
+            df = self._encode_few(df, few)
+        for c in text:
+            if c not in few:
                 df = self._encode_text(df, c)
 
         def one(c: FittedColumn) -> Column:
@@ -208,6 +215,26 @@ class ClientPreprocessorModel(Model):
 
         return df.select(*[S.quoted(k) for k in self._passed(df)], *[one(c) for c in state.columns])
 
+    def _encode_few(self, df: DataFrame, columns: list[FittedColumn]) -> DataFrame:
+        """Text columns with few classes as their codes: one row of maps for all of them, no join.
+
+        The row holds at most FEW_CLASSES entries per column.
+        """
+        labels = read_labels(df.sparkSession, self.state.labels_path)
+        labels = labels.where(F.col("feature").isin([c.name for c in columns]))
+        entry = F.struct("value", "code")
+        maps = [
+            F.map_from_entries(F.collect_list(F.when(F.col("feature") == c.name, entry))).alias(f"m{i}")
+            for i, c in enumerate(columns)
+        ]
+        known = df.withColumn("_codes", labels.agg(*maps).select(F.struct("*").alias("c")).scalar())
+
+        def code(i: int, c: FittedColumn) -> Column:
+            value = F.coalesce(S.quoted(c.name).cast("string"), F.lit(K.MISSING_CLASS))
+            return F.coalesce(F.try_element_at(F.col(f"_codes.m{i}"), value), F.lit(c.unknown_code)).cast("double")
+
+        return known.withColumns({c.name: code(i, c) for i, c in enumerate(columns)}).drop("_codes")
+
     def _encode_text(self, df: DataFrame, c: FittedColumn) -> DataFrame:
         """A text column as its class code, by a join with the column's labels.
 
