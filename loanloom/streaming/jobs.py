@@ -6,6 +6,9 @@ checkpoint location, so a restarted query continues where it stopped.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +81,11 @@ def monitor_alerts(
 ) -> DataFrame:
     """Windows whose refusal rate, mean score or share of missing scores left the tolerance around the reference.
 
-    A window without any score has neither rate nor mean; its missing share alone decides.
+    A window without any score has neither rate nor mean; its missing share alone decides. Windows that
+    carry no ``null_rate`` are judged by the other two.
     """
-    expected = {"refusal_rate": reference_rate, "mean_score": reference_score, "null_rate": reference_nulls}
+    expected = {"refusal_rate": reference_rate, "mean_score": reference_score}
+    if "null_rate" in windows.columns:
+        expected["null_rate"] = reference_nulls
     far = [F.coalesce(F.abs(F.col(c) - value) > tolerance, F.lit(False)) for c, value in expected.items()]
-    return windows.withColumn("alert", far[0] | far[1] | far[2])
+    return windows.withColumn("alert", reduce(or_, far))
