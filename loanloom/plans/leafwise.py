@@ -2,11 +2,11 @@
 
 Features are turned into at most ``bins`` byte codes once, and the coded rows are
 stored in blocks. A job sums gradients, curvatures and rows per (leaf, feature, code)
-inside the tasks and merges the sums in a tree; what reaches the driver is bounded
-by leaves x features x codes, whatever the number of rows. Of two children only the
-smaller one is summed, the other is its parent less it. A tree always splits the leaf
-with the highest gain next; a job sums the children of the next few leaves in that order
-ahead, so a tree takes fewer jobs than splits.
+inside the tasks; the sums are exchanged by feature, merged and searched where they are
+merged. To the driver goes one split per leaf and task, never a sum per code. A tree always
+splits the leaf with the highest gain next; a job looks at the children of the next few
+leaves in that order ahead, so a tree takes fewer jobs than splits, and children that are
+too small to be split are not looked at.
 
 Blocks are RDD elements, not rows: a block is a matrix with its margins that stays with its
 task over hundreds of passes. A lost executor's blocks are rebuilt from the stored
@@ -34,9 +34,10 @@ from loanloom.session import ensure_checkpoint_dir, materialize
 MISSING = 0  # code of a missing value; real values have codes from 1
 SKETCH = 10_000  # bin bounds are off by at most this part of the rows
 AUC_CELLS = 1 << 14  # scores closer than this count as ties when rounds are compared
-REFRESH = 10  # trees that blocks apply anew in every job before they store their margins
-AHEAD = 8  # leaves whose children one job sums
-RELIABLE = 100  # trees after which the stored margins are checkpointed
+REFRESH = 3  # trees that blocks apply anew in every job before they store their margins
+AHEAD = 16  # leaves one job sums ahead
+RELIABLE = 60  # trees after which the stored margins are checkpointed
+TOGETHER = 1 << 24  # codes of a task's rows: 131,072 rows of up to 128 features
 BINS = "_n int, _bins binary, _label binary, _weight binary, _checked binary, _draw binary"
 
 
@@ -265,7 +266,11 @@ def in_bag(draw: np.ndarray, period: int, share: float) -> np.ndarray:
 
 @dataclass
 class Pass:
-    """One job: which trees to apply, which leaves to sum, over which features."""
+    """One job: which trees to apply, which leaves to sum, over which features.
+
+    The features, and the score cells of the checked rows, are cut into ``parts`` ranges;
+    a range's sums meet in one task, which answers with its best split of every leaf.
+    """
 
     trees: list[Tree]
     growing: Tree
@@ -276,13 +281,22 @@ class Pass:
     period: int
     share: float
     check: bool
+    rules: Rules
+    parts: int
+
+    def _range(self, part: int, n: int) -> slice:
+        return slice(n * part // self.parts, n * (part + 1) // self.parts)
 
-    def run(self, blocks: Iterator[Block]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-        sums = np.zeros((len(self.slots), len(self.features), self.width, 3), dtype=np.int64)
+    def sums(self, blocks: Iterator[Block]) -> Iterator[tuple[int, tuple]]:
+        """Per range: (places of the codes that occur, their sums, rows per class and score cell)."""
+        sums = np.zeros((len(self.features), len(self.slots), self.width, 3), dtype=np.int64)
         ranks = np.zeros((2, AUC_CELLS), dtype=np.int64) if self.check else None
         for block in blocks:
             self._add(_advanced(block, self.trees), sums, ranks)
-        yield sums, ranks
+        for part in range(self.parts):
+            own = sums[self._range(part, len(sums))].reshape(-1, 3)
+            at = np.flatnonzero(own[:, 2])
+            yield part, (at, own[at], None if ranks is None else ranks[:, self._range(part, AUC_CELLS)])
 
     def _add(self, block: Block, sums: np.ndarray, ranks: np.ndarray | None) -> None:
         p = 1 / (1 + np.exp(-block.margin))
@@ -301,26 +315,48 @@ class Pass:
         steepness = np.rint(weight * (p - block.label[used]) * self.scale)
         curvature = np.rint(weight * p * (1 - p) * self.scale)
         start = slot[used] * self.width
-        cells = len(self.slots) * self.width
+        shape = sums.shape[1:3]
+        cells = shape[0] * shape[1]
         for i, f in enumerate(self.features):
             at = start + block.codes[f][used]
-            shape = (len(self.slots), self.width)
-            sums[:, i, :, 0] += np.bincount(at, steepness, cells).astype(np.int64).reshape(shape)
-            sums[:, i, :, 1] += np.bincount(at, curvature, cells).astype(np.int64).reshape(shape)
-            sums[:, i, :, 2] += np.bincount(at, minlength=cells).reshape(shape)
-
+            sums[i, :, :, 0] += np.bincount(at, steepness, cells).astype(np.int64).reshape(shape)
+            sums[i, :, :, 1] += np.bincount(at, curvature, cells).astype(np.int64).reshape(shape)
+            sums[i, :, :, 2] += np.bincount(at, minlength=cells).reshape(shape)
+
+    def splits(self, exchanged: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
+        """Per range: its number, every leaf's (sum of its rows, best split), area below its score cells."""
+        merged = {}
+        for part, (at, own, ranks) in exchanged:
+            if part not in merged:
+                own_range = self._range(part, len(self.features))
+                shape = (own_range.stop - own_range.start, len(self.slots), self.width, 3)
+                merged[part] = [np.zeros(shape, dtype=np.int64), 0]
+            merged[part][0].reshape(-1, 3)[at] += own
+            if ranks is not None:
+                merged[part][1] = merged[part][1] + ranks
+        for part, (sums, ranks) in merged.items():
+            first = self._range(part, len(self.features)).start
+            leaves = []
+            for slot in range(len(self.slots)):
+                split = best_split(sums[:, slot], self.scale, self.rules, first)
+                leaves.append((tuple(sums[0, slot].sum(axis=0).tolist()), split))
+            yield part, leaves, _area(ranks) if self.check else None
+
+
+def _area(ranks: np.ndarray) -> tuple[int, int, int]:
+    """Rows of both classes in a range of score cells, and twice the area they span; a cell's rows are ties."""
+    none, some = ranks
+    below = np.cumsum(none) - none
+    return int(none.sum()), int(some.sum()), int((some * (2 * below + none)).sum())
 
-def _merged(a, b):
-    return a[0] + b[0], None if a[1] is None else a[1] + b[1]
 
-
-def auc_of(ranks: np.ndarray) -> float:
-    """Area under the curve from rows per class and score cell; a cell's rows are ties."""
-    none, some = ranks.astype(float)
-    if not none.sum() or not some.sum():
-        return 0.5
-    below = np.cumsum(none) - none
-    return float((some * (below + none / 2)).sum() / (none.sum() * some.sum()))
+def auc_of(areas: list[tuple[int, int, int]]) -> float:
+    """Area under the curve from the areas of all ranges of score cells, lowest scores first."""
+    none = some = twice = 0
+    for n, s, area in areas:
+        twice += area + 2 * s * none
+        none, some = none + n, some + s
+    return twice / (2 * none * some) if none and some else 0.5
 
 
 # ----------------------------------------------------------------------------- splits
@@ -345,134 +381,133 @@ class Rules:
 
 @dataclass
 class Leaf:
+    """``total``: gradients, curvatures (scaled) and rows. ``known``: ``split`` is its best one, None if it has none."""
+
     node: int
-    sums: np.ndarray  # (feature, code, 3)
+    total: tuple[int, int, int]
     depth: int
+    known: bool
     split: tuple | None = None
     children: tuple[Leaf, Leaf] | None = None
 
-    @property
-    def rows(self) -> int:
-        return int(self.sums[0, :, 2].sum())
 
+def best_split(sums: np.ndarray, scale: float, rules: Rules, first: int = 0) -> tuple | None:
+    """(-gain, missing ones added left, feature's position, code, missing goes left, left side's total) or None.
 
-def best_split(sums: np.ndarray, scale: float, rules: Rules) -> tuple | None:
-    """(gain, feature's position, code, missing goes left) with the highest gain, or None.
-
-    Ties go to the first feature, then the lowest cut. Where the leaf has no missing
+    ``sums`` (feature, code, 3) begins with the feature at position ``first``. The least tuple has the highest
+    gain; ties go to the first feature, then the lowest cut. Where the leaf has no missing
     value of the feature, a later one goes to the larger side.
     """
-    parts = sums / np.array([scale, scale, 1.0])
-    total = parts[0].sum(axis=0)
-    missing = parts[:, MISSING]
-    below = np.cumsum(parts[:, 1:], axis=1)  # all values left, the missing right: a split too
-    best = None
+    whole = sums[0].sum(axis=0)
+    unit = np.array([scale, scale, 1.0])
+    missing = sums[:, MISSING]
+    below = np.cumsum(sums[:, 1:], axis=1)  # all values left, the missing right: a split too
+    total, best = whole / unit, None
     for missing_left in (False, True):
         if missing_left and not missing[:, 2].any():
             break
-        left = below + missing[:, None] if missing_left else below
+        taken = below + missing[:, None] if missing_left else below
+        left = taken / unit
         right = total - left
         gain = rules.worth(left[..., 0], left[..., 1]) + rules.worth(right[..., 0], right[..., 1])
         gain -= rules.worth(total[0], total[1])
         allowed = (left[..., 2] >= rules.least_rows) & (right[..., 2] >= rules.least_rows)
         gain = np.where(allowed, gain, -np.inf)
-        at = int(np.argmax(gain))
-        f, code = divmod(at, gain.shape[1])
-        if gain[f, code] > 1e-9 and (best is None or gain[f, code] > best[0]):
+        f, code = divmod(int(np.argmax(gain)), gain.shape[1])
+        if gain[f, code] > 1e-9 and (best is None or -gain[f, code] < best[0]):
             side = missing_left if missing[f, 2] else bool(left[f, code, 2] > right[f, code, 2])
-            best = (float(gain[f, code]), f, code + 1, side)
+            best = (-float(gain[f, code]), missing_left, first + f, code + 1, side, tuple(taken[f, code].tolist()))
     return best
 
 
 class Grower:
-    """One tree: expands leaves ahead, splits them in order of gain."""
+    """One tree: looks at leaves ahead, splits them in order of gain."""
 
-    def __init__(self, root: np.ndarray, features, bounds, scale, rules: Rules, leaves: int, depth: int | None):
+    def __init__(self, root: tuple, features, bounds, scale, rules: Rules, leaves: int, depth: int | None):
         self.features, self.bounds, self.scale, self.rules = features, bounds, scale, rules
         self.limit, self.depth = leaves, depth
         self.nodes: list[dict] = []
-        self.root = self._leaf(root, 0)
+        total, split = root
+        self.root = self._leaf(total, 0)
+        self._learn(self.root, split)
         self.open, self.n_leaves = [self.root], 1
 
-    def _leaf(self, sums: np.ndarray, depth: int) -> Leaf:
-        leaf = Leaf(len(self.nodes), sums, depth)
-        g, h, rows = sums[0].sum(axis=0) / np.array([self.scale, self.scale, 1.0])
-        if self.depth is None or depth < self.depth:
-            leaf.split = best_split(sums, self.scale, self.rules)
+    def _leaf(self, total: tuple[int, int, int], depth: int) -> Leaf:
+        g, h, rows = total
+        fixed = rows < 2 * self.rules.least_rows or (self.depth is not None and depth >= self.depth)
+        leaf = Leaf(len(self.nodes), total, depth, known=fixed)
         self.nodes.append(
             dict(feature=-1, code=0, cut=0.0, missing_left=False, left=0, right=0, gain=0.0)
-            | dict(value=self.rules.answer(g, h), rows=int(rows))
+            | dict(value=self.rules.answer(g / self.scale, h / self.scale), rows=rows)
         )
         return leaf
 
-    def _inner(self, leaf: Leaf, left: int, right: int) -> dict:
-        gain, position, code, missing_left = leaf.split
+    @staticmethod
+    def _learn(leaf: Leaf, split: tuple | None) -> None:
+        if not leaf.known:
+            leaf.known, leaf.split = True, split
+
+    def _children(self, leaf: Leaf) -> tuple[Leaf, Leaf]:
+        if leaf.children is None:
+            left = leaf.split[5]
+            right = tuple(a - b for a, b in zip(leaf.total, left))
+            leaf.children = tuple(self._leaf(part, leaf.depth + 1) for part in (left, right))
+        return leaf.children
+
+    def _inner(self, leaf: Leaf) -> dict:
+        gain, _, position, code, missing_left, _ = leaf.split
+        left, right = (child.node for child in leaf.children)
         f = int(self.features[position])
         cut = float(self.bounds[f][code - 1]) if code <= len(self.bounds[f]) else float("inf")
-        return dict(feature=f, code=code, cut=cut, missing_left=missing_left, left=left, right=right, gain=gain)
+        return dict(feature=f, code=code, cut=cut, missing_left=missing_left, left=left, right=right, gain=-gain)
 
     def wanted(self) -> list[Leaf]:
-        """Splits what is decided; then the leaves whose children must be summed (none: the tree is done)."""
+        """Splits what is decided; then the leaves that must be summed (none: the tree is done)."""
         while self.n_leaves < self.limit:
+            if not all(leaf.known for leaf in self.open):
+                return self._ahead()
             able = [leaf for leaf in self.open if leaf.split]
             if not able:
                 return []
-            able.sort(key=lambda leaf: (-leaf.split[0], leaf.node))
-            first = able[0]
-            if first.children is None:
-                return self._ahead(able)
+            first = min(able, key=lambda leaf: (leaf.split[0], leaf.node))
             self.open.remove(first)
-            self.open += first.children
+            self.open += self._children(first)
             self.n_leaves += 1
-            left, right = first.children
-            self.nodes[first.node] |= self._inner(first, left.node, right.node) | {"taken": True}
+            self.nodes[first.node] |= self._inner(first) | {"taken": True}
         return []
 
-    def _ahead(self, able: list[Leaf]) -> list[Leaf]:
-        """The next leaves without children if splitting went on with what is known.
+    def _ahead(self) -> list[Leaf]:
+        """The open leaves not known, and the next ones if splitting went on with what is known.
 
-        No leaf behind as many better ones as splits are left can be chosen.
+        Behind as many splits as are left, no leaf can be chosen.
         """
-        queue = [(-leaf.split[0], leaf.node, leaf) for leaf in able]
+        unknown = [leaf for leaf in self.open if not leaf.known]
+        queue = [(leaf.split[0], leaf.node, leaf) for leaf in self.open if leaf.split]
         heapq.heapify(queue)
-        unknown = []
-        for _ in range(self.limit - self.n_leaves):
-            if not queue or len(unknown) == AHEAD:
+        for _ in range(self.limit - self.n_leaves - 1):
+            if not queue or len(unknown) >= AHEAD:
                 break
-            leaf = heapq.heappop(queue)[2]
-            if leaf.children is None:
-                unknown.append(leaf)
-            else:
-                for child in leaf.children:
-                    if child.split:
-                        heapq.heappush(queue, (-child.split[0], child.node, child))
+            for child in self._children(heapq.heappop(queue)[2]):
+                if not child.known:
+                    unknown.append(child)
+                elif child.split:
+                    heapq.heappush(queue, (child.split[0], child.node, child))
         return unknown
 
-    def trial(self, leaves: list[Leaf]) -> tuple[Tree, dict[int, int], list[bool]]:
-        """The tree with those leaves split; the slot of each smaller child; whether that is the left one."""
+    def trial(self, leaves: list[Leaf]) -> tuple[Tree, dict[int, int]]:
+        """The tree with all splits known ahead, to reach those leaves; the slot of each."""
         nodes = [dict(n) for n in self.nodes]
         stack = [self.root]
-        while stack:  # splits known ahead are walked too, to reach the leaves below them
+        while stack:
             leaf = stack.pop()
             if leaf.children is not None:
-                nodes[leaf.node] |= self._inner(leaf, *(child.node for child in leaf.children))
+                nodes[leaf.node] |= self._inner(leaf)
                 stack += leaf.children
-        slots, left_is_smaller = {}, []
-        for slot, leaf in enumerate(leaves):
-            nodes[leaf.node] |= self._inner(leaf, len(nodes), len(nodes) + 1)
-            nodes += [dict(self.nodes[leaf.node], feature=-1) for _ in range(2)]
-            _, position, code, missing_left = leaf.split
-            rows = leaf.sums[position, :, 2]
-            left = int(rows[1 : code + 1].sum() + (rows[MISSING] if missing_left else 0))
-            left_is_smaller.append(2 * left <= leaf.rows)
-            slots[len(nodes) - 2 if left_is_smaller[-1] else len(nodes) - 1] = slot
-        return as_tree(nodes), slots, left_is_smaller
-
-    def expand(self, leaves: list[Leaf], sums: np.ndarray, left_is_smaller: list[bool]) -> None:
-        for leaf, smaller, left_first in zip(leaves, sums, left_is_smaller):
-            larger = leaf.sums - smaller
-            pair = (smaller, larger) if left_first else (larger, smaller)
-            leaf.children = tuple(self._leaf(part, leaf.depth + 1) for part in pair)
+        return as_tree(nodes), {leaf.node: slot for slot, leaf in enumerate(leaves)}
+
+    def learn(self, leaves: list[Leaf], found: list[tuple]) -> None:
+        for leaf, (_, split) in zip(leaves, found, strict=True):
+            self._learn(leaf, split)
 
     def tree(self) -> Tree:
         """Only the nodes that were taken, renumbered from the root."""
@@ -531,10 +566,10 @@ def train_leafwise(
     batch = int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     heaviest = max(weights.values())
     room = min(52 - np.log2(max(batch, 1) * heaviest), 62 - np.log2(n * heaviest), 40)
-    return _boost(stored, features, bounds, float(2.0 ** np.floor(room)), validation is not None, settings)
+    return _boost(stored, n, features, bounds, float(2.0 ** np.floor(room)), validation is not None, settings)
 
 
-def _boost(stored: DataFrame, features, bounds, scale, validated: bool, settings: dict) -> LeafwiseScorer:
+def _boost(stored: DataFrame, n: int, features, bounds, scale, validated: bool, settings: dict) -> LeafwiseScorer:
     least = max(1, settings["min_rows_per_leaf"])
     rules = Rules(settings["l1"], settings["l2"], least, settings["learning_rate"])
     rng = np.random.default_rng(settings["seed"])
@@ -543,49 +578,61 @@ def _boost(stored: DataFrame, features, bounds, scale, validated: bool, settings
     width = max((len(b) for b in bounds), default=0) + 2
     ensure_checkpoint_dir(stored.sparkSession)
     base = 0.0  # balanced classes weigh the same
-    state = stored.rdd.map(lambda row: _block(row, base)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees, pending, scores = [], [], []
+    tasks = -(-n * max(len(features), 128) // TOGETHER)
+    state = stored.repartition(tasks).rdd.map(lambda row: _block(row, base)).persist(StorageLevel.MEMORY_AND_DISK)
+    trees, pending, scores, before = [], [], [], None
     try:
         while True:
             if len(pending) == REFRESH:
-                state, pending = _refreshed(state, pending, len(trees) % RELIABLE == 0), []
+                before, state = state, _refreshed(state, pending, len(trees) % RELIABLE == 0)
+                pending = []
             chosen = np.sort(rng.choice(len(features), taken, replace=False))
             job = Pass(
                 pending, as_tree([_ROOT]), {0: 0}, chosen, width, scale,
                 len(trees) // settings["bag_rounds"], settings["row_fraction"], validated and bool(trees),
+                rules, min(tasks, taken),
             )
-            sums, ranks = _run(state, job)
+            (root,), areas = _run(state, job)
+            if before is not None:  # the job has stored the blocks that follow them
+                before.unpersist()
+                before = None
             if job.check:
-                scores.append(auc_of(ranks))
+                scores.append(auc_of(areas))
             best = int(np.argmax(scores)) + 1 if scores else len(trees)
             if len(trees) == settings["trees"] or len(scores) - best >= settings["patience"]:
                 break
-            grower = Grower(sums[0], chosen, bounds, scale, rules, settings["leaves"], settings["max_depth"])
+            grower = Grower(root, chosen, bounds, scale, rules, settings["leaves"], settings["max_depth"])
             while leaves := grower.wanted():
-                trial, slots, left_is_smaller = grower.trial(leaves)
-                sums, _ = _run(state, replace(job, growing=trial, slots=slots, check=False))
-                grower.expand(leaves, sums, left_is_smaller)
+                trial, slots = grower.trial(leaves)
+                grower.learn(leaves, _run(state, replace(job, growing=trial, slots=slots, check=False))[0])
             trees.append(grower.tree())
             pending = [*pending, trees[-1]]
     finally:
-        state.unpersist()
+        for blocks in (before, state):
+            if blocks is not None:
+                blocks.unpersist()
     return LeafwiseScorer(BoostedTrees(base, trees[:best], len(features)), features, best, scores)
 
 
 _ROOT = dict(feature=-1, code=0, cut=0.0, missing_left=False, left=0, right=0, value=0.0, rows=0, gain=0.0)
 
 
-def _run(state, job: Pass):
-    parts = state.mapPartitions(job.run)
-    # a few partitions' sums meet in the driver, more are merged in tasks first
-    return parts.reduce(_merged) if parts.getNumPartitions() <= 16 else parts.treeReduce(_merged, 3)
+def _run(state, job: Pass) -> tuple[list[tuple], list]:
+    """Every leaf's (total, best split), and the areas of the ranges of score cells."""
+    sums = state.mapPartitions(job.sums)
+    if state.getNumPartitions() > 1:
+        sums = sums.partitionBy(job.parts, lambda part: part)
+    found = sorted(sums.mapPartitions(job.splits).collect(), key=lambda answer: answer[0])
+    leaves = []
+    for slot in range(len(job.slots)):
+        answers = [answer[1][slot] for answer in found]
+        leaves.append((answers[0][0], min((s for _, s in answers if s), default=None)))
+    return leaves, [answer[2] for answer in found]
 
 
 def _refreshed(state, trees: list[Tree], reliable: bool):
-    """Blocks whose margins include those trees."""
+    """Blocks whose margins include those trees; the next job stores them."""
     after = state.map(lambda block: _advanced(block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
     if reliable:
         after.checkpoint()
-    after.count()
-    state.unpersist()
     return after

@@ -1,10 +1,12 @@
 """Leaf-wise boosting and exact Shapley values against plain re-computations."""
 
+import pickle
 from itertools import combinations
 from math import factorial
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
@@ -102,6 +104,51 @@ def test_partitions_and_order_do_not_matter(clients):
         assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in L.NODE)
 
 
+def same_trees(a, b):
+    for one, two in zip(a.trees, b.trees, strict=True):
+        assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in L.NODE)
+
+
+def test_sums_of_many_tasks_meet_by_feature(clients, monkeypatch):
+    marked = clients.withColumn("v", F.col(ID) % 3 == 0).repartition(9).persist()
+    settings = dict(validation="v", trees=5, leaves=9, **WHOLE)
+    one = L.train_leafwise(marked, FEATURES, **settings)
+    monkeypatch.setattr(L, "TOGETHER", 128 * 100)  # 100 rows a task
+    many = L.train_leafwise(marked, FEATURES, **settings)
+    same_trees(one.model, many.model)
+    assert one.auc_by_round == many.auc_by_round
+
+
+def test_no_sum_per_code_reaches_the_driver(clients, monkeypatch):
+    sizes, collect = [], RDD.collect
+
+    def weighed(rdd):
+        found = collect(rdd)
+        sizes.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", weighed)
+    marked = clients.withColumn("v", F.col(ID) % 3 == 0)
+    L.train_leafwise(marked, FEATURES, validation="v", trees=3, leaves=25, **WHOLE)
+    assert sizes and max(sizes) < 8_000  # sums of one leaf: 3 features x 256 codes x 24 bytes
+
+
+def test_children_too_small_to_split_are_not_looked_at(clients, monkeypatch):
+    asked, run = [], L._run
+
+    def counted(state, job):
+        asked.append(len(job.slots))
+        return run(state, job)
+
+    monkeypatch.setattr(L, "_run", counted)
+    settings = {**WHOLE, "min_rows_per_leaf": 301}
+    L.train_leafwise(clients, FEATURES, trees=2, **settings)
+    assert asked == [1, 1, 1]  # a root a tree, and the last round's
+    asked.clear()
+    L.train_leafwise(clients, FEATURES, trees=1, leaves=2, **WHOLE)
+    assert asked == [1, 1]  # nothing follows the only split
+
+
 def test_trees_keep_their_bounds(fitted):
     for tree in fitted.model.trees:
         leaves = tree.feature < 0
