@@ -50,6 +50,7 @@ from loanloom.session import materialize
 
 CACHED = 500_000  # pieces a worker remembers before it starts anew
 TOGETHER = 1 << 20  # characters encoded in one go
+ONE_INPUT = 1000  # pieces handed to the library as the words of one input
 # fixed values: the code points with Unicode's White_Space property
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -103,6 +104,11 @@ class Encoder:
             one.encode_special_tokens = True  # their strings in a text are ordinary text
         # a piece is not cut again
         self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # bytes of each id, where ids spell all bytes of a text
+        vocab, self.spelled = self.library.get_vocab(), None
+        if self.library.normalizer is None and vocab.keys() >= set(pre_tokenizers.ByteLevel.alphabet()):
+            self.spelled = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.spelled[list(vocab.values())] = [len(token) for token in vocab]
         self._forget()
 
     def _forget(self) -> None:
@@ -110,13 +116,26 @@ class Encoder:
         self.flat, self.start, self.size = (np.empty(0, np.int64) for _ in range(3))
 
     def _learn(self) -> None:
-        ids = [e.ids for e in self.by_piece.encode_batch_fast(self.number.fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = self._apart(self.number.fresh) if self.spelled is None else self._as_words(self.number.fresh)
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
-        self.flat = np.concatenate((self.flat, np.array([i for one in ids for i in one], np.int64)))
+        self.flat = np.concatenate((self.flat, flat))
         self.number.fresh.clear()
 
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        ids = [e.ids for e in self.by_piece.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for one in ids for i in one], np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _as_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, many pieces to an input; a piece ends where its bytes are spelled."""
+        inputs = [pieces[k : k + ONE_INPUT] for k in range(0, len(pieces), ONE_INPUT)]
+        found = self.by_piece.encode_batch_fast(inputs, is_pretokenized=True, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in found])
+        n_bytes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), np.int64, len(pieces))
+        ends = np.searchsorted(np.cumsum(self.spelled[flat]), np.cumsum(n_bytes)) + 1
+        return flat, np.diff(ends, prepend=0)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHED:
             self._forget()

@@ -238,6 +238,25 @@ def written(spark, docs):
     return token_files.write(docs, TOKENIZER, scratch_path(spark, "token-files"), end_id=2)
 
 
+def test_new_pieces_share_inputs_of_the_library():
+    class Counted:
+        def __init__(self, library):
+            self.library, self.inputs = library, 0
+
+        def encode_batch_fast(self, inputs, **settings):
+            self.inputs += len(inputs)
+            return self.library.encode_batch_fast(inputs, **settings)
+
+    texts = [" ".join(f"w{k}é{k * k}\u4e2d {k}'s  \n" for k in range(a, a + 300)) for a in (0, 300)] + ["", "\x00\x7f"]
+    together, apart = token_files.Encoder(TOKENIZER), token_files.Encoder(TOKENIZER)
+    together.by_piece, apart.spelled = Counted(together.by_piece), None
+    want = [apart.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in together.encode(texts)] == want
+    assert [ids.tolist() for ids in apart.encode(texts)] == want
+    pieces = len(together.number)
+    assert pieces > token_files.ONE_INPUT and together.by_piece.inputs == -(-pieces // token_files.ONE_INPUT)
+
+
 def test_pieces_give_the_ids_of_whole_texts(library):
     rng = random.Random(1)
     own = token_files.encoder(TOKENIZER)
