@@ -86,14 +86,14 @@ def _leaves(tree: Tree, n: int, goes_left) -> np.ndarray:
         at[moving] = np.where(goes_left(moving, nodes), tree.left[nodes], tree.right[nodes])
 
 
-def leaves_of_codes(tree: Tree, codes: np.ndarray) -> np.ndarray:
-    """``codes``: one row of the matrix per feature."""
+def leaves_of_codes(tree: Tree, codes: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """``codes``: one row of the matrix per feature; ``of``: the clients asked for, all by default."""
 
     def goes_left(rows, nodes):
-        code = codes[tree.feature[nodes], rows]
+        code = codes[tree.feature[nodes], rows if of is None else of[rows]]
         return np.where(code == MISSING, tree.missing_left[nodes], code <= tree.code[nodes])
 
-    return _leaves(tree, codes.shape[1], goes_left)
+    return _leaves(tree, codes.shape[1] if of is None else len(of), goes_left)
 
 
 def leaves_of_values(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -306,15 +306,16 @@ class Pass:
                 ranks[label] += np.bincount(cell[block.checked & (block.label == label)], minlength=AUC_CELLS)
         slot_of = np.full(len(self.growing.feature), -1)
         slot_of[list(self.slots)] = list(self.slots.values())
-        slot = slot_of[leaves_of_codes(self.growing, block.codes)]
-        used = np.flatnonzero((slot >= 0) & ~block.checked & in_bag(block.draw, self.period, self.share))
+        bag = np.flatnonzero(~block.checked & in_bag(block.draw, self.period, self.share))
+        slot = slot_of[leaves_of_codes(self.growing, block.codes, bag)]
+        used, slot = bag[slot >= 0], slot[slot >= 0]
         if not len(used):
             return
         p, weight = p[used], block.weight[used]
         # whole numbers: the sums do not depend on the order in which tasks are merged
         steepness = np.rint(weight * (p - block.label[used]) * self.scale)
         curvature = np.rint(weight * p * (1 - p) * self.scale)
-        start = slot[used] * self.width
+        start = slot * self.width
         shape = sums.shape[1:3]
         cells = shape[0] * shape[1]
         for i, f in enumerate(self.features):

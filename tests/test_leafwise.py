@@ -1,6 +1,7 @@
 """Leaf-wise boosting and exact Shapley values against plain re-computations."""
 
 import pickle
+import threading
 from itertools import combinations
 from math import factorial
 
@@ -217,6 +218,18 @@ def test_train_and_evaluate_and_folds(clients):
     assert sorted(r["fold"] for r in folds) == [0, 1] and all(r["auc"] > 0.6 for r in folds)
 
 
+def test_folds_are_fitted_at_the_same_time(clients, monkeypatch):
+    together = threading.Barrier(3, timeout=60)
+
+    def fit(df, features, **settings):
+        together.wait()  # breaks if a fold waits for another one's fit
+        return L.train_leafwise(df, features, trees=2, **settings)
+
+    monkeypatch.setitem(T.TRAINERS, "leafwise", fit)
+    folds = T.cross_validate(clients, FEATURES, "leafwise", k=3, **WHOLE).collect()
+    assert sorted(r["fold"] for r in folds) == [0, 1, 2]
+
+
 # ------------------------------------------------------------------------ Shapley values
 
 
