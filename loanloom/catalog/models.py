@@ -21,7 +21,7 @@ from loanloom.operators import ranking as R
 from loanloom.operators import sampling
 from loanloom.operators.applicant import application_features
 from loanloom.operators.profile import column_stats
-from loanloom.operators.sampling import sample_fraction, stratified_holdout
+from loanloom.operators.sampling import stratified_holdout
 from loanloom.operators.shapley import shapley_cells
 from loanloom.plans import preprocessor as M
 from loanloom.plans import training as T
@@ -677,8 +677,7 @@ def m13_trees(t):
 @register("m15_tree_contribution_summary")
 def m15_trees(t):
     prepared, scorer = _boosted(t)
-    sample = sample_fraction(prepared, ID, 0.1)
-    return X.contribution_summary(shapley_cells(sample, scorer))
+    return X.contribution_summary(shapley_cells(prepared, scorer))
 
 
 @register("m16_model_card")

@@ -7,6 +7,9 @@ feature (the row follows the path there or not), the product of the shares for a
 feature's Shapley value is the integral over u in [0, 1] of what it adds when every other feature
 is known with probability u; the integrand is a polynomial whose degree is below the
 number of features on the path, so Gauss-Legendre nodes give it exactly: no subsets.
+
+What a leaf adds depends only on which features of its path the row follows. For short paths
+these answers are written down once per batch, and a row looks its own up.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from loanloom import constants as K
 from loanloom.plans.leafwise import LeafwiseScorer, Tree
 
-ROWS = 2048  # rows a task explains at a time
+ROWS = 10_000  # rows a task explains at a time
+WRITTEN = 12  # features of a path up to which all its answers are written down: 2^12 of each
 
 
 @dataclass
@@ -34,6 +38,29 @@ class LeafPath:
     steps: list[list[tuple[int, bool]]]  # (node, goes left)
     shares: np.ndarray
 
+    def added(self, follows: np.ndarray) -> np.ndarray:
+        """What the leaf adds to its features; ``follows``: 1 or 0 per feature and row."""
+        nodes, weights = np.polynomial.legendre.leggauss(len(self.features) // 2 + 1)
+        inside = np.zeros_like(follows)
+        for u, w in zip((nodes + 1) / 2, weights / 2):
+            factors = self.shares * (1 - u) + follows * u  # above 0: a leaf has rows and u is below 1
+            inside += w * factors.prod(axis=1, keepdims=True) / factors
+        return self.value * (follows - self.shares) * inside
+
+    def written(self) -> np.ndarray:
+        """``added`` by feature for every set of followed features, bit i for feature i."""
+        nodes, weights = np.polynomial.legendre.leggauss(len(self.features) // 2 + 1)
+        unknown = np.outer((1 - nodes) / 2, self.shares)  # factors of features that are not followed
+        known = unknown + (nodes[:, None] + 1) / 2
+        products = np.ones((len(nodes), 1))
+        for low, high in zip(unknown.T, known.T):
+            products = np.hstack([products * low[:, None], products * high[:, None]])
+        places = np.arange(len(self.features))
+        followed = np.arange(products.shape[1]) >> places[:, None] & 1
+        without = ((weights[:, None] / 2 / unknown).T * -self.shares[:, None]) @ products
+        with_it = ((weights[:, None] / 2 / known).T * (1 - self.shares)[:, None]) @ products
+        return self.value * np.where(followed, with_it, without)
+
 
 def leaf_paths(tree: Tree) -> list[LeafPath]:
     found = []
@@ -63,23 +90,28 @@ def add_shapley(tree: Tree, paths: list[LeafPath], x: np.ndarray, out: np.ndarra
     inner = np.flatnonzero(tree.feature >= 0)
     if not len(inner):
         return
-    value = x[:, tree.feature[inner]]
-    left = np.where(np.isnan(value), tree.missing_left[inner], value <= tree.cut[inner])
+    value = x[:, tree.feature[inner]].T
+    left = np.where(np.isnan(value), tree.missing_left[inner, None], value <= tree.cut[inner, None])
+    sides = {True: left, False: ~left}
     place = {int(node): i for i, node in enumerate(inner)}
+    total = np.ascontiguousarray(out.T)
     for path in paths:
-        follows = np.stack(
-            [
-                np.logical_and.reduce([left[:, place[node]] == goes for node, goes in steps])
-                for steps in path.steps
-            ],
-            axis=1,
-        ).astype(float)
-        nodes, weights = np.polynomial.legendre.leggauss(len(path.features) // 2 + 1)
-        inside = np.zeros_like(follows)
-        for u, w in zip((nodes + 1) / 2, weights / 2):
-            factors = path.shares * (1 - u) + follows * u  # above 0: a leaf has rows and u is below 1
-            inside += w * factors.prod(axis=1, keepdims=True) / factors
-        out[:, path.features] += path.value * (follows - path.shares) * inside
+        follows = [
+            np.logical_and.reduce([sides[goes][place[node]] for node, goes in steps])
+            if len(steps) > 1
+            else sides[steps[0][1]][place[steps[0][0]]]
+            for steps in path.steps
+        ]
+        if len(follows) > WRITTEN:
+            total[path.features] += path.added(np.stack(follows, axis=1).astype(float)).T
+            continue
+        pattern = np.zeros(len(x), dtype=np.uint16)
+        for i, one in enumerate(follows):
+            pattern |= one.astype(np.uint16) << np.uint16(i)
+        pattern = pattern.astype(np.intp)
+        for f, answers in zip(path.features.tolist(), path.written()):
+            total[f] += answers[pattern]
+    out[:] = total.T
 
 
 def shapley_cells(df: DataFrame, scorer: LeafwiseScorer, key: str = K.CLIENT_KEY) -> DataFrame:

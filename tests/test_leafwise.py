@@ -11,6 +11,7 @@ from pyspark import RDD
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
+from loanloom.catalog import models
 from loanloom.operators import explain as X
 from loanloom.operators import shapley
 from loanloom.plans import leafwise as L
@@ -292,6 +293,28 @@ def test_shapley_values_add_up_to_the_margin(clients, fitted):
     assert [r["rank"] for r in top] == [1, 2]
 
 
+def test_summary_explains_every_client(clients, fitted, monkeypatch):
+    monkeypatch.setattr(models, "_boosted", lambda t: (clients, fitted))
+    x, _ = matrix(clients)
+    values = np.zeros(x.shape)
+    for tree in fitted.model.trees:
+        shapley.add_shapley(tree, shapley.leaf_paths(tree), x, values)
+    want = dict(zip(FEATURES, np.abs(values).mean(axis=0)))
+    got = {r["feature"]: r["mean_abs_contribution"] for r in models.m15_trees(None).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_answers_written_down_equal_those_of_each_row(clients, fitted, monkeypatch):
+    x, _ = matrix(clients)
+    written, each = np.zeros(x.shape), np.zeros(x.shape)
+    for tree in fitted.model.trees:
+        shapley.add_shapley(tree, shapley.leaf_paths(tree), x, written)
+    monkeypatch.setattr(shapley, "WRITTEN", 1)
+    for tree in fitted.model.trees:
+        shapley.add_shapley(tree, shapley.leaf_paths(tree), x, each)
+    assert np.abs(written).sum() > 0 and written == pytest.approx(each, abs=1e-12)
+
+
 def test_importance_is_the_share_of_gain(spark, fitted):
     rows = X.global_importance(spark, fitted).collect()
     assert {r["feature"] for r in rows} == set(FEATURES)
