@@ -1,13 +1,16 @@
 """Boosted trees grown leaf by leaf from gradient histograms.
 
 Features are turned into at most ``bins`` byte codes once, and the coded rows are
-stored in blocks. A job sums gradients, curvatures and rows per (leaf, feature, code)
-inside the tasks; the sums are exchanged by feature, merged and searched where they are
-merged. To the driver goes one split per leaf and task, never a sum per code. A tree always
-splits the leaf with the highest gain next; a job looks at the children of the next few
-leaves in that order ahead, so a tree takes fewer jobs than splits, and children that are
+stored in blocks. A tree always splits the leaf with the highest gain next; children that are
 too small to be split are not looked at.
 
+Rows that one task can hold (``TOGETHER``) stay in it: a job grows many trees there, and of two children
+only the smaller is summed. A larger fit spreads its rows. A job then sums gradients, curvatures and rows per
+(leaf, feature, code) inside the tasks; the sums are exchanged by feature, merged and searched
+where they are merged. To the driver goes one split per leaf and task, never a sum per code. A job
+looks at the children of the next few leaves ahead, so a tree takes fewer jobs than splits. Both ways
+give the same trees.
+
 Blocks are RDD elements, not rows: a block is a matrix with its margins that stays with its
 task over hundreds of passes. A lost executor's blocks are rebuilt from the stored
 table and the trees.
@@ -37,7 +40,10 @@ AUC_CELLS = 1 << 14  # scores closer than this count as ties when rounds are com
 REFRESH = 3  # trees that blocks apply anew in every job before they store their margins
 AHEAD = 16  # leaves one job sums ahead
 RELIABLE = 60  # trees after which the stored margins are checkpointed
-TOGETHER = 1 << 24  # codes of a task's rows: 131,072 rows of up to 128 features
+TOGETHER = 1 << 27  # codes up to which one task fits alone: 2^20 rows of up to 128 features
+SPREAD = 8  # a larger fit's tasks hold this part of TOGETHER
+TREES_AT_ONCE = 32  # trees a task that fits alone grows in a job
+FEW_ROWS = 1024  # rows of a leaf up to which all features are summed in one pass
 BINS = "_n int, _bins binary, _label binary, _weight binary, _checked binary, _draw binary"
 
 
@@ -74,36 +80,42 @@ def as_tree(nodes: list[dict]) -> Tree:
     return Tree(**{k: np.array([n[k] for n in nodes], dtype=_DTYPES[t]) for k, t in NODE.items()})
 
 
-def _leaves(tree: Tree, n: int, goes_left) -> np.ndarray:
-    """The leaf of each of n rows; ``goes_left(rows, nodes)`` decides."""
-    at = np.zeros(n, dtype=np.int32)
-    moving = np.arange(n)
-    while True:
-        moving = moving[tree.feature[at[moving]] >= 0]
-        if not len(moving):
-            return at
-        nodes = at[moving]
-        at[moving] = np.where(goes_left(moving, nodes), tree.left[nodes], tree.right[nodes])
-
-
 def leaves_of_codes(tree: Tree, codes: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """``codes``: one row of the matrix per feature; ``of``: the clients asked for, all by default."""
-
-    def goes_left(rows, nodes):
-        code = codes[tree.feature[nodes], rows if of is None else of[rows]]
-        return np.where(code == MISSING, tree.missing_left[nodes], code <= tree.code[nodes])
+    """``codes``: one row of the matrix per feature; ``of``: the clients asked for, all by default.
 
-    return _leaves(tree, codes.shape[1] if of is None else len(of), goes_left)
+    The clients are parted node by node; a code is read once per node on its client's way.
+    """
+    found = np.zeros(codes.shape[1] if of is None else len(of), dtype=np.int32)
+    stack = [(0, None)]
+    while stack:
+        node, places = stack.pop()
+        if tree.feature[node] < 0:
+            found[slice(None) if places is None else places] = node
+            continue
+        rows = of if places is None else places if of is None else of.take(places)
+        own = codes[tree.feature[node]] if rows is None else codes[tree.feature[node]].take(rows)
+        left = own <= tree.code[node]  # MISSING is below all codes
+        if not tree.missing_left[node]:
+            left &= own != MISSING
+        for child, side in ((tree.left[node], left), (tree.right[node], ~left)):
+            taken = np.flatnonzero(side)
+            if len(taken):
+                stack.append((child, taken if places is None else places.take(taken)))
+    return found
 
 
 def leaves_of_values(tree: Tree, x: np.ndarray) -> np.ndarray:
     """``x``: one row of the matrix per client, NaN where missing."""
-
-    def goes_left(rows, nodes):
-        value = x[rows, tree.feature[nodes]]
-        return np.where(np.isnan(value), tree.missing_left[nodes], value <= tree.cut[nodes])
-
-    return _leaves(tree, len(x), goes_left)
+    at = np.zeros(len(x), dtype=np.int32)
+    moving = np.arange(len(x))
+    while True:
+        moving = moving[tree.feature[at[moving]] >= 0]
+        if not len(moving):
+            return at
+        nodes = at[moving]
+        value = x[moving, tree.feature[nodes]]
+        left = np.where(np.isnan(value), tree.missing_left[nodes], value <= tree.cut[nodes])
+        at[moving] = np.where(left, tree.left[nodes], tree.right[nodes])
 
 
 # ------------------------------------------------------------------------- the model
@@ -289,40 +301,32 @@ class Pass:
 
     def sums(self, blocks: Iterator[Block]) -> Iterator[tuple[int, tuple]]:
         """Per range: (places of the codes that occur, their sums, rows per class and score cell)."""
-        sums = np.zeros((len(self.features), len(self.slots), self.width, 3), dtype=np.int64)
+        shape = (len(self.slots), self.width)
+        sums = np.zeros((len(self.features), *shape, 3), dtype=np.int64)
         ranks = np.zeros((2, AUC_CELLS), dtype=np.int64) if self.check else None
-        for block in blocks:
-            self._add(_advanced(block, self.trees), sums, ranks)
+        taken = [self._taken(_advanced(block, self.trees), ranks) for block in blocks]
+        if taken:
+            codes, start, steepness, curvature = (np.concatenate(column, axis=-1) for column in zip(*taken))
+            both = steepness + 1j * curvature
+            for of_feature, own in zip(codes, sums):
+                _add_cells(start + of_feature, both, own.reshape(-1, 3))
         for part in range(self.parts):
             own = sums[self._range(part, len(sums))].reshape(-1, 3)
             at = np.flatnonzero(own[:, 2])
             yield part, (at, own[at], None if ranks is None else ranks[:, self._range(part, AUC_CELLS)])
 
-    def _add(self, block: Block, sums: np.ndarray, ranks: np.ndarray | None) -> None:
-        p = 1 / (1 + np.exp(-block.margin))
+    def _taken(self, block: Block, ranks: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Codes, first cells and gradients of the rows that are in one of the leaves."""
         if ranks is not None:
-            cell = np.minimum((p * AUC_CELLS).astype(np.int64), AUC_CELLS - 1)
-            for label in (0, 1):
-                ranks[label] += np.bincount(cell[block.checked & (block.label == label)], minlength=AUC_CELLS)
+            _rank(block, 1 / (1 + np.exp(-block.margin)), ranks)
         slot_of = np.full(len(self.growing.feature), -1)
         slot_of[list(self.slots)] = list(self.slots.values())
         bag = np.flatnonzero(~block.checked & in_bag(block.draw, self.period, self.share))
         slot = slot_of[leaves_of_codes(self.growing, block.codes, bag)]
         used, slot = bag[slot >= 0], slot[slot >= 0]
-        if not len(used):
-            return
-        p, weight = p[used], block.weight[used]
-        # whole numbers: the sums do not depend on the order in which tasks are merged
-        steepness = np.rint(weight * (p - block.label[used]) * self.scale)
-        curvature = np.rint(weight * p * (1 - p) * self.scale)
-        start = slot * self.width
-        shape = sums.shape[1:3]
-        cells = shape[0] * shape[1]
-        for i, f in enumerate(self.features):
-            at = start + block.codes[f][used]
-            sums[i, :, :, 0] += np.bincount(at, steepness, cells).astype(np.int64).reshape(shape)
-            sums[i, :, :, 1] += np.bincount(at, curvature, cells).astype(np.int64).reshape(shape)
-            sums[i, :, :, 2] += np.bincount(at, minlength=cells).reshape(shape)
+        p = 1 / (1 + np.exp(-block.margin[used]))
+        gradients = _gradients(p, block.label[used], block.weight[used], self.scale)
+        return block.codes[self.features[:, None], used], slot * self.width, *gradients
 
     def splits(self, exchanged: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
         """Per range: its number, every leaf's (sum of its rows, best split), area below its score cells."""
@@ -344,6 +348,26 @@ class Pass:
             yield part, leaves, _area(ranks) if self.check else None
 
 
+def _gradients(p: np.ndarray, label: np.ndarray, weight: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers: the sums do not depend on the order in which tasks are merged."""
+    return np.rint(weight * (p - label) * scale), np.rint(weight * p * (1 - p) * scale)
+
+
+def _add_cells(cells: np.ndarray, gradients: np.ndarray, out: np.ndarray) -> None:
+    """Writes steepness, curvature and rows per cell; ``gradients``: the first two as one complex number, for one pass."""
+    found = np.zeros(len(out), dtype=complex)
+    np.add.at(found, cells, gradients)
+    out[:, 0], out[:, 1] = found.real, found.imag
+    out[:, 2] = np.bincount(cells, minlength=len(out))
+
+
+def _rank(block: Block, p: np.ndarray, ranks: np.ndarray) -> None:
+    """Counts the checked rows per class and score cell."""
+    cell = np.minimum((p * AUC_CELLS).astype(np.int64), AUC_CELLS - 1)
+    for label in (0, 1):
+        ranks[label] += np.bincount(cell[block.checked & (block.label == label)], minlength=AUC_CELLS)
+
+
 def _area(ranks: np.ndarray) -> tuple[int, int, int]:
     """Rows of both classes in a range of score cells, and twice the area they span; a cell's rows are ties."""
     none, some = ranks
@@ -382,14 +406,18 @@ class Rules:
 
 @dataclass
 class Leaf:
-    """``total``: gradients, curvatures (scaled) and rows. ``known``: ``split`` is its best one, None if it has none."""
+    """``total``: gradients, curvatures (scaled) and rows. ``known``: ``split`` is its best one, None if it has none.
+
+    ``path`` says where it is in the tree: 1 for the root, 2p and 2p + 1 below p.
+    """
 
     node: int
     total: tuple[int, int, int]
-    depth: int
+    path: int
     known: bool
     split: tuple | None = None
     children: tuple[Leaf, Leaf] | None = None
+    parent: Leaf | None = None
 
 
 def best_split(sums: np.ndarray, scale: float, rules: Rules, first: int = 0) -> tuple | None:
@@ -422,21 +450,23 @@ def best_split(sums: np.ndarray, scale: float, rules: Rules, first: int = 0) ->
 
 
 class Grower:
-    """One tree: looks at leaves ahead, splits them in order of gain."""
+    """One tree: looks at leaves ahead (at most ``ahead``), splits them in order of gain, equal ones from the root down."""
 
-    def __init__(self, root: tuple, features, bounds, scale, rules: Rules, leaves: int, depth: int | None):
+    def __init__(
+        self, root: tuple, features, bounds, scale, rules: Rules, leaves: int, depth: int | None, ahead: int
+    ):
         self.features, self.bounds, self.scale, self.rules = features, bounds, scale, rules
-        self.limit, self.depth = leaves, depth
+        self.limit, self.depth, self.ahead = leaves, depth, ahead
         self.nodes: list[dict] = []
         total, split = root
-        self.root = self._leaf(total, 0)
+        self.root = self._leaf(total, 1)
         self._learn(self.root, split)
         self.open, self.n_leaves = [self.root], 1
 
-    def _leaf(self, total: tuple[int, int, int], depth: int) -> Leaf:
+    def _leaf(self, total: tuple[int, int, int], path: int, parent: Leaf | None = None) -> Leaf:
         g, h, rows = total
-        fixed = rows < 2 * self.rules.least_rows or (self.depth is not None and depth >= self.depth)
-        leaf = Leaf(len(self.nodes), total, depth, known=fixed)
+        deep = self.depth is not None and path.bit_length() > self.depth
+        leaf = Leaf(len(self.nodes), total, path, known=rows < 2 * self.rules.least_rows or deep, parent=parent)
         self.nodes.append(
             dict(feature=-1, code=0, cut=0.0, missing_left=False, left=0, right=0, gain=0.0)
             | dict(value=self.rules.answer(g / self.scale, h / self.scale), rows=rows)
@@ -452,7 +482,7 @@ class Grower:
         if leaf.children is None:
             left = leaf.split[5]
             right = tuple(a - b for a, b in zip(leaf.total, left))
-            leaf.children = tuple(self._leaf(part, leaf.depth + 1) for part in (left, right))
+            leaf.children = tuple(self._leaf(part, 2 * leaf.path + i, leaf) for i, part in enumerate((left, right)))
         return leaf.children
 
     def _inner(self, leaf: Leaf) -> dict:
@@ -470,7 +500,7 @@ class Grower:
             able = [leaf for leaf in self.open if leaf.split]
             if not able:
                 return []
-            first = min(able, key=lambda leaf: (leaf.split[0], leaf.node))
+            first = min(able, key=lambda leaf: (leaf.split[0], leaf.path))
             self.open.remove(first)
             self.open += self._children(first)
             self.n_leaves += 1
@@ -483,16 +513,16 @@ class Grower:
         Behind as many splits as are left, no leaf can be chosen.
         """
         unknown = [leaf for leaf in self.open if not leaf.known]
-        queue = [(leaf.split[0], leaf.node, leaf) for leaf in self.open if leaf.split]
+        queue = [(leaf.split[0], leaf.path, leaf) for leaf in self.open if leaf.split]
         heapq.heapify(queue)
         for _ in range(self.limit - self.n_leaves - 1):
-            if not queue or len(unknown) >= AHEAD:
+            if not queue or len(unknown) >= self.ahead:
                 break
             for child in self._children(heapq.heappop(queue)[2]):
                 if not child.known:
                     unknown.append(child)
                 elif child.split:
-                    heapq.heappush(queue, (child.split[0], child.node, child))
+                    heapq.heappush(queue, (child.split[0], child.path, child))
         return unknown
 
     def trial(self, leaves: list[Leaf]) -> tuple[Tree, dict[int, int]]:
@@ -528,6 +558,150 @@ class Grower:
         return as_tree(kept)
 
 
+# ------------------------------------------------------------------ a fit of one task
+
+
+class Bag:
+    """The rows a tree is fitted on, as one matrix, with the blocks they come from."""
+
+    def __init__(self, blocks: list[Block], period: int, share: float):
+        self.blocks = blocks
+        taken = [~b.checked & in_bag(b.draw, period, share) for b in blocks]
+        self.rows, self.others = ([np.flatnonzero(t == side) for t in taken] for side in (True, False))
+        self.codes = np.concatenate([b.codes.take(at, axis=1) for b, at in zip(blocks, self.rows)], axis=1)
+
+    def gradients(self, scale: float) -> tuple[np.ndarray, np.ndarray]:
+        parts = [
+            _gradients(1 / (1 + np.exp(-b.margin[at])), b.label[at], b.weight[at], scale)
+            for b, at in zip(self.blocks, self.rows)
+        ]
+        return tuple(np.concatenate(column) for column in zip(*parts))
+
+    def advance(self, tree: Tree, added: np.ndarray) -> None:
+        """Adds a tree's answers to the margins; ``added``: those of the bag's rows."""
+        start = 0
+        for block, at, others in zip(self.blocks, self.rows, self.others):
+            block.margin[at] += added[start : start + len(at)]
+            block.margin[others] += tree.value[leaves_of_codes(tree, block.codes, others)]
+            start += len(at)
+
+
+class Growth:
+    """A tree of a bag: rows and sums of its leaves. Of two children the smaller is summed, the other is the rest."""
+
+    def __init__(self, bag: Bag, gradients: tuple, features: np.ndarray, width: int):
+        self.bag, self.gradients, self.features, self.width = bag, gradients, features, width
+        self.rows = {1: np.arange(bag.codes.shape[1])}
+        self.sums = {1: self._sums(None)}
+
+    def _sums(self, at: np.ndarray | None) -> np.ndarray:
+        """(feature, code, 3) over the rows ``at``, all by default."""
+        g, h = self.gradients if at is None else (part.take(at) for part in self.gradients)
+        n, codes = len(self.features), self.bag.codes
+        out = np.empty((n, self.width, 3), dtype=np.int64)
+        if at is not None and len(at) <= FEW_ROWS:
+            cells = (codes[self.features[:, None], at] + self.width * np.arange(n)[:, None]).ravel()
+            for i, part in enumerate((g, h, None)):
+                weights = None if part is None else np.tile(part, n)
+                out[..., i] = np.bincount(cells, weights, n * self.width).reshape(n, self.width)
+            return out
+        both = g + 1j * h
+        for i, f in enumerate(self.features):
+            _add_cells((codes[f] if at is None else codes[f].take(at)).astype(np.intp), both, out[i])
+        return out
+
+    def rows_of(self, leaf: Leaf) -> np.ndarray:
+        if leaf.path not in self.rows:
+            at = self.rows.pop(leaf.parent.path)
+            _, _, position, code, missing_left, _ = leaf.parent.split
+            own = self.bag.codes[self.features[position]].take(at)
+            left = own <= code  # MISSING is below all codes
+            if not missing_left:
+                left &= own != MISSING
+            for path, side in ((2 * leaf.parent.path, left), (2 * leaf.parent.path + 1, ~left)):
+                self.rows[path] = at.take(np.flatnonzero(side))
+        return self.rows[leaf.path]
+
+    def sums_of(self, leaf: Leaf) -> np.ndarray:
+        if leaf.path not in self.sums:
+            whole = self.sums.pop(leaf.parent.path)
+            small, large = sorted(leaf.parent.children, key=lambda child: child.total[2])
+            self.sums[small.path] = self._sums(self.rows_of(small))
+            self.sums[large.path] = whole - self.sums[small.path]
+        return self.sums[leaf.path]
+
+    def added(self, leaves: list[Leaf], answers: list[float]) -> np.ndarray:
+        """The answer of each row's leaf."""
+        out = np.empty(self.bag.codes.shape[1])
+        for leaf, answer in zip(leaves, answers, strict=True):
+            out[self.rows_of(leaf)] = answer
+        return out
+
+
+@dataclass
+class Alone:
+    """One job of a fit whose rows are all in one task: it grows the next trees without another job.
+
+    ``slots``: where each tree begins. ``chosen``: every tree's features. ``scores``: of the rounds so far.
+    """
+
+    trees: list[Tree]
+    slots: dict[int, int]
+    chosen: list[np.ndarray]
+    first: int
+    scores: list[float]
+    bounds: list[np.ndarray]
+    width: int
+    scale: float
+    rules: Rules
+    validated: bool
+    settings: dict
+
+    def grow(self, blocks: Iterator[Block]) -> Iterator[tuple[list[Tree], list[float], bool]]:
+        """(the new trees, the scores of all rounds so far, whether the fit is done)."""
+        blocks = [_advanced(block, self.trees) for block in blocks]
+        grown, scores, bag = [], list(self.scores), None
+        for features in self.chosen:
+            n = self.first + len(grown)
+            if self.validated and n:
+                ranks = np.zeros((2, AUC_CELLS), dtype=np.int64)
+                for block in blocks:
+                    _rank(block, 1 / (1 + np.exp(-block.margin)), ranks)
+                scores.append(auc_of([_area(ranks)]))
+            if _done(n, scores, self.settings):
+                yield grown, scores, True
+                return
+            period, again = divmod(n, self.settings["bag_rounds"])
+            if bag is None or not again:
+                bag = None  # not two at a time
+                bag = Bag(blocks, period, self.settings["row_fraction"])
+            grown.append(self._tree(bag, features))
+        yield grown, scores, False
+
+    def _tree(self, bag: Bag, features: np.ndarray) -> Tree:
+        growth = Growth(bag, bag.gradients(self.scale), features, self.width)
+
+        def learned(sums: np.ndarray) -> tuple:
+            return tuple(sums[0].sum(axis=0).tolist()), best_split(sums, self.scale, self.rules)
+
+        limits = self.settings["leaves"], self.settings["max_depth"]
+        grower = Grower(learned(growth.sums[1]), features, self.bounds, self.scale, self.rules, *limits, ahead=0)
+        while leaves := grower.wanted():
+            grower.learn(leaves, [learned(growth.sums_of(leaf)) for leaf in leaves])
+        tree = grower.tree()
+        bag.advance(tree, growth.added(grower.open, [grower.nodes[leaf.node]["value"] for leaf in grower.open]))
+        return tree
+
+
+def _done(n: int, scores: list[float], settings: dict) -> bool:
+    return n == settings["trees"] or bool(scores) and len(scores) - _best(scores, n) >= settings["patience"]
+
+
+def _best(scores: list[float], n: int) -> int:
+    """How many of n trees are kept."""
+    return int(np.argmax(scores)) + 1 if scores else n
+
+
 # -------------------------------------------------------------------------------- fit
 
 
@@ -563,10 +737,10 @@ def train_leafwise(
     weight = F.when(F.col("_label") == 1, F.lit(weights[1.0])).otherwise(F.lit(weights[0.0]))
     bounds = bin_bounds(fitted, features, settings["bins"])
     stored = materialize(coded_blocks(rows.withColumn("_weight", weight), features, bounds), "coded-rows")
-    # whole-number sums: exact in a block's doubles and in the total's 64 bits
+    # whole-number sums: exact in the doubles of a block or a whole fit, whose weights add up to n
     batch = int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     heaviest = max(weights.values())
-    room = min(52 - np.log2(max(batch, 1) * heaviest), 62 - np.log2(n * heaviest), 40)
+    room = min(52 - np.log2(max(batch, 1) * heaviest), 53 - np.log2(n + 1), 40)
     return _boost(stored, n, features, bounds, float(2.0 ** np.floor(room)), validation is not None, settings)
 
 
@@ -579,51 +753,75 @@ def _boost(stored: DataFrame, n: int, features, bounds, scale, validated: bool,
     width = max((len(b) for b in bounds), default=0) + 2
     ensure_checkpoint_dir(stored.sparkSession)
     base = 0.0  # balanced classes weigh the same
-    tasks = -(-n * max(len(features), 128) // TOGETHER)
+    codes = n * max(len(features), 128)
+    tasks = 1 if codes <= TOGETHER else -(-codes * SPREAD // TOGETHER)
     state = stored.repartition(tasks).rdd.map(lambda row: _block(row, base)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees, pending, scores, before = [], [], [], None
+    trees, pending, scores, before, done = [], [], [], None, False
+
+    def drawn() -> np.ndarray:
+        return np.sort(rng.choice(len(features), taken, replace=False))
+
     try:
-        while True:
-            if len(pending) == REFRESH:
-                before, state = state, _refreshed(state, pending, len(trees) % RELIABLE == 0)
+        while not done:
+            if len(pending) >= REFRESH:
+                reliable = len(trees) // RELIABLE > (len(trees) - len(pending)) // RELIABLE
+                before, state = state, _refreshed(state, pending, reliable)
                 pending = []
-            chosen = np.sort(rng.choice(len(features), taken, replace=False))
-            job = Pass(
-                pending, as_tree([_ROOT]), {0: 0}, chosen, width, scale,
-                len(trees) // settings["bag_rounds"], settings["row_fraction"], validated and bool(trees),
-                rules, min(tasks, taken),
-            )
-            (root,), areas = _run(state, job)
+            if tasks == 1:
+                # a lost task repeats few trees
+                ahead = [drawn() for _ in range(min(max(1, len(trees) // 2), TREES_AT_ONCE))]
+                grown, scores, done = _run(
+                    state,
+                    Alone(
+                        pending, {0: 0}, ahead, len(trees), scores, bounds, width, scale, rules, validated, settings
+                    ),
+                )
+            else:
+                grown, scores, done = _grown(
+                    state, pending, drawn(), len(trees), scores, bounds, width, scale, rules, validated, settings, tasks
+                )
             if before is not None:  # the job has stored the blocks that follow them
                 before.unpersist()
                 before = None
-            if job.check:
-                scores.append(auc_of(areas))
-            best = int(np.argmax(scores)) + 1 if scores else len(trees)
-            if len(trees) == settings["trees"] or len(scores) - best >= settings["patience"]:
-                break
-            grower = Grower(root, chosen, bounds, scale, rules, settings["leaves"], settings["max_depth"])
-            while leaves := grower.wanted():
-                trial, slots = grower.trial(leaves)
-                grower.learn(leaves, _run(state, replace(job, growing=trial, slots=slots, check=False))[0])
-            trees.append(grower.tree())
-            pending = [*pending, trees[-1]]
+            trees += grown
+            pending = [*pending, *grown]
     finally:
         for blocks in (before, state):
             if blocks is not None:
                 blocks.unpersist()
+    best = _best(scores, len(trees))
     return LeafwiseScorer(BoostedTrees(base, trees[:best], len(features)), features, best, scores)
 
 
 _ROOT = dict(feature=-1, code=0, cut=0.0, missing_left=False, left=0, right=0, value=0.0, rows=0, gain=0.0)
 
 
-def _run(state, job: Pass) -> tuple[list[tuple], list]:
-    """Every leaf's (total, best split), and the areas of the ranges of score cells."""
-    sums = state.mapPartitions(job.sums)
-    if state.getNumPartitions() > 1:
-        sums = sums.partitionBy(job.parts, lambda part: part)
-    found = sorted(sums.mapPartitions(job.splits).collect(), key=lambda answer: answer[0])
+def _grown(
+    state, pending, chosen, n: int, scores, bounds, width, scale, rules, validated: bool, settings: dict, tasks: int
+) -> tuple[list[Tree], list[float], bool]:
+    """The next tree of a fit of many tasks, none when it is done; one job per look ahead."""
+    job = Pass(
+        pending, as_tree([_ROOT]), {0: 0}, chosen, width, scale, n // settings["bag_rounds"],
+        settings["row_fraction"], validated and n > 0, rules, min(tasks, len(chosen)),
+    )
+    (root,), areas = _run(state, job)
+    if job.check:
+        scores = [*scores, auc_of(areas)]
+    if _done(n, scores, settings):
+        return [], scores, True
+    grower = Grower(root, chosen, bounds, scale, rules, settings["leaves"], settings["max_depth"], AHEAD)
+    while leaves := grower.wanted():
+        trial, slots = grower.trial(leaves)
+        grower.learn(leaves, _run(state, replace(job, growing=trial, slots=slots, check=False))[0])
+    return [grower.tree()], scores, False
+
+
+def _run(state, job: Pass | Alone) -> tuple:
+    """Every leaf's (total, best split), and the areas of the ranges of score cells; of ``Alone`` what it grew."""
+    if isinstance(job, Alone):
+        return state.mapPartitions(job.grow).collect()[0]
+    exchanged = state.mapPartitions(job.sums).partitionBy(job.parts, lambda part: part)
+    found = sorted(exchanged.mapPartitions(job.splits).collect(), key=lambda answer: answer[0])
     leaves = []
     for slot in range(len(job.slots)):
         answers = [answer[1][slot] for answer in found]

@@ -121,6 +121,59 @@ def test_sums_of_many_tasks_meet_by_feature(clients, monkeypatch):
     assert one.auc_by_round == many.auc_by_round
 
 
+def test_rows_of_one_task_need_few_jobs(clients, monkeypatch):
+    jobs, run = [], L._run
+
+    def counted(state, job):
+        jobs.append(job)
+        return run(state, job)
+
+    monkeypatch.setattr(L, "_run", counted)
+    marked = clients.withColumn("v", F.col(ID) % 3 == 0)
+    kept = L.train_leafwise(marked, FEATURES, validation="v", trees=40, patience=40, leaves=9, **WHOLE)
+    assert len(kept.auc_by_round) == 40 and len(jobs) < 20
+
+
+def random_block(n, features=4, missing=0.2):
+    rng = np.random.default_rng(n)
+    codes = rng.integers(1, 9, (features, n)).astype(np.uint8)
+    codes[rng.random(codes.shape) < missing] = L.MISSING
+    label = rng.integers(0, 2, n).astype(float)
+    return L.Block(codes, label, np.ones(n), np.zeros(n, bool), np.arange(n, dtype=np.uint64), np.zeros(n))
+
+
+def test_leaves_of_codes_follow_every_row():
+    block = random_block(300)
+    features, bounds = np.arange(4), [np.arange(1.0, 9.0)] * 4
+    settings = dict(trees=1, leaves=12, max_depth=None, patience=5, bag_rounds=5, row_fraction=1.0)
+    rules = L.Rules(0.0, 0.1, 5, 0.1)
+    job = L.Alone([], {0: 0}, [features], 0, [], bounds, 10, 2.0**20, rules, False, settings)
+    ((tree,), _, _) = next(job.grow([block]))
+    assert (tree.feature < 0).sum() == 12 and tree.missing_left.any() and not tree.missing_left.all()
+
+    def walk(codes):
+        node = 0
+        while tree.feature[node] >= 0:
+            code = codes[tree.feature[node]]
+            left = tree.missing_left[node] if code == L.MISSING else code <= tree.code[node]
+            node = tree.left[node] if left else tree.right[node]
+        return node
+
+    some = np.array([250, 3, 3, 77])
+    assert L.leaves_of_codes(tree, block.codes).tolist() == [walk(c) for c in block.codes.T]
+    assert L.leaves_of_codes(tree, block.codes, some).tolist() == [walk(block.codes[:, i]) for i in some]
+
+
+def test_sums_of_a_leaf_do_not_depend_on_its_size(monkeypatch):
+    block = random_block(500)
+    bag = L.Bag([block], 0, 0.7)
+    growth = L.Growth(bag, bag.gradients(2.0**20), np.array([0, 2, 3]), 10)
+    at = np.arange(0, len(bag.rows[0]), 3)
+    few = growth._sums(at)
+    monkeypatch.setattr(L, "FEW_ROWS", 10)
+    assert np.array_equal(growth._sums(at), few) and few[0, :, 2].sum() == len(at)
+
+
 def test_no_sum_per_code_reaches_the_driver(clients, monkeypatch):
     sizes, collect = [], RDD.collect
 
