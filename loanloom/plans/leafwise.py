@@ -37,11 +37,11 @@ from loanloom.session import ensure_checkpoint_dir, materialize
 MISSING = 0  # code of a missing value; real values have codes from 1
 SKETCH = 10_000  # bin bounds are off by at most this part of the rows
 AUC_CELLS = 1 << 14  # scores closer than this count as ties when rounds are compared
-REFRESH = 3  # trees that blocks apply anew in every job before they store their margins
+REFRESH = 3  # trees that a task that fits alone applies anew in every job before it stores its margins
 AHEAD = 16  # leaves one job sums ahead
 RELIABLE = 60  # trees after which the stored margins are checkpointed
 TOGETHER = 1 << 27  # codes up to which one task fits alone: 2^20 rows of up to 128 features
-SPREAD = 8  # a larger fit's tasks hold this part of TOGETHER
+SPREAD = 4  # a larger fit's tasks hold at most this part of TOGETHER
 TREES_AT_ONCE = 32  # trees a task that fits alone grows in a job
 FEW_ROWS = 1024  # rows of a leaf up to which all features are summed in one pass
 BINS = "_n int, _bins binary, _label binary, _weight binary, _checked binary, _draw binary"
@@ -754,7 +754,8 @@ def _boost(stored: DataFrame, n: int, features, bounds, scale, validated: bool,
     ensure_checkpoint_dir(stored.sparkSession)
     base = 0.0  # balanced classes weigh the same
     codes = n * max(len(features), 128)
-    tasks = 1 if codes <= TOGETHER else -(-codes * SPREAD // TOGETHER)
+    slots = stored.sparkSession.sparkContext.defaultParallelism
+    tasks = 1 if codes <= TOGETHER else slots * -(-codes * SPREAD // (TOGETHER * slots))
     state = stored.repartition(tasks).rdd.map(lambda row: _block(row, base)).persist(StorageLevel.MEMORY_AND_DISK)
     trees, pending, scores, before, done = [], [], [], None, False
 
@@ -763,7 +764,7 @@ def _boost(stored: DataFrame, n: int, features, bounds, scale, validated: bool,
 
     try:
         while not done:
-            if len(pending) >= REFRESH:
+            if len(pending) >= (REFRESH if tasks == 1 else 1):
                 reliable = len(trees) // RELIABLE > (len(trees) - len(pending)) // RELIABLE
                 before, state = state, _refreshed(state, pending, reliable)
                 pending = []
@@ -802,7 +803,7 @@ def _grown(
     """The next tree of a fit of many tasks, none when it is done; one job per look ahead."""
     job = Pass(
         pending, as_tree([_ROOT]), {0: 0}, chosen, width, scale, n // settings["bag_rounds"],
-        settings["row_fraction"], validated and n > 0, rules, min(tasks, len(chosen)),
+        settings["row_fraction"], validated and n > 0, rules, min(tasks, len(chosen), state.context.defaultParallelism),
     )
     (root,), areas = _run(state, job)
     if job.check:

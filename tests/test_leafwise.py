@@ -134,6 +134,19 @@ def test_rows_of_one_task_need_few_jobs(clients, monkeypatch):
     assert len(kept.auc_by_round) == 40 and len(jobs) < 20
 
 
+def test_spread_rows_apply_a_tree_once(clients, monkeypatch):
+    applied, run = [], L._run
+
+    def counted(state, job):
+        applied.append(len(job.trees))
+        return run(state, job)
+
+    monkeypatch.setattr(L, "_run", counted)
+    monkeypatch.setattr(L, "TOGETHER", 128 * 100)
+    L.train_leafwise(clients, FEATURES, trees=4, leaves=5, **WHOLE)
+    assert len(applied) > 5 and not any(applied)  # the stored margins have all trees already
+
+
 def random_block(n, features=4, missing=0.2):
     rng = np.random.default_rng(n)
     codes = rng.integers(1, 9, (features, n)).astype(np.uint8)
